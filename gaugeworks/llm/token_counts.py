@@ -98,8 +98,8 @@ class TokenTree:
             self.texts = [inserted]
             pieces = self.enc.pre_tokens(inserted)
             self.encoded += len(pieces)
-            self._build([len(inserted)], [sum(map(self.enc.counts.__getitem__, pieces))])
-            return self._split_up()
+            self._build([len(inserted)], [0])
+            return self._split_up(0, pieces)
         a, first = self._find(max(0, at - CONTEXT))
         b, _ = self._find(at + removed)
         old = "".join(self.texts[a : b + 1])
@@ -126,27 +126,22 @@ class TokenTree:
         for leaf in range(a + 1, b + 1):
             self._set(leaf, "", 0)
         if len(pieces) > 16 * LEAF:
-            self._split_up()
-
-    def _split_up(self) -> None:
-        """Leaves that grew large are cut anew; empty ones go."""
-        texts, chars, tokens = [], [], []
-        for text, n in zip(self.texts, self.tokens[self.size :]):
-            if not text:
-                continue
-            pieces = self.enc.pre_tokens(text) if len(text) > 16 * LEAF else None
-            if pieces is None or len(pieces) <= 4 * LEAF:
-                texts.append(text), chars.append(len(text)), tokens.append(n)
-                continue
-            own, counts = self._leaves(pieces)
-            at = 0
-            for c in own:
-                texts.append(text[at : at + c])
-                at += c
-            chars += own
-            tokens += counts
-        self.texts = texts
-        self._build(chars, tokens)
+            self._split_up(a, pieces)
+
+    def _split_up(self, leaf: int, pieces: list[str]) -> None:
+        """A leaf that grew large is cut anew into runs of its ``pieces``; empty leaves go."""
+        chars, tokens = self.leaves()
+        own, counts = self._leaves(pieces)
+        self.encoded -= len(pieces)
+        cut, at = [], 0
+        for c in own:
+            cut.append(self.texts[leaf][at : at + c])
+            at += c
+        rows = [*zip(self.texts, chars, tokens)]
+        rows[leaf : leaf + 1] = [*zip(cut, own, counts)]
+        rows = [r for r in rows if r[0]]
+        self.texts = [r[0] for r in rows]
+        self._build([r[1] for r in rows], [r[2] for r in rows])
 
 
 #: What the cleaning edits mask: mail addresses, long hexadecimal strings, card-like numbers.

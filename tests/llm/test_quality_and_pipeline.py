@@ -89,5 +89,14 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, sf_dir):
     assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "a b c"), ("2", None), ("None", "x y")]
 
 
+def test_rows_without_id_are_judged_like_others(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    prose = " ".join(f"w{i}" for i in range(200))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(1, prose, "en", "s", 1), (None, prose + " end", None, None, 2), (None, "other " + item, None, None, 3), (None, "clean words here", None, None, 4)], schema)
+    assert sorted(r.n_chars for r in cp.near_dedup(spark, docs, sf_dir).collect()) == [1, 3, 4]
+    assert sorted(r.n_chars for r in cp.decontaminate(spark, docs, sf_dir).collect()) == [1, 2, 4]
+
+
 def test_every_operator_has_a_query():
     assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]

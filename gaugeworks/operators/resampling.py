@@ -81,3 +81,24 @@ def kappa_interval(df: DataFrame, by: Sequence[str], a: str, b: str, n_boot: int
     """As bootstrap_mean, of Cohen's kappa over pairs of verdicts; draws without a kappa are left out."""
     cells = paired(df, a, b).groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
     return _resample(cells, by, ["a", "b"], _kappa, n_boot, alpha, seed)
+
+
+def seeded_mean(df: DataFrame, by: Sequence[str], x: str, order: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0, most: int = 10_000) -> DataFrame:
+    """bootstrap_mean with the draws of Python's generator for ``seed`` over each group's values in ``order``, to repeat
+    published intervals. A group's values meet in one task, so groups of more than ``most`` rows are an error."""
+    by = list(by)
+    small = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(order).alias("o"))
+    sized = small.join(small.groupBy(*by).agg(F.count("*").alias("c")), by)
+    fine = F.when(F.col("c") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a group has more than {most} rows")).cast("boolean"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in small.select(*by).schema)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import random
+
+        data = pdf.sort_values("o", kind="stable")["x"].tolist()
+        n, rng = len(data), random.Random(seed)
+        draws = sorted(sum(data[rng.randrange(n)] for _ in range(n)) / n for _ in range(n_boot)) if n > 1 else data
+        low, high = draws[int(alpha / 2 * len(draws))], draws[min(len(draws) - 1, int((1 - alpha / 2) * len(draws)))]
+        return pd.DataFrame([(*key, sum(data) / n, low, high, n)], columns=[*by, "point", "low", "high", "n"])
+
+    return sized.where(fine).groupBy(*by).applyInPandas(run, f"{fields}, point double, low double, high double, n bigint")

@@ -11,6 +11,9 @@ from ..functions import intervals as iv
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import agreement as ag
+from ..operators import audits as au
+from ..operators import costs as co
+from ..operators import judging as jd
 from ..operators import ledger as lg
 from ..operators import resampling as rs
 from ..operators import sampling as sm
@@ -443,6 +446,60 @@ def benchmark_token_overlap(spark, sf):
     return shared.join(sizes, "item_id").where("shared >= 0.6 * n").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
 
 
+# Judges, costs and audits
+
+_KINDS = {"view": "equivalent", "click": "a_narrower", "signup": "b_narrower", "purchase": "a_wrong", "error": None}
+_REL = "CASE event_type WHEN 'view' THEN 'equivalent' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'agent_narrower' ELSE 'agent_wider' END WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'agent_wider' ELSE 'agent_narrower' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'agent_wrong' ELSE 'reference_wrong' END END"
+_RANK = f"list_position({list(jd.RELATIVE)}, v)"
+
+
+@query(f"""WITH c AS (SELECT user_id AS pair, {_REL} AS v, event_id % 2 AS o, CASE WHEN value > 1 THEN value END AS cost FROM events),
+m AS (SELECT pair, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair) AS t, row_number() OVER (PARTITION BY pair ORDER BY count(*) DESC, {_RANK}) AS rn FROM c WHERE v IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT pair, count(DISTINCT v) AS modes, count(*) AS orders FROM (SELECT pair, o, v, row_number() OVER (PARTITION BY pair, o ORDER BY count(*) DESC, {_RANK}) AS rn FROM c WHERE v IS NOT NULL GROUP BY 1, 2, 3) WHERE rn = 1 GROUP BY 1),
+t AS (SELECT pair, count(*) AS n_calls, count(v) AS n_parsed, round(sum(cost), 4) AS cost, bool_and(cost IS NOT NULL) AS cost_known FROM c GROUP BY 1)
+SELECT t.pair, n_calls, n_parsed, cost, cost_known, coalesce(m.v, 'unparseable') AS verdict, round(m.n / m.t, 6) AS agreement, coalesce(orders = 2 AND modes > 1, false) AS position_bias,
+coalesce(m.n = m.t, false) AS stable, n_parsed > 0 AND coalesce(m.v, 'unparseable') NOT IN ('unclear', 'unparseable') AS usable FROM t LEFT JOIN (SELECT * FROM m WHERE rn = 1) m USING (pair) LEFT JOIN b USING (pair)""")
+def judge_results(spark, sf):
+    e = table(spark, sf, "events")
+    neutral = lb.mapped(F.col("event_type"), {k: v for k, v in _KINDS.items() if v})
+    calls = e.select(F.col("user_id").alias("pair"), jd.relative(neutral, F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")).alias("v"), (F.col("event_id") % 2).alias("o"), F.when(F.col("value") > 1, F.col("value")).alias("cost"))
+    return rounded(jd.judge_results(calls, "pair", "v", "o", "cost"), "agreement").withColumn("cost", F.round("cost", 4))
+
+
+_PRICED = "(greatest(0, l_orderkey - l_suppkey - l_linenumber) + l_linenumber * 1.25 + l_suppkey * 0.10)"
+
+
+@query(f"""WITH p AS (SELECT p_brand, max(p_size) AS pin, max(p_retailprice) AS pout FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1), x AS (SELECT max(pin) AS din, max(pout) AS dout FROM p)
+SELECT part.p_brand AS model, count(*) AS n, bool_and(p.pin IS NOT NULL) AS priced,
+round(sum(CASE WHEN part.p_brand = 'Brand#2' THEN {_PRICED} * pin + l_quantity * pout ELSE l_orderkey * coalesce(pin, din) + l_quantity * coalesce(pout, dout) END / 1000000), 3) AS cost
+FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN p ON part.p_brand = p.p_brand CROSS JOIN x GROUP BY 1""")
+def estimated_cost(spark, sf):
+    part = table(spark, sf, "part")
+    prices = part.where("p_brand <> 'Brand#1'").groupBy(F.col("p_brand").alias("model")).agg(F.max("p_size").alias("input"), F.max("p_retailprice").alias("output")).withColumn("supports_caching", F.col("model") == "Brand#2")
+    usage = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("model"), F.col("l_orderkey").alias("input_tokens"), F.col("l_quantity").alias("output_tokens"), F.col("l_suppkey").alias("cache_read"), F.col("l_linenumber").alias("cache_write"))
+    return co.estimated_cost(usage, prices).groupBy("model").agg(F.count("*").alias("n"), F.bool_and("priced").alias("priced"), F.round(F.sum("cost"), 3).alias("cost"))
+
+
+@query("""WITH f AS (SELECT doc_id, sha256(text) AS h, text FROM documents), g AS (SELECT doc_id, sha256(CASE WHEN doc_id % 97 = 3 THEN text || ' ' ELSE text END) AS h FROM documents WHERE doc_id % 89 <> 5)
+SELECT f.doc_id AS record, CASE WHEN g.doc_id IS NULL THEN 'gone' ELSE 'sha256' END AS what FROM f LEFT JOIN g USING (doc_id) WHERE g.doc_id IS NULL OR g.h <> f.h""")
+def frame_differences(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(False).alias("flagged"))
+    again = docs.where("doc_id % 89 <> 5").withColumn("text", F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return au.differences(au.frame(docs, "doc_id", "text", "flagged"), au.frame(again, "doc_id", "text", "flagged")).select("record", F.array_join("what", ",").alias("what"))
+
+
+@query("""SELECT page_id, url LIKE '%.html' OR regexp_matches(lower(url), 'quota|capacity|overloaded|429|rate limit|rate_limit|too many requests') AS limited FROM pages""")
+def rate_limit_markers(spark, sf):
+    url = F.col("url")
+    return table(spark, sf, "pages").select("page_id", (url.endswith(".html") | tx.rate_limited(url)).alias("limited"))
+
+
+@query("""WITH r AS (SELECT conv_id, max(turn) AS turns, list(role ORDER BY turn) AS roles FROM conversations GROUP BY 1) SELECT role AS tool, count(*) AS n FROM (SELECT unnest(roles) AS role FROM r) GROUP BY 1""")
+def tool_histogram(spark, sf):
+    runs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.array(F.struct(F.col("role").alias("name"))).alias("tool_calls"))).alias("trajectory"))
+    return co.tool_calls(runs, "conv_id", "trajectory").groupBy("tool").agg(F.sum("n").alias("n"))
+
+
 # Folds and resamples: no SQL
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import id_and_text, mix, slices, word_hashes, written
 
@@ -46,24 +47,33 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _hashed_items(items: DataFrame) -> DataFrame:
+    """(item, item_id, words): a key of its own for each row of the test side, and its word hashes."""
+    keyed = items.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "text")
+    schema = T.StructType([T.StructField("item", T.LongType()), items.schema["item_id"], T.StructField("words", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_signed(h) for h in word_hashes(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], schema.names)
+
+    return keyed.mapInArrow(run, schema)
+
+
 def _test_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """(seed, item_id, at, mask): the hashes of all items; items shorter than every
+    """(seed, item, at, mask): the hashes of all items; items shorter than every
     mask are hashed whole."""
-    schema = T.StructType(
-        [T.StructField("seed", T.LongType()), items.schema["item_id"], T.StructField("at", T.IntegerType()), T.StructField("mask", T.StringType()), T.StructField("words", T.ArrayType(T.LongType()))]
-    )
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("item", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("mask", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for item, h in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist())):
-                use = [m for m in masks if len(m) <= len(h)] or (["1" * len(h)] if len(h) else [])
-                rows += [(s, item, i, m, _signed(h).tolist()) for m in use for i, s in enumerate(_signed(seed_hashes(h, m)).tolist())]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.array(words, dtype=np.int64).view(np.uint64)
+                for m in [m for m in masks if len(m) <= len(h)] or (["1" * len(h)] if len(h) else []):
+                    s = _signed(seed_hashes(h, m))
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array([m] * len(s))], schema.names)
 
-    return items.mapInArrow(run, schema)
+    return items.select("item", "words").mapInArrow(run, schema)
 
 
 def diagonal(doc: np.ndarray, item: np.ndarray, shift: int, least: float) -> tuple[int, int, int] | None:
@@ -91,22 +101,23 @@ def diagonal(doc: np.ndarray, item: np.ndarray, shift: int, least: float) -> tup
 
 
 class _Overlaps:
-    """Overlaps of one document, from hits (place in the document, item, place in the item)."""
+    """Overlaps of one document, from hits (place in the document, item, its words, place in the item)."""
 
     def __init__(self, least_share: float, least_words: int, cover: float):
         self.least_share, self.least_words, self.cover = least_share, least_words, cover
 
-    def of(self, doc: np.ndarray, hits: Iterator[tuple[int, object, int, np.ndarray]]) -> list[tuple]:
+    def of(self, doc: np.ndarray, hits: Iterator[tuple[int, int, np.ndarray, int]]) -> list[tuple]:
+        """(item, doc_word, item_word, n_words, n_agree, share)."""
         out, seen = [], set()
-        for place, item_id, at, item in hits:
+        for place, item, words, at in hits:
             shift = place - at
-            if (item_id, shift) in seen:
+            if (item, shift) in seen:
                 continue
-            seen.add((item_id, shift))
-            found = diagonal(doc, item, shift, self.least_share)
-            if found and found[1] >= min(len(item), max(self.least_words, self.cover * len(item))):
+            seen.add((item, shift))
+            found = diagonal(doc, words, shift, self.least_share)
+            if found and found[1] >= min(len(words), max(self.least_words, self.cover * len(words))):
                 start, length, agree = found
-                out.append((item_id, shift + start, start, length, agree, agree / len(item)))
+                out.append((item, shift + start, start, length, agree, agree / len(words)))
         return out
 
 
@@ -125,15 +136,15 @@ def overlaps(
     items: columns item_id and text. The test side's seeds are counted first: up to
     ``send_up_to`` they go to every task, else both sides are shuffled by seed."""
     docs, items = id_and_text(docs, id_col, text_col), items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = items.schema["item_id"]
+    items = written(_hashed_items(items), "test-items")
     tests = written(_test_seeds(items, masks), "test-seeds")
     fields = [("doc_word", T.LongType()), ("item_word", T.LongType()), ("n_words", T.LongType()), ("n_agree", T.LongType()), ("share", T.DoubleType())]
-    schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"], *(T.StructField(n, t) for n, t in fields)])
+    schema = T.StructType([docs.schema["doc_id"], kind, *(T.StructField(n, t) for n, t in fields)])
     shapes = [r[0] for r in tests.select("mask").distinct().collect()]  # the masks, and short items' lengths
     rule = _Overlaps(least_share, least_words, cover)
-    small = tests.select("seed").count() <= send_up_to
-    if small:
-        return _sent(docs, tests, shapes, rule, schema)
-    return _shuffled(docs, tests, shapes, rule, schema)
+    way = _sent if tests.count() <= send_up_to else _shuffled
+    return way(docs, items, tests, shapes, rule, schema)
 
 
 def _frame(rows: list[tuple], ids: pa.DataType, items: pa.DataType, names: list[str]) -> pa.RecordBatch:
@@ -142,15 +153,15 @@ def _frame(rows: list[tuple], ids: pa.DataType, items: pa.DataType, names: list[
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
 
-def _sent(docs: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overlaps, schema: T.StructType) -> DataFrame:
+def _sent(docs: DataFrame, items: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overlaps, schema: T.StructType) -> DataFrame:
     """Few test seeds, by count: every task holds them, documents aren't shuffled."""
-    table = tests.select("seed", "item_id", "at").toPandas().sort_values("seed", kind="stable")
-    keys, item_ids, ats = table["seed"].to_numpy(), table["item_id"].tolist(), table["at"].to_numpy()
-    words = {r["item_id"]: np.array(r["words"], dtype=np.int64) for r in tests.select("item_id", "words").dropDuplicates(["item_id"]).toLocalIterator()}
-    held = docs.sparkSession.sparkContext.broadcast((keys, item_ids, ats, words))
+    table = tests.select("seed", "item", "at").toPandas().sort_values(["seed", "item", "at"])
+    keys, own, ats = (table[c].to_numpy() for c in ("seed", "item", "at"))
+    known = {r["item"]: (r["item_id"], np.array(r["words"], dtype=np.int64)) for r in items.toLocalIterator()}
+    held = docs.sparkSession.sparkContext.broadcast((keys, own, ats, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, item_ids, ats, words = held.value
+        keys, own, ats, known = held.value
         sieve = np.zeros(1 << 20, dtype=bool)
         sieve[keys.view(np.uint64) >> np.uint64(44)] = True
         for batch in batches:
@@ -175,15 +186,14 @@ def _sent(docs: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overlaps,
                     for p, d, x, y in zip(near[good].tolist(), doc[good].tolist(), lo[good].tolist(), hi[good].tolist()):
                         hits.setdefault(d, []).append((p - int(ends[d] - size[d]), x, y))
                 for d, found in hits.items():
-                    each = ((p, item_ids[k], int(ats[k]), words[item_ids[k]]) for p, x, y in found for k in range(x, y))
-                    rows += [(ids[a + d], *o) for o in rule.of(_signed(hashed[d]), each)]
-            yield _frame(rows, batch.schema.field(0).type, arrow_item, schema.names)
+                    each = ((p, int(own[k]), known[own[k]][1], int(ats[k])) for p, x, y in found for k in range(x, y))
+                    rows += [(ids[a + d], known[o[0]][0], *o[1:]) for o in rule.of(_signed(hashed[d]), each)]
+            yield _frame(rows, batch.schema.field(0).type, to_arrow_type(schema["item_id"].dataType), schema.names)
 
-    arrow_item = pa.int64() if isinstance(schema["item_id"].dataType, T.LongType) else pa.int32() if isinstance(schema["item_id"].dataType, T.IntegerType) else pa.string()
     return docs.mapInArrow(run, schema)
 
 
-def _shuffled(docs: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overlaps, schema: T.StructType) -> DataFrame:
+def _shuffled(docs: DataFrame, items: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overlaps, schema: T.StructType) -> DataFrame:
     """Many test seeds: training seeds are joined with them by a shuffle. A document's hits
     meet again with its words by a key of the row."""
     keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "keyed-docs")
@@ -196,16 +206,15 @@ def _shuffled(docs: DataFrame, tests: DataFrame, shapes: list[str], rule: _Overl
                     s = _signed(seed_hashes(h, mask))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), row)), pa.array(np.arange(len(s))), pa.array(s)], seeds.names)
 
-    hits = keyed.select("row", "text").mapInArrow(train, seeds).join(tests.select("seed", "item_id", "at"), "seed")
-    shifts = written(hits.select("row", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct(), "shifts")
-    items = tests.select("item_id", "words").dropDuplicates(["item_id"])
-    both = shifts.join(keyed, "row").join(items, "item_id").select("doc_id", "text", "item_id", "words", "shift")
+    hits = keyed.select("row", "text").mapInArrow(train, seeds).join(tests.select("seed", "item", "at"), "seed")
+    shifts = written(hits.select("row", "item", (F.col("place") - F.col("at")).alias("shift")).distinct(), "shifts")
+    both = shifts.join(keyed, "row").join(items, "item").select("doc_id", "text", "item", "item_id", "words", "shift")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, h, item_id, words, shift in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                rows += [(doc_id, *o) for o in rule.of(_signed(h), iter([(shift, item_id, 0, np.array(words, dtype=np.int64))]))]
-            yield _frame(rows, batch.schema.field(0).type, batch.schema.field(2).type, schema.names)
+            for doc_id, h, item, item_id, words, shift in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                rows += [(doc_id, item_id, *o[1:]) for o in rule.of(_signed(h), iter([(shift, item, np.array(words, dtype=np.int64), 0)]))]
+            yield _frame(rows, batch.schema.field(0).type, batch.schema.field(3).type, schema.names)
 
     return both.mapInArrow(check, schema)

@@ -166,6 +166,16 @@ def test_overlaps_of_empty_tables(spark):
     assert dc.overlaps(d.limit(0), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
 
 
+def test_repeated_items_and_string_ids(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(words(rng, 30)) for _ in "ab")
+    items = spark.createDataFrame([("x", a), ("x", b), ("x", a)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "start " + a), (2, b + " end"), (None, b), (1, "start " + a)], DOCS)
+    for send in (10**6, 0):
+        got = sorted((str(r.doc_id), r.item_id, r.doc_word, r.n_words) for r in dc.overlaps(docs, items, send_up_to=send).collect())
+        assert got == sorted([("1", "x", 1, 30)] * 4 + [("2", "x", 0, 30), ("None", "x", 0, 30)])
+
+
 def test_diagonal_is_the_longest_stretch():
     rng = np.random.default_rng(0)
     for _ in range(200):

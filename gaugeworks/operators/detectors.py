@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import token_overlap
+from ..shared import written
 from . import diffs
 
 CHEAT, WARNING = "cheat", "warning"
@@ -67,8 +68,7 @@ DETECTORS = (
 
 @dataclass
 class Parsed:
-    """A parsed set of diffs, each part materialised once by its reader: files, hunks, and changed lines with the
-    sanctioned flag and their file's columns."""
+    """A parsed set of diffs: files, hunks, and lines with the sanctioned flag and their file's columns."""
 
     files: DataFrame
     hunks: DataFrame
@@ -78,7 +78,8 @@ class Parsed:
 def prepare(df: DataFrame, key: str, diff: str, reference: DataFrame | None = None, task: str | None = None) -> Parsed:
     """Parse ``diff`` per ``key``. reference: (task, path, kind, norm), the signatures of the tasks' reference
     patches; rows of ``df`` find theirs by ``task``. has_reference tells a task without one from a file that its patch leaves alone."""
-    parsed = diffs.parse(df, key, diff)
+    # Parsed once and written: eleven detectors read it.
+    parsed = written(diffs.parse(df, key, diff), "parsed-diffs")
     files = diffs.files(parsed)
     lines = diffs.diff_lines(parsed)
     if reference is None or task is None:
@@ -94,7 +95,7 @@ def prepare(df: DataFrame, key: str, diff: str, reference: DataFrame | None = No
     if "sanctioned" not in lines.columns:
         allowed = reference.select("task", "path", "kind", "norm").distinct().withColumn("sanctioned", F.lit(True))
         lines = lines.join(allowed, ["task", "path", "kind", "norm"], "left").na.fill(False, ["sanctioned"])
-    return Parsed(files, diffs.hunks(parsed), lines)
+    return Parsed(written(files, "diff-files"), diffs.hunks(parsed), written(lines, "diff-lines"))
 
 
 def _finding(df: DataFrame, detector: str, kind: Column, severity: Column | str, line: Column | None, detail: Column) -> DataFrame:

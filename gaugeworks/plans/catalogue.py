@@ -13,11 +13,15 @@ from ..functions import text as tx
 from ..operators import agreement as ag
 from ..operators import audits as au
 from ..operators import costs as co
+from ..operators import detectors as dt
+from ..operators import diffs as df_
 from ..operators import judging as jd
 from ..operators import ledger as lg
 from ..operators import resampling as rs
 from ..operators import sampling as sm
 from ..operators import sequences as sq
+from ..sources import records as rc
+from ..sources import reports as rp
 from . import rates as rt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +504,73 @@ def tool_histogram(spark, sf):
     return co.tool_calls(runs, "conv_id", "trajectory").groupBy("tool").agg(F.sum("n").alias("n"))
 
 
+# Records, reports and diffs, written from the tables and read back by the loaders
+
+
+def _order_records(spark, sf) -> DataFrame:
+    """Orders as run records, some of which break a rule."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    record = F.struct(
+        F.when(key % 11 == 0, 2).otherwise(3).alias("schema_version"), F.when(key % 13 != 0, F.md5(F.col("o_orderpriority"))).alias("config_version"), F.col("o_orderstatus").alias("task_id"), F.lit("m").alias("model"),
+        F.when(key % 17 == 0, "won").otherwise("solved").alias("outcome"), F.lit("ok").alias("verdict_status"), F.lit("").alias("diff"), F.array().cast("array<string>").alias("failed_ids"),
+        F.when(key % 19 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("before_failed_ids"), (key % 23 - 1).alias("iterations"), F.col("o_totalprice").alias("cost_usd"), F.lit(True).alias("cost_known"),
+        F.lit(50).alias("max_iterations"), F.lit(1.0).alias("max_cost_usd"),
+    )
+    return o.select(key.cast("string").alias("name"), F.to_json(record).alias("value"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'schema v2' WHEN o_orderkey % 13 = 0 THEN 'missing required config_version' WHEN o_orderkey % 17 = 0 THEN 'unknown outcome'
+WHEN o_orderkey % 19 = 0 THEN 'before_failed_ids has duplicate ids' WHEN o_orderkey % 23 = 0 THEN 'iterations is negative' ELSE 'loaded' END AS state, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1""")
+def record_loader(spark, sf):
+    docs = _order_records(spark, sf)
+    records, rejections = rc.load(docs)
+    good = records.select(F.lit("loaded").alias("state"), F.col("cost_usd").alias("cost"))
+    bad = rejections.join(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("name"), "o_totalprice"), "name").select(F.col("reason").alias("state"), F.col("o_totalprice").alias("cost"))
+    return good.unionByName(bad).groupBy("state").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("cost"))
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS passed, user_id % 10 = 0 AS off FROM events GROUP BY 1)
+SELECT user_id::VARCHAR AS name, CASE WHEN off THEN 'no_verdict' ELSE 'ok' END AS status, CASE WHEN NOT off THEN failed END AS failed, CASE WHEN NOT off THEN passed END AS passed, CASE WHEN off THEN 'the total is not the number of tests' END AS reason FROM t""")
+def test_report_parse(spark, sf):
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "passed").otherwise("skipped")
+    tests = F.collect_list(F.struct(F.concat(F.lit("t::"), F.col("event_id").cast("string")).alias("nodeid"), outcome.alias("outcome")))
+    by = table(spark, sf, "events").groupBy("user_id").agg(tests.alias("tests"), F.count("*").alias("n"))
+    total = F.when(F.col("user_id") % 10 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    docs = by.select(F.col("user_id").cast("string").alias("name"), F.to_json(F.struct(F.lit(1).alias("exitcode"), F.struct(total.alias("total")).alias("summary"), "tests")).alias("value"))
+    return rp.test_reports(docs).select("name", "status", "failed", "passed", "reason")
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), n AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END AS n FROM l)
+SELECT doc_id, n // 3 AS added, (n + 1) // 3 AS removed, (n + 2) // 3 AS context, CASE WHEN n > 0 THEN n - (n + 1) // 3 ELSE 0 END AS last_new FROM n WHERE n > 0""")
+def diff_line_counts(spark, sf):
+    """Documents as diffs: of three lines one stays, one goes, one comes; parsed again."""
+    sign = lambda i: F.when(i % 3 == 0, " ").when(i % 3 == 1, "-").otherwise("+")
+    own = table(spark, sf, "documents").select("doc_id", tx.lines(F.col("text")).alias("ls")).where("size(ls) > 0")
+    n = F.size("ls")
+    header = F.format_string("diff --git a/d.txt b/d.txt\n--- a/d.txt\n+++ b/d.txt\n@@ -1,%d +1,%d @@\n", n - F.floor(n / 3), n - F.floor((n + 1) / 3))
+    diffs = own.select("doc_id", F.concat(header, F.array_join(F.transform("ls", lambda x, i: F.concat(sign(i), x)), "\n"), F.lit("\n")).alias("diff"))
+    lines = df_.diff_lines(df_.parse(diffs, "doc_id", "diff"))
+    kind = F.col("kind")
+    return lines.groupBy(F.col("key").alias("doc_id")).agg(F.count_if(kind == "+").alias("added"), F.count_if(kind == "-").alias("removed"), F.count_if(kind == " ").alias("context"), F.coalesce(F.max("new_no"), F.lit(0)).alias("last_new"))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS skips, count(*) FILTER (event_type = 'error') AS gone, count(*) FILTER (event_type = 'view') AS come, count(*) FILTER (event_type = 'signup') AS spawns, count(*) FILTER (event_type = 'purchase') AS tests FROM events GROUP BY 1)
+SELECT kind, sum(n)::BIGINT AS n FROM (SELECT 'suppression_added' AS kind, skips AS n FROM u UNION ALL SELECT 'assertion_removed', (gone > come)::INT FROM u UNION ALL SELECT 'subprocess_spawned', spawns FROM u
+UNION ALL SELECT 'test_deleted', tests FROM u UNION ALL SELECT 'test_edited_unjudged', 1 FROM u) GROUP BY 1 HAVING sum(n) > 0""")
+def diff_findings(spark, sf):
+    """Each user's events as a diff of a test file, run through all detectors."""
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    line = (
+        F.when(kind == "click", "+@pytest.mark.skip").when(kind == "error", F.concat(F.lit("-    assert f() == "), n)).when(kind == "view", F.concat(F.lit("+    assert g() == "), n))
+        .when(kind == "signup", F.concat(F.lit("+subprocess.run('x"), n, F.lit("')"))).otherwise(F.concat(F.lit("-def test_"), n, F.lit("():")))
+    )
+    by = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    gone = F.size(F.filter("ls", lambda x: x.startswith("-")))
+    header = F.format_string("diff --git a/tests/test_u.py b/tests/test_u.py\n--- a/tests/test_u.py\n+++ b/tests/test_u.py\n@@ -1,%d +1,%d @@\n", gone, F.size("ls") - gone)
+    found = dt.findings(dt.prepare(by.select("user_id", F.concat(header, F.array_join("ls", "\n"), F.lit("\n")).alias("diff")), "user_id", "diff"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # Folds and resamples: no SQL
 
 

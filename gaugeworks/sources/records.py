@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: The record's version, its fields, and the labels it may hold.
 VERSION = 3
 REQUIRED = (
@@ -86,11 +88,11 @@ def violations(v: Column, keys: Column) -> Column:
 
 
 def checked(docs: DataFrame) -> DataFrame:
-    """``docs`` (name, value, ..) with v (variant) and broken (texts)."""
-    v = F.try_parse_json("value")
-    is_object = F.schema_of_variant(F.col("v")).startswith("OBJECT")
-    broken = F.when(F.col("v").isNull(), F.array(F.lit("not valid JSON"))).when(~is_object, F.array(F.lit("not a JSON object"))).otherwise(violations(F.col("v"), F.json_object_keys("value")))
-    return docs.withColumn("v", v).withColumn("broken", broken)
+    """``docs`` (name, value, ..) with broken (texts). Written, so that a filter on it doesn't check all over again."""
+    seen = docs.withColumns({"v": F.try_parse_json("value"), "keys": F.json_object_keys("value")})
+    is_object = F.schema_of_variant("v").startswith("OBJECT")
+    broken = F.when(F.col("v").isNull(), F.array(F.lit("not valid JSON"))).when(~is_object, F.array(F.lit("not a JSON object"))).otherwise(violations(F.col("v"), F.col("keys")))
+    return written(seen.withColumn("broken", broken).drop("keys", "v"), "checked-records")
 
 
 def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,15 +100,17 @@ def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejections have name, reason (the first broken rule), reasons, schema_version and missing."""
     seen = checked(docs)
     fields = [F.try_variant_get("v", f"$.{k}", t).alias(k) for k, t in FIELDS.items()]
-    records = seen.where(F.size("broken") == 0).select("name", *fields)
+    records = seen.where(F.size("broken") == 0).withColumn("v", F.try_parse_json("value")).select("name", *fields)
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
-    bad = seen.where(F.size("broken") > 0).select("name", F.element_at("broken", 1).alias("reason"), F.col("broken").alias("reasons"), F.try_variant_get("v", "$.schema_version", "string").alias("schema_version"), missing.alias("missing"))
+    version = F.try_variant_get(F.try_parse_json("value"), "$.schema_version", "string")
+    bad = seen.where(F.size("broken") > 0).select("name", F.element_at("broken", 1).alias("reason"), F.col("broken").alias("reasons"), version.alias("schema_version"), missing.alias("missing"))
     return records, bad
 
 
 def holds_measurement(docs: DataFrame) -> DataFrame:
     """(name, usable): loadable, and the harness itself did not fail."""
-    return checked(docs).select("name", ((F.size("broken") == 0) & (F.coalesce(F.try_variant_get("v", "$.harness_error", "string"), F.lit("")) == "")).alias("usable"))
+    error = F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.harness_error", "string"), F.lit(""))
+    return checked(docs).select("name", ((F.size("broken") == 0) & (error == "")).alias("usable"))
 
 
 def save(records: DataFrame, path: str) -> None:

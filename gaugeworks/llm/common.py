@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sums_before(counts: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, by, before): of each row of ``counts`` (key, by, n), the sum of n over smaller keys within ``by``.
+    Keys are gathered by thousands first, so that no order spans all of them in one task."""
+    before = "coalesce(sum(n) over ({} order by {} rows between unbounded preceding and 1 preceding), 0)"
+    over = lambda *cols: f"partition by {', '.join(cols)}" if cols else ""
+    counts = counts.withColumn("_group", F.floor(F.col(key) / 1000))
+    groups = counts.groupBy("_group", *by).agg(F.sum("n").alias("n"))
+    groups = groups.select("_group", *by, F.expr(before.format(over(*by), "_group")).alias("_base"))
+    within = counts.select(key, "_group", *by, F.expr(before.format(over("_group", *by), key)).alias("_inner"))
+    return within.join(groups, ["_group", *by]).select(key, *by, (F.col("_base") + F.col("_inner")).alias("before"))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty ones; other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, written
+from .common import id_and_text, sums_before, written
 from .tokens import encoder, vocabulary
 
 WINDOW, END_ID = 1024, 0
@@ -179,13 +179,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id:
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # `window` rows at most
         histogram[length] = n
     places = docs.sparkSession.sparkContext.broadcast(_places(plan(histogram, window)))
-    # Pieces of the length in earlier parts, parts being gathered by thousands first: no row order spans all parts.
-    counts = counts.withColumn("group", F.floor(F.col("part") / 1000))
-    groups = counts.groupBy("group", "length").agg(F.sum("n").alias("n"))
-    before = "coalesce(sum(n) over (partition by {} order by {} rows between unbounded preceding and 1 preceding), 0)"
-    groups = groups.select("group", "length", F.expr(before.format("length", "group")).alias("base"))
-    within = counts.select("part", "group", "length", F.expr(before.format("length, group", "part")).alias("inner"))
-    first = within.join(groups, ["group", "length"]).select("part", "length", (F.col("base") + F.col("inner")).alias("first"))
+    # Pieces of the length in earlier parts.
+    first = sums_before(counts, "part", ("length",)).withColumnRenamed("before", "first")
     ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("first", "nth", "part")
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([*(pieces.schema[c] for c in cols), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

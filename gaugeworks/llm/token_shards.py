@@ -1,10 +1,10 @@
 """Training-order materialisation of token ids.
 
 Documents' ids, each followed by an end id, are cut into sequences of one length. A keyed
-Feistel permutation with cycle-walking gives every sequence a slot of its own in the
-training order, without any table of the order. Rows are range-partitioned by shard, sorted by slot and
-written as records of one stride, so the k-th sequence lies at a known place and a
-reader can go on from any slot."""
+Feistel permutation with cycle-walking gives every sequence a number of its own in a
+domain far larger than their number; its rank among those numbers is the sequence's global slot. Equal ranges of the
+domain are the shards: rows are range-partitioned by them, sorted, and written once, as records of one stride. So the
+ids are moved once and stored once, and a reader can go on from any slot."""
 
 from __future__ import annotations
 
@@ -15,16 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, mix, new_path
+from .common import id_and_text, mix, new_path, sums_before, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
-#: Sequences in a shard.
-SHARD = 16_384
+#: Bytes of text that make a shard, about.
+SHARD_TEXT = 32 << 20
+#: Sequences that a part can have, and numbers that the permutation runs over.
+PART, DOMAIN = 10**9, 10**15
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -46,11 +48,10 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (part, nth, first_doc, first_start, n_ids, ids): each part's ids in order, cut at every ``length``
+def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: int, key: int) -> DataFrame:
+    """Rows (number, part, nth, first_doc, first_start, n_ids, ids): each part's ids in order, cut at every ``length``
     ids; only a part's last sequence can be shorter. first_*: the document of the first id and its place in it."""
-    docs = id_and_text(docs, id_col, text_col)
-    longs = [T.StructField(c, T.LongType()) for c in ("part", "nth")]
+    longs = [T.StructField(c, T.LongType()) for c in ("number", "part", "nth")]
     schema = T.StructType(
         [*longs, T.StructField("first_doc", docs.schema["doc_id"].dataType), T.StructField("first_start", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
@@ -64,7 +65,8 @@ def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: in
         def made(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
+            numbers = permute(part * PART + np.array(cols[1], dtype=np.int64), DOMAIN, key)
+            return pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(list(c), t) for c, t in zip(cols, types))], schema.names)
 
         for batch in batches:
             kind, rows = batch.column(0).type, []
@@ -89,61 +91,52 @@ def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: in
 
 
 def write_shards(
-    docs: DataFrame, out_dir: str | None = None, length: int = SEQUENCE, key: int = 20_240_601, shard: int = SHARD, path: str | None = None, end_id: int = END_ID,
+    docs: DataFrame, out_dir: str | None = None, length: int = SEQUENCE, key: int = 20_240_601, shard_text: int = SHARD_TEXT, path: str | None = None, end_id: int = END_ID,
     id_width: int = 2, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per sequence: slot, shard, place (in its shard), part, nth, first_doc, first_start, n_ids, crc32 (of the record).
 
-    Computing the rows writes `shard-<number>.bin` files of records of length x id_width bytes into ``out_dir`` (a new folder of
-    the shared one if not given), by a temporary name and a rename, so a task that runs again writes the same file.
-    Slots are 0 to N - 1, each once. Short sequences are filled up with the end id. Null text: empty, the
-    end id alone; null ids and repeated rows are written like others; empty table: no rows, no shards."""
-    spark = docs.sparkSession
-    out_dir = out_dir or new_path(spark, "shards")
-    kept = new_path(spark, "sequences")
-    made = sequences(docs, length, path or vocabulary(), end_id, id_width, id_col, text_col)
-    made.write.option("compression", "zstd").parquet(kept)
-    made = spark.read.schema(made.schema).parquet(kept)
-    counts = made.groupBy("part").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("part") / 1000))
-    groups = counts.groupBy("group").agg(F.sum("n").alias("n"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    # Sequences in earlier parts; a thousand parts make one row of the only total order.
-    groups = groups.selectExpr("`group`", "coalesce(sum(n) over (order by `group` rows between unbounded preceding and 1 preceding), 0) as base")
-    first = counts.selectExpr("part", "`group`", "coalesce(sum(n) over (partition by `group` order by part rows between unbounded preceding and 1 preceding), 0) as inner_")
-    first = first.join(groups, "group").selectExpr("part", "base + inner_ as first")
-    placed = made.join(first, "part").withColumn("index", F.col("first") + F.col("nth")).drop("first")
-    with_slot = T.StructType([*placed.schema.fields, T.StructField("slot", T.LongType())])
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permute(batch.column(batch.num_columns - 1).to_numpy(), total, key))], with_slot.names)
-
-    ordered = placed.mapInArrow(slots, with_slot).withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
-    parts = max(1, -(-total // shard))
-    ordered = ordered.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    cols = ["slot", "shard", "part", "nth", "first_doc", "first_start", "n_ids"]
+    Writes `shard-<number>.bin` files of records of length x id_width bytes into ``out_dir`` (a new folder of
+    the shared one if not given), each by a temporary name and a rename, so a task that runs again writes the same file, and an
+    index of the shards' first slots. Slots are 0 to N - 1, each once; slots of a shard follow one another.
+    Short sequences are filled up with the end id. Null text: empty, the end id alone; null ids and repeated rows are
+    written like others; empty table: no rows, no shards."""
+    docs = id_and_text(docs, id_col, text_col)
+    out_dir = out_dir or new_path(docs.sparkSession, "shards")
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, -(-total // shard_text))
+    made = sequences(docs, length, path or vocabulary(), end_id, id_width, key)
+    # number * shards would leave 64 bits.
+    made = made.withColumn("shard", F.floor(F.col("number") / (DOMAIN / shards)).cast("int"))
+    ordered = made.repartitionById(shards, F.least("shard", F.lit(shards - 1))).sortWithinPartitions("number")
+    cols = ["shard", "part", "nth", "first_doc", "first_start", "n_ids"]
     schema = T.StructType([*(ordered.schema[c] for c in cols), T.StructField("place", T.LongType()), T.StructField("crc32", T.LongType())])
-    _write_note(out_dir, {"sequences": total, "length": length, "id_width": id_width, "shard": shard, "key": key, "end_id": end_id})
     stride, pad = length * id_width, end_id.to_bytes(id_width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: _Shard | None = None
         for batch in batches:
-            crcs = []
-            for number, ids in zip(batch.column(1).to_pylist(), batch.column(7).to_pylist()):
+            crcs, places = [], []
+            for number, ids in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist()):
                 if open_ is None or open_.number != number:
                     if open_:
                         open_.close()
                     open_ = _Shard(out_dir, number)
                 record = ids + pad * ((stride - len(ids)) // id_width)
-                open_.out.write(record)
+                places.append(open_.write(record))
                 crcs.append(zlib.crc32(record))
-            place = batch.column(0).to_numpy() % shard
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(place), pa.array(crcs, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(places, pa.int64()), pa.array(crcs, pa.int64())], schema.names)
         if open_:
             open_.close()
 
-    return ordered.select(*cols, "ids").mapInArrow(write, schema)
+    rows = written(ordered.select(*cols, "ids").mapInArrow(write, schema), "sequences")
+    counts = rows.groupBy("shard").agg(F.count("*").alias("n"))
+    first = sums_before(counts, "shard").join(counts, "shard").select("shard", F.col("before").alias("first_slot"), "n")
+    first.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/index")  # a row per shard
+    first = docs.sparkSession.read.schema(first.schema).parquet(f"{out_dir}/index")
+    _write_note(out_dir, {"length": length, "id_width": id_width, "key": key, "end_id": end_id})
+    placed = rows.join(first.drop("n"), "shard").withColumn("slot", F.col("first_slot") + F.col("place"))
+    return placed.select("slot", F.col("shard").cast("long").alias("shard"), "place", "part", "nth", "first_doc", "first_start", "n_ids", "crc32")
 
 
 def _packed(ids: bytes, width: int) -> bytes:
@@ -162,7 +155,13 @@ class _Shard:
         self.number, self.name = number, f"{folder}/shard-{number:08d}.bin"
         self.temporary = f"{folder}/.shard-{number:08d}-{TaskContext.get().taskAttemptId()}"
         self.fs.create_dir(folder, recursive=True)
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out, self.records = self.fs.open_output_stream(self.temporary), 0
+
+    def write(self, record: bytes) -> int:
+        """The place of the record."""
+        self.out.write(record)
+        self.records += 1
+        return self.records - 1
 
     def close(self) -> None:
         self.out.close()
@@ -184,16 +183,18 @@ def _write_note(out_dir: str, note: dict) -> None:
 
 def read_slots(out_dir: str, first: int = 0, n: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, ids) from slot ``first`` on, in training order: sequential reads of the shards, one seek at the start."""
+    import pyarrow.parquet as pq
+
     files, folder = _place(out_dir)
     with files.open_input_stream(f"{folder}/order.json") as f:
         note = json.loads(f.read())
-    stride = note["length"] * note["id_width"]
-    last = note["sequences"] if n is None else min(note["sequences"], first + n)
-    slot = first
-    while slot < last:
-        number, place = divmod(slot, note["shard"])
-        with files.open_input_file(f"{folder}/shard-{number:08d}.bin") as f:
-            f.seek(place * stride)
-            while slot < last and slot // note["shard"] == number:
-                yield slot, np.frombuffer(f.read(stride), f"<u{note['id_width']}")
-                slot += 1
+    index = pq.read_table(f"{folder}/index", filesystem=files).sort_by("first_slot").to_pylist()
+    stride, kind = note["length"] * note["id_width"], f"<u{note['id_width']}"
+    last = sum(r["n"] for r in index) if n is None else first + n
+    for r in index:
+        lo, hi = max(first, r["first_slot"]), min(last, r["first_slot"] + r["n"])
+        if lo < hi:
+            with files.open_input_file(f"{folder}/shard-{r['shard']:08d}.bin") as f:
+                f.seek((lo - r["first_slot"]) * stride)
+                for slot in range(lo, hi):
+                    yield slot, np.frombuffer(f.read(stride), kind)

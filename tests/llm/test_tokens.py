@@ -175,14 +175,16 @@ def test_shards_round_trip(spark, plain, tmp_path, width):
     rows = list(enumerate(texts(8, 80))) + [(900, None), (None, "null id"), (901, "again"), (901, "again")]
     docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"slot": F.lit("x"), "part": F.lit(1)})
     out = str(tmp_path / "shards")
-    index = ts.write_shards(docs, out, length=32, shard=7, key=5, id_width=width).collect()
+    index = ts.write_shards(docs, out, length=32, shard_text=2000, key=5, id_width=width).collect()
     n = len(index)
     assert sorted(r.slot for r in index) == list(range(n))
     read = dict(ts.read_slots(out))
     assert len(read) == n
     parts = defaultdict(dict)
+    assert len({r.shard for r in index}) > 2
+    for a, b in zip(*[sorted(index, key=lambda r: r.slot)[k:] for k in (0, 1)]):
+        assert (b.shard, b.place) == (a.shard, a.place + 1) or (b.shard > a.shard and b.place == 0)
     for r in index:
-        assert (r.shard, r.place) == divmod(r.slot, 7)
         parts[r.part][r.nth] = read[r.slot][: r.n_ids].tolist()
     streams = [sum((p[k] for k in sorted(p)), []) for p in parts.values()]
     assert sum(map(len, streams)) == sum(len(plain(t)) + 1 for _, t in rows)
@@ -201,7 +203,7 @@ def test_shards_round_trip(spark, plain, tmp_path, width):
 
 def test_shards_again_are_the_same_and_empty_tables_have_none(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words " * 300)], DOCS)
-    a, b = (ts.write_shards(docs, str(tmp_path / k), length=16, shard=5).orderBy("slot").collect() for k in "ab")
+    a, b = (ts.write_shards(docs, str(tmp_path / k), length=16, shard_text=500).orderBy("slot").collect() for k in "ab")
     assert a == b and len(a) > 20
     assert ts.write_shards(docs.limit(0), str(tmp_path / "c")).count() == 0
     assert list(ts.read_slots(str(tmp_path / "c"))) == []

@@ -1,46 +1,19 @@
-"""What the training-data operators share: the folder that all machines see,
-written intermediate tables, column guards and word hashing."""
+"""What the training-data operators share: column guards, sums over keys in order, and word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that one numpy pass holds at a time.
-PASS_CHARS = 1 << 20
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+from ..shared import new_path, shared_dir, written
 
-    Only where that is unset (tests, a single machine) a temporary folder of this
-    process stands in for it, once per application."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-gaugeworks-")
-    return _own_dirs[app]
+__all__ = ["PASS_CHARS", "id_and_text", "mix", "new_path", "shared_dir", "slices", "sums_before", "word_hashes", "written"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, so a
-    lost executor costs no more than its own tasks, and fixes generated ids."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Characters of text that one numpy pass holds at a time.
+PASS_CHARS = 1 << 20
 
 
 def sums_before(counts: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -32,16 +32,18 @@ def _block_names(blocks: DataFrame, digest) -> DataFrame:
     """(row, at, name): occurrences of blocks with the blocks' names.
 
     Contents are shuffled once, to be sorted and named. Occurrences find their
-    name by a 64-bit digest; where different blocks share one, by the content."""
-    named = written(_numbered(blocks.select("block"), "block").select("name", digest(F.col("block")).alias("digest"), "block"), "block-names")
-    shared = named.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    clash = written(named.join(shared, "digest", "left_semi"), "block-clashes")
+    name by a 64-bit digest; blocks whose digest another block shares are named anew, below zero, and found by content."""
+    named = _numbered(blocks.select("block"), "block").select("name", digest(F.col("block")).alias("digest"))
+    named = written(named, "block-names")
+    shared = written(named.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "shared-digests")
     places = blocks.select("row", "at", digest(F.col("block")).alias("digest"), "block")
-    if clash.isEmpty():
-        return places.drop("block").join(named.select("digest", "name"), "digest").select("row", "at", "name")
-    alone = named.join(clash.select("digest").distinct(), "digest", "left_anti").select("digest", "name")
-    one = places.drop("block").join(alone, "digest").select("row", "at", "name")
-    return one.unionAll(places.join(clash, ["digest", "block"]).select("row", "at", "name"))
+    found = places.drop("block").join(named, "digest").select("row", "at", "name")
+    if shared.isEmpty():
+        return found
+    alone = places.drop("block").join(named.join(shared, "digest", "left_anti"), "digest").select("row", "at", "name")
+    clash = places.join(shared, "digest", "left_semi")
+    fresh = written(_numbered(clash.select("block"), "block").withColumn("name", -1 - F.col("name")), "clash-names")
+    return alone.unionAll(clash.join(fresh, "block").select("row", "at", "name"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest=_digest) -> DataFrame:
@@ -92,6 +94,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null_id"), "doc_id", "row"))
     groups = rows.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("n_blocks", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    # Written, so that both sides of the join are plain shuffles and a group of very many rows can be split.
+    groups = written(groups, "groups")
     return rows.join(groups, ["n_blocks", "name"]).select(
         "row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chars"
     )

@@ -167,13 +167,15 @@ def forest_links(
     each task (each_pair: for each pair of chunks, closest links first), so that the
     components are those of all links and the rows stay in proportion to the nodes.
 
-    first: bound for the first lane alone. ratio: only nodes are compared whose sizes can be within it."""
+    first: bound for the first lane alone. ratio: only nodes are compared whose sizes can be within it.
+    If ``classes`` has a column part, all links between nodes of different parts are given, not a forest."""
     lanes = sorted(c for c in classes.columns if c.startswith("f") and c[1:].isdigit())
     tiled, steps = _tiles(classes, radius, ratio)
     # One row per tile: at most 23^4 of them by construction, whatever the input.
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("cuts"))
     cut = tiled.join(F.broadcast(sizes), "tile").withColumn("cut", F.pmod(F.xxhash64(*lanes, "node"), F.col("cuts")))
-    cols = ["node", *lanes]
+    apart = "part" in classes.columns
+    cols = ["node", *lanes, *(["part"] if apart else [])]
     chunks = cut.groupBy("tile", "cut").agg(F.collect_list(F.struct(*cols)).alias("rows"))
     chunks = written(chunks.select("tile", "cut", *(F.col(f"rows.{c}").alias(c) for c in cols)), "chunks")
     left = chunks.withColumn("meets", F.explode(F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda s: s + F.col("tile"))))
@@ -189,9 +191,15 @@ def forest_links(
         for batch in batches:
             out: list[tuple] = []
             same = batch.column(0).to_pylist()
-            side = [[(col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()) for col in map(batch.column, at)] for at in (range(1, 2 + len(lanes)), range(2 + len(lanes), 3 + 2 * len(lanes)))]
+            side = [[(col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()) for col in map(batch.column, at)] for at in (range(1, 1 + len(cols)), range(1 + len(cols), 1 + 2 * len(cols)))]
             for r in range(batch.num_rows):
-                (na, a), (nb, b) = ((v[0][0][v[0][1][r] : v[0][1][r + 1]], np.stack([x[o[r] : o[r + 1]] for x, o in v[1:]], 1).view(np.uint64)) for v in side)
+                cut = [[x[o[r] : o[r + 1]] for x, o in v] for v in side]
+                (na, a), (nb, b) = ((v[0], np.stack(v[1 : 1 + len(lanes)], 1).view(np.uint64)) for v in cut)
+                if apart:  # block by block, as these are not bounded by the number of nodes
+                    for i, j, d in close_pairs(a, b, radius, first, same[r]):
+                        far = cut[0][-1][i] != cut[1][-1][j]
+                        yield links(na[i[far]], nb[j[far]], d[far])
+                    continue
                 found = list(close_pairs(a, b, radius, first, same[r]))
                 if not found:
                     continue
@@ -201,8 +209,10 @@ def forest_links(
                     order, forest = np.argsort(d, kind="stable"), Forest()
                     i, j, d = i[order], j[order], d[order]
                 out += [(x, y, z) for x, y, z in zip(na[i].tolist(), nb[j].tolist(), d.tolist()) if forest.join(x, y)]
-            u, v, d = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, type=arrow), pa.array(v, type=arrow), pa.array(d, pa.int64())], ["u", "v", "distance"])
+            yield links(*zip(*out) if out else ((), (), ()))
+
+    def links(u, v, d) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u, type=arrow), pa.array(v, type=arrow), pa.array(d, pa.int64())], ["u", "v", "distance"])
 
     arrow = pa.int64() if isinstance(node_type, T.LongType) else pa.int32()
     return pairs.mapInArrow(run, schema)
@@ -231,6 +241,25 @@ def _jaccard(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _checked(links: DataFrame, docs: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
+    """The rows of ``links`` (u, v) whose texts' shingle sets are similar enough."""
+    ends = links.select(F.col("u").alias("doc_id")).unionAll(links.select("v")).distinct()
+    if (n := ends.count()) == 0:
+        texts = docs.limit(0)
+    else:  # ids of texts with a link: broadcast only if they were counted and are few
+        texts = docs.join(F.broadcast(ends) if n <= small else ends, "doc_id", "left_semi")
+    texts = written(texts, "linked")
+    a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
+    both = links.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_jaccard(x, y, words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, links.schema)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, slack: float = 3.0, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000
 ) -> DataFrame:
@@ -240,8 +269,9 @@ def near_duplicates(
 
     Candidates are pairs of wide SimHash fingerprints (64 x lanes bits) within the
     distance expected at that similarity plus ``slack`` standard deviations, found
-    by tiled comparison between texts of compatible sizes; each link that is kept
-    is then checked on the texts' own shingle sets. Null text: empty; texts without words form one
+    by tiled comparison between texts of compatible sizes. A spanning forest of them is checked
+    on the texts' own shingle sets; where the links that pass don't join all that the candidates join, every
+    candidate between what is still apart is checked too. Null text: empty; texts without words form one
     group. Rows with a null id are left out. Repeated rows share one row here."""
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     prints = written(fingerprints(docs, words, lanes, False), "fingerprints")
@@ -251,24 +281,19 @@ def near_duplicates(
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     reach = lambda bits: math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-    links = forest_links(nodes, reach(64 * lanes), reach(64), similarity, each_pair=True)
-    links = written(links.select("u", "v").distinct(), "links")
-    ends = links.select(F.col("u").alias("doc_id")).unionAll(links.select("v")).distinct()
-    if (n := ends.count()) == 0:
-        texts = docs.limit(0)
-    else:  # ids of texts with a link: broadcast only if they were counted and are few
-        texts = docs.join(F.broadcast(ends) if n <= small else ends, "doc_id", "left_semi")
-    texts = written(texts, "linked")
-    a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
-    both = links.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [_jaccard(x, y, words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    checked = both.mapInArrow(check, links.schema)
-    parts = connected_components(checked)
+    compare = lambda of, **how: forest_links(of, reach(64 * lanes), reach(64), similarity, **how).select("u", "v").distinct()
+    links = written(compare(nodes, each_pair=True), "links")
+    passed = written(_checked(links, docs, words, similarity, small), "checked")
+    parts = connected_components(passed)
+    if links.count() > passed.count():
+        # Candidates that closed a circle were left out, and a link they were left out for may have failed.
+        around = connected_components(links).join(parts.withColumnRenamed("component", "part"), "node", "left")
+        around = written(around.select("node", "component", F.coalesce("part", "node").alias("part")), "around")
+        split = around.groupBy("component").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+        unsettled = nodes.join(around.join(split, "component", "left_semi").select("node", "part"), "node")
+        rest = written(compare(unsettled).join(links, ["u", "v"], "left_anti"), "links")
+        more = _checked(rest, docs, words, similarity, small)
+        parts = connected_components(passed.unionAll(more))
     same = prints.join(nodes.withColumnRenamed("node", "least"), [*f, "n_shingles", "set_hash"]).select("doc_id", "least").distinct()
     grouped = same.join(parts, same.least == parts.node, "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
     return grouped.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

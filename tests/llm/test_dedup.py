@@ -83,6 +83,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute.components(sets, lambda a, b: brute.jaccard(a, b) >= 0.8)
 
 
+def test_candidates_behind_failed_links_are_checked(spark):
+    rng, rows = random.Random(11), []
+    for family in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        for k in range(14):  # similarities around 0.8 within a family
+            ws = list(base)
+            for at in rng.sample(range(160), 2):
+                ws[at] = f"x{rng.randrange(10**6)}"
+            rows.append((family * 100 + k, " ".join(ws)))
+    got = {r.doc_id: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = {d: brute.shingles(t, 5) for d, t in rows}
+    want = brute.components(sets, lambda a, b: brute.jaccard(a, b) >= 0.8)
+    assert 20 < len(set(want.values())) < 160
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A"), (None, "a")]
     got = {r.doc_id: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}

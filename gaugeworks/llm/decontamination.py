@@ -19,13 +19,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import id_and_text, mix, slices, word_hashes, written
 
-#: Masks over windows of words: 1 selects a position. The first is an unbroken run; for items shorter
-#: than a mask, the unbroken run of their own length is added.
-MASKS = ("11111111", "110100110111", "111011010011", "1101011001011", "1110010110101")
+#: Masks over windows of words: 1 selects a position. Whatever words are substituted, a stretch of ten words or more
+#: that begins and ends with an agreement and agrees in 80 % holds a window where one of them agrees throughout.
+MASKS = ("111111", "11101011", "110110011", "1100011011", "11010111", "111100101")
+#: Items shorter than this have masks of their own length.
+SHORT = 10
 #: Test hashes up to this number are sent to every task (24 bytes each); beyond it they are joined by a shuffle.
 SEND_UP_TO = 2_000_000
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks for items of ``n`` words, fewer than SHORT, that have to agree as a whole: of one substitution, which
+    80 % allow from five words on and which isn't at an end, one of three is free."""
+    if n < 5:
+        return ["1" * n]
+    return ["".join("0" if 0 < i < n - 1 and i % 3 == k else "1" for i in range(n)) for k in range(3)]
+
+
 def _coefficients(mask: str) -> tuple[np.ndarray, np.ndarray]:
     at = np.array([i for i, c in enumerate(mask) if c == "1"], dtype=np.int64)
     return at, mix((np.arange(len(at), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -61,15 +71,14 @@ def _hashed_items(items: DataFrame) -> DataFrame:
 
 
 def _test_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """(seed, item, at, mask): the hashes of all items; items shorter than every
-    mask are hashed whole."""
+    """(seed, item, at, mask): the hashes of all items; short items have masks of their own."""
     schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("item", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("mask", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.array(words, dtype=np.int64).view(np.uint64)
-                for m in [m for m in masks if len(m) <= len(h)] or (["1" * len(h)] if len(h) else []):
+                for m in masks if len(h) >= SHORT else short_masks(len(h)) if len(h) else []:
                     s = _signed(seed_hashes(h, m))
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array([m] * len(s))], schema.names)
 

@@ -159,6 +159,31 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     assert key(got) == key(large.collect())
 
 
+def test_every_accepted_item_is_hit_whatever_words_are_substituted(spark):
+    rng = random.Random(21)
+    items = {n: words(rng, n) for n in range(4, 31)}
+    docs = []
+    for n, item in items.items():
+        for _ in range(25):
+            own = list(item)
+            for at in rng.sample(range(1, n - 1), min(n // 5, n - 2)):
+                own[at] = "zz9"
+            docs.append((n, " ".join(words(rng, 7) + own + words(rng, 7))))
+    d = spark.createDataFrame([(100 * n + k % 25, t) for k, (n, t) in enumerate(docs)], DOCS)
+    i = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    hashed = {n: word_hashes([" ".join(x)])[0] for n, x in items.items()}
+    want = set()
+    for k, (_, text) in enumerate(docs):  # all diagonals of all items
+        doc = word_hashes([text])[0]
+        for n, own in hashed.items():
+            found = [f for s in range(1 - n, len(doc)) if (f := dc.diagonal(doc, own, s, 0.8))]
+            if any(f[1] >= min(n, max(10, 0.5 * n)) for f in found):
+                want.add((100 * docs[k][0] + k % 25, n))
+    assert len(want) >= len(docs)
+    for send in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in dc.overlaps(d, i, send_up_to=send).collect()} == want
+
+
 def test_overlaps_of_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert dc.overlaps(d, i).count() == 0

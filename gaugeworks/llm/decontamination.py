@@ -24,6 +24,8 @@ from .common import id_and_text, mix, slices, word_hashes, written
 MASKS = ("111111", "11101011", "110110011", "1100011011", "11010111", "111100101")
 #: Items shorter than this have masks of their own length.
 SHORT = 10
+#: Stretches on diagonals at most DRIFT words apart are added up, from PIECE words on.
+DRIFT, PIECE = 16, 6
 #: Test hashes up to this number are sent to every task (24 bytes each); beyond it they are joined by a shuffle.
 SEND_UP_TO = 2_000_000
 
@@ -109,30 +111,68 @@ def diagonal(doc: np.ndarray, item: np.ndarray, shift: int, least: float) -> tup
     return lo + start, n, int(same[start : start + n].sum())
 
 
+def stretches(doc: np.ndarray, item: np.ndarray, shift: int, least: float, shortest: int) -> list[tuple[int, int, int]]:
+    """All stretches of ``shortest`` words or more on a diagonal: the longest, and those of what it leaves on its sides."""
+    out, open_ = [], [(0, len(item))]
+    while open_:
+        a, b = open_.pop()
+        if b - a >= shortest and (found := diagonal(doc, item[a:b], shift + a, least)) and found[1] >= shortest:
+            start = a + found[0]
+            out.append((start, *found[1:]))
+            open_ += [(a, start), (start + found[1], b)]
+    return out
+
+
 class _Overlaps:
-    """Overlaps of one document, from hits (place in the document, item, its words, place in the item)."""
-
-    def __init__(self, least_share: float, least_words: int, cover: float):
-        self.least_share, self.least_words, self.cover = least_share, least_words, cover
-
-    def of(self, doc: np.ndarray, hits: Iterator[tuple[int, int, np.ndarray, int]]) -> list[tuple]:
-        """(item, doc_word, item_word, n_words, n_agree, share)."""
-        out, seen = [], set()
-        for place, item, words, at in hits:
-            shift = place - at
-            if (item, shift) in seen:
-                continue
-            seen.add((item, shift))
+    """Overlaps of one document, from its hits' items and diagonals."""
+
+    def __init__(self, least_share: float, least_words: int, cover: float, least_agree: int):
+        self.least_share, self.least_words, self.cover, self.least_agree = least_share, least_words, cover, least_agree
+
+    def of(self, doc: np.ndarray, hits: Iterator[tuple[int, np.ndarray, int]]) -> list[tuple]:
+        """(item, doc_word, item_word, n_words, n_agree, share), from hits (item, its words, shift)."""
+        shifts: dict[int, tuple[np.ndarray, set]] = {}
+        for item, words, shift in hits:
+            shifts.setdefault(item, (words, set()))[1].add(shift)
+        return [(item, *row) for item, (words, own) in shifts.items() for row in self._of_item(doc, words, sorted(own))]
+
+    def _of_item(self, doc: np.ndarray, words: np.ndarray, shifts: list[int]) -> Iterator[tuple]:
+        n = len(words)
+        need = min(n, max(self.least_words, self.cover * n))
+        near: list[tuple[int, int, int, int]] = []  # stretches too short by themselves, by diagonal
+        for shift in shifts:
             found = diagonal(doc, words, shift, self.least_share)
-            if found and found[1] >= min(len(words), max(self.least_words, self.cover * len(words))):
-                start, length, agree = found
-                out.append((item, shift + start, start, length, agree, agree / len(words)))
-        return out
+            if found and found[1] < need and n >= 2 * PIECE:
+                several = stretches(doc, words, shift, self.least_share, PIECE)
+            else:
+                several = [found] if found else []
+            whole = [x for x in several if x[1] >= need or x[1] >= self.least_words and x[2] >= self.least_agree]
+            for start, length, agree in whole[:1] if found and found[1] >= need else whole:
+                yield shift + start, start, length, agree, agree / n
+            if not whole:
+                pieces = [(shift, *x) for x in several if x[1] >= PIECE]
+                if pieces and near and shift - near[-1][0] > DRIFT:
+                    yield from self._together(doc, words, near, need)
+                    near = []
+                near += pieces
+        yield from self._together(doc, words, near, need)
+
+    def _together(self, doc: np.ndarray, words: np.ndarray, pieces: list[tuple[int, int, int, int]], need: float) -> Iterator[tuple]:
+        """One row for pieces on neighbouring diagonals that cover enough of the item together."""
+        if len(pieces) < 2:
+            return
+        covered, agreed = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
+        for shift, start, length, _ in pieces:
+            covered[start : start + length] = True
+            agreed[start : start + length] |= doc[shift + start : shift + start + length] == words[start : start + length]
+        if covered.sum() >= need:
+            first = min(shift + start for shift, start, _, _ in pieces)
+            yield first, min(p[1] for p in pieces), int(covered.sum()), int(agreed.sum()), float(agreed.sum() / len(words))
 
 
 def overlaps(
     docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, least_share: float = 0.8, least_words: int = 10, cover: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", send_up_to: int = SEND_UP_TO,
+    least_agree: int = 13, id_col: str = "doc_id", text_col: str = "text", send_up_to: int = SEND_UP_TO,
 ) -> DataFrame:
     """One row per overlap of a document with a benchmark item: doc_id, item_id,
     doc_word, item_word (where it starts, words from 0), n_words, n_agree, share (of
@@ -140,7 +180,10 @@ def overlaps(
 
     Words: runs of letters, digits and characters beyond ASCII, lower-cased. An overlap is an
     ungapped stretch that agrees in ``least_share`` of its words and covers
-    ``cover`` of the item and ``least_words`` words, or the whole item if that is shorter.
+    ``cover`` of the item and ``least_words`` words, or the whole item if that is shorter; or a stretch with
+    ``least_agree`` agreeing words, however long the item is. Shorter stretches of an item on neighbouring
+    diagonals (words were inserted or left out) are one overlap if they cover as much together; n_words and n_agree
+    then count the item's words. Such a stretch has ten words, or six that agree without a break.
     Null or wordless texts and items have no overlaps; repeated rows and items repeat theirs; null ids pass through.
     items: columns item_id and text. The test side's seeds are counted first: up to
     ``send_up_to`` they go to every task, else both sides are shuffled by seed."""
@@ -151,7 +194,7 @@ def overlaps(
     fields = [("doc_word", T.LongType()), ("item_word", T.LongType()), ("n_words", T.LongType()), ("n_agree", T.LongType()), ("share", T.DoubleType())]
     schema = T.StructType([docs.schema["doc_id"], kind, *(T.StructField(n, t) for n, t in fields)])
     shapes = [r[0] for r in tests.select("mask").distinct().collect()]  # the masks, and short items' lengths
-    rule = _Overlaps(least_share, least_words, cover)
+    rule = _Overlaps(least_share, least_words, cover, least_agree)
     way = _sent if tests.count() <= send_up_to else _shuffled
     return way(docs, items, tests, shapes, rule, schema)
 
@@ -195,7 +238,7 @@ def _sent(docs: DataFrame, items: DataFrame, tests: DataFrame, shapes: list[str]
                     for p, d, x, y in zip(near[good].tolist(), doc[good].tolist(), lo[good].tolist(), hi[good].tolist()):
                         hits.setdefault(d, []).append((p - int(ends[d] - size[d]), x, y))
                 for d, found in hits.items():
-                    each = ((p, int(own[k]), known[own[k]][1], int(ats[k])) for p, x, y in found for k in range(x, y))
+                    each = ((int(own[k]), known[own[k]][1], p - int(ats[k])) for p, x, y in found for k in range(x, y))
                     rows += [(ids[a + d], known[o[0]][0], *o[1:]) for o in rule.of(_signed(hashed[d]), each)]
             yield _frame(rows, batch.schema.field(0).type, to_arrow_type(schema["item_id"].dataType), schema.names)
 
@@ -216,14 +259,14 @@ def _shuffled(docs: DataFrame, items: DataFrame, tests: DataFrame, shapes: list[
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), row)), pa.array(np.arange(len(s))), pa.array(s)], seeds.names)
 
     hits = keyed.select("row", "text").mapInArrow(train, seeds).join(tests.select("seed", "item", "at"), "seed")
-    shifts = written(hits.select("row", "item", (F.col("place") - F.col("at")).alias("shift")).distinct(), "shifts")
-    both = shifts.join(keyed, "row").join(items, "item").select("doc_id", "text", "item", "item_id", "words", "shift")
+    shifts = hits.groupBy("row", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
+    both = written(shifts, "shifts").join(keyed, "row").join(items, "item").select("doc_id", "text", "item", "item_id", "words", "shifts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, h, item, item_id, words, shift in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                rows += [(doc_id, item_id, *o[1:]) for o in rule.of(_signed(h), iter([(shift, item, np.array(words, dtype=np.int64), 0)]))]
+            for doc_id, h, item, item_id, words, shifts in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                rows += [(doc_id, item_id, *o[1:]) for o in rule.of(_signed(h), ((item, np.array(words, dtype=np.int64), s) for s in shifts))]
             yield _frame(rows, batch.schema.field(0).type, batch.schema.field(3).type, schema.names)
 
     return both.mapInArrow(check, schema)

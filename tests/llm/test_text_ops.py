@@ -184,6 +184,19 @@ def test_every_accepted_item_is_hit_whatever_words_are_substituted(spark):
         assert {(r.doc_id, r.item_id) for r in dc.overlaps(d, i, send_up_to=send).collect()} == want
 
 
+def test_passages_of_long_items_and_items_with_inserted_words_are_found(spark):
+    rng = random.Random(23)
+    items = [words(rng, n) for n in (59, 100, 30, 24, 100)]
+    a, b, c, d, e = items
+    parts = [a[10:38], b[20:69], c[:10] + ["zz1"] + c[10:20] + ["zz2"] + c[20:], d[:8] + ["zz1"] + d[8:16] + ["zz2"] + d[16:], e[40:52], c[:9] + words(rng, 30) + c[20:29]]
+    docs = [(k, " ".join(words(rng, 50) + p + words(rng, 50))) for k, p in enumerate(parts)]
+    i = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    for send in (10**6, 0):
+        got = dc.overlaps(spark.createDataFrame(docs, DOCS), i, send_up_to=send).collect()
+        found = sorted((r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words, r.n_agree) for r in got)
+        assert found == [(0, 0, 50, 10, 28, 28), (1, 1, 50, 20, 49, 49), (2, 2, 50, 0, 30, 30), (3, 3, 50, 0, 24, 24)]
+
+
 def test_overlaps_of_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert dc.overlaps(d, i).count() == 0

@@ -69,7 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what stayed, in sequences of at most 1024 tokens."""
-    return pack(docs)
+    return pack(docs, added=True)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontaminate), ("packing", packing)]

@@ -32,7 +32,7 @@ WINDOW, END_ID = 1024, 0
 STEPS = 300
 
 
-def pieces_of(docs: DataFrame, window: int, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, window: int, path: str, end_id: int, id_col: str, text_col: str, added: bool) -> DataFrame:
     """One row per piece: part, nth (rank among the pieces of its length in its part), doc_id, start, length,
     ids_crc32, doc_tokens. A part is one task's rows; it is numbered once, as this table is written."""
     docs = id_and_text(docs, id_col, text_col)
@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, window: int, path: str, end_id: int, id_col: str,
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc = TaskContext.get().partitionId(), Counter(), encoder(path)
+        part, seen, enc = TaskContext.get().partitionId(), Counter(), encoder(path, added)
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
@@ -165,14 +165,14 @@ def _places(rows: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarr
     return {v: tuple(np.array(c, dtype=np.int64) for c in zip(*x)) for v, x in by.items()}
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and ``end_id``; each id lies in one piece. Pieces of a
     sequence lie from offset 0 on without gaps and hold at most ``window`` ids.
-    Null or empty text: the end id alone. Null ids and repeated rows are packed
+    added: as of Encoder. Null or empty text: the end id alone. Null ids and repeated rows are packed
     like others. Empty table: no rows."""
-    pieces = written(pieces_of(docs, window, path or vocabulary(), end_id, id_col, text_col), "pieces")
+    pieces = written(pieces_of(docs, window, path or vocabulary(), end_id, id_col, text_col, added), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(counts, "counts")  # parts x lengths rows at most
     histogram = np.zeros(window + 1, dtype=np.int64)

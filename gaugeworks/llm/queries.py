@@ -39,12 +39,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after the edits that mask personal data."""
-    found = count_tokens(_table(spark, sf_dir, "documents"), cleaning_edits)
+    found = count_tokens(_table(spark, sf_dir, "documents"), cleaning_edits, added=True)
     return found.drop("leaf_chars", "leaf_tokens")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_shards(_table(spark, sf_dir, "documents"))
+    return write_shards(_table(spark, sf_dir, "documents"), added=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,7 +28,7 @@ class TokenTree:
 
     def __init__(self, enc: Encoder, text: str, chars: list[int] | None = None, tokens: list[int] | None = None):
         """chars, tokens: the leaves of a stored tree of ``text``; without them all is encoded."""
-        self.enc, self.encoded = enc, 0
+        self.enc, self.encoded, self.context = enc, 0, CONTEXT + enc.reach
         if chars is None or tokens is None:
             chars, tokens = self._leaves(enc.pre_tokens(text))
         self.texts: list[str] = []
@@ -100,14 +100,14 @@ class TokenTree:
             self.encoded += len(pieces)
             self._build([len(inserted)], [0])
             return self._split_up(0, pieces)
-        a, first = self._find(max(0, at - CONTEXT))
+        a, first = self._find(max(0, at - self.context))
         b, _ = self._find(at + removed)
         old = "".join(self.texts[a : b + 1])
         region = old[: at - first] + inserted + old[at - first + removed :]
         while True:
             # What follows decides whether the region still ends where a pre-token does.
             nxt, after = b + 1, ""
-            while nxt < len(self.texts) and len(after) < CONTEXT:
+            while nxt < len(self.texts) and len(after) < self.context:
                 after += self.texts[nxt]
                 nxt += 1
             pieces, end = [], 0
@@ -165,14 +165,14 @@ def cleaning_edits(text: str) -> list[Edit]:
 
 
 def count_tokens(
-    docs: DataFrame, edits: Callable[[str], list[Edit]] | str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+    docs: DataFrame, edits: Callable[[str], list[Edit]] | str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, added: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens_before, n_edits, encoded (pre-tokens that the edits made encode),
     tokens, chars, leaf_chars, leaf_tokens (the tree, for later edits), and the edited text on request.
 
     edits: a function of the text, or the name of a column array<struct<at, removed, inserted>>, applied in order. Columns
     leaf_chars and leaf_tokens of ``docs``, where not null, are taken as the trees of its texts, so that only edits cost.
-    Null text: empty, zero tokens. Null edits: none. Null ids and repeated rows pass through."""
+    added: as of Encoder, the same for a text and its stored tree. Null text: empty, zero tokens. Null edits: none. Null ids and repeated rows pass through."""
     stored = {"leaf_chars", "leaf_tokens"} <= set(docs.columns)
     cols = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
     cols += [F.col(c) if stored else F.lit(None).cast("array<int>").alias(c) for c in ("leaf_chars", "leaf_tokens")]
@@ -185,7 +185,7 @@ def count_tokens(
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, added)
         for batch in batches:
             rows, texts = [], []
             given = batch.column(4).to_pylist() if listed else [None] * batch.num_rows

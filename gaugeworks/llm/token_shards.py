@@ -48,7 +48,7 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: int, key: int) -> DataFrame:
+def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: int, key: int, added: bool = False) -> DataFrame:
     """Rows (number, part, nth, first_doc, first_start, n_ids, ids): each part's ids in order, cut at every ``length``
     ids; only a part's last sequence can be shorter. first_*: the document of the first id and its place in it."""
     longs = [T.StructField(c, T.LongType()) for c in ("number", "part", "nth")]
@@ -58,7 +58,7 @@ def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: in
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        part, nth, enc = TaskContext.get().partitionId(), 0, encoder(path, added)
         held, first = b"", (None, 0)
         kind = None
 
@@ -92,20 +92,20 @@ def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: in
 
 def write_shards(
     docs: DataFrame, out_dir: str | None = None, length: int = SEQUENCE, key: int = 20_240_601, shard_text: int = SHARD_TEXT, path: str | None = None, end_id: int = END_ID,
-    id_width: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    id_width: int = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False,
 ) -> DataFrame:
     """One row per sequence: slot, shard, place (in its shard), part, nth, first_doc, first_start, n_ids, crc32 (of the record).
 
     Writes `shard-<number>.bin` files of records of length x id_width bytes into ``out_dir`` (a new folder of
     the shared one if not given), each by a temporary name and a rename, so a task that runs again writes the same file, and an
     index of the shards' first slots. Slots are 0 to N - 1, each once; slots of a shard follow one another.
-    Short sequences are filled up with the end id. Null text: empty, the end id alone; null ids and repeated rows are
+    added: as of Encoder. Short sequences are filled up with the end id. Null text: empty, the end id alone; null ids and repeated rows are
     written like others; empty table: no rows, no shards."""
     docs = id_and_text(docs, id_col, text_col)
     out_dir = out_dir or new_path(docs.sparkSession, "shards")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_text))
-    made = sequences(docs, length, path or vocabulary(), end_id, id_width, key)
+    made = sequences(docs, length, path or vocabulary(), end_id, id_width, key, added)
     # number * shards would leave 64 bits.
     made = made.withColumn("shard", F.floor(F.col("number") / (DOMAIN / shards)).cast("int"))
     ordered = made.repartitionById(shards, F.least("shard", F.lit(shards - 1))).sortWithinPartitions("number")

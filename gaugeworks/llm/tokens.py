@@ -78,14 +78,23 @@ class _Counts(dict):
 
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer file; ``path`` is that file's place.
-    Strings of special tokens in a text are ordinary text; none is added."""
+    added: strings of the file's added tokens in a text give those tokens' ids, as by the library's
+    default; else they are ordinary text. No token is added."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, added: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self._model = whole.model
+        tokens = whole.get_added_tokens_decoder() if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+            raise ValueError("added tokens that take their surroundings are not supported")
+        self._added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
+        #: Characters of the longest added token.
+        self.reach = max(map(len, self._added), default=0)
         self._split = regex.compile(public_tokenizers.PATTERN)
         self._letters = _byte_letters()
         self._words = _Words(self, remembered)
@@ -93,10 +102,19 @@ class Encoder:
         #: Tokens of each pre-token: ``counts[piece]``.
         self.counts = _Counts(self, remembered)
 
+    def _parts(self, text: str) -> list[str]:
+        """``text`` cut around its added tokens: these are at odd places."""
+        return self._at_added.split(text) if any(t in text for t in self._added) else [text]
+
     def pre_tokens(self, text: str) -> list[str]:
-        return self._split.findall(text)
+        parts = self._parts(text)
+        if len(parts) == 1:
+            return self._split.findall(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self._split.findall(part))]
 
     def pre_token(self, piece: str) -> bytes:
+        if piece in self._added:
+            return self._added[piece]
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
 
@@ -117,6 +135,10 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as unsigned 32-bit numbers, little-endian."""
+        parts = self._parts(text)
+        return b"".join([self._added[p] if k % 2 else self._plain_ids(p) for k, p in enumerate(parts)]) if len(parts) > 1 else self._plain_ids(text)
+
+    def _plain_ids(self, text: str) -> bytes:
         words = text.split(" ")
         try:
             return self.chunk(words[0]) + b"".join(map(self._words.__getitem__, words[1:]))
@@ -124,14 +146,14 @@ class Encoder:
             return b"".join([self.chunk(c) for c in _CUT.split(text) if c])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's own encoder for a file, kept between batches and tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added=added)
+    return _encoders[path, added]
 
 
 def vocabulary() -> str:

@@ -41,6 +41,27 @@ def test_ids_equal_the_tokenizer(plain):
             assert np.frombuffer(enc.ids(t), "<u4").tolist() == plain(t), t
 
 
+def test_added_tokens_equal_the_tokenizer_in_its_default_state(spark, tmp_path):
+    from gaugeworks.llm.queries import op5_pack
+
+    whole, end, rng, enc = Tokenizer.from_file(vocabulary()), "<|endoftext|>", random.Random(5), Encoder(vocabulary(), added=True)
+    want = lambda text: whole.encode(text, add_special_tokens=False).ids
+    put = lambda n: "".join(rng.choice([end, end[:6], end[6:], "", random_text(rng, 9)]) for _ in range(n))
+    odd = ["hello " + end + " x", end, end + end, "a  " + end + "  b", end[:-1], "<" + end + ">"] + [put(8) for _ in range(200)]
+    assert want(odd[0]) == [31373, 220, 50256, 2124]
+    for t in odd:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == want(t), t
+        tree, now = tc.TokenTree(enc, t * 40), t * 40
+        for _ in range(10):
+            at, gone, new = rng.randint(0, len(now)), rng.choice([0, 1, 7, 300]), rng.choice(["", end, end[:6], end[6:], "x "])
+            tree.edit(at, gone, new)
+            now = now[:at] + new + now[at + gone :]
+            assert (tree.text, tree.n_tokens) == (now, len(want(now)))
+    spark.createDataFrame(list(enumerate(odd)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in op5_pack(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(want(t)) + 1, brute.crc([*want(t), pk.END_ID])) for k, t in enumerate(odd)}
+
+
 def test_trees_after_edits_equal_full_counts(plain):
     rng, enc = random.Random(2), Encoder(vocabulary())
     for t in texts(3, 60) + [random_text(rng, 6000)]:

@@ -40,9 +40,12 @@ SENSITIVE = {
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|example\w*|your[\w-]*|todo|test\w*|dummy\w*|placeholder|redacted|[\$<{%].*)$")
 
 #: A name, quoted or not, and the sign that binds it. The sign is no comparison, and no part of a URL.
-_TARGET = re.compile(r"""(?:(?<![\w$.-])([A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|["']([\w$. -]{1,80})["'])\x20*(?::=|=>|->|=(?!=)|:(?!//))""")
+_TARGET = re.compile(r"""(?:(?<![\w$.-])([A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|["']([\w$. -]+)["'])\x20*(?::=|=>|->|=(?!=)|:(?!//))""")
 _TERM = re.compile(r"""[\x20\t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]+<>]+))""")
-_PLUS = re.compile(r"[\x20\t]*\+(?!=)")
+#: What may lie between a sign and a quoted literal besides space: a bracket, or the end of a line.
+_OPEN = re.compile(r"""[\x20\t]*(?:\(\s*|\\?\r?\n\s*(?:\(\s*)?)(?=["'`])""")
+#: A plus sign of a sum, at the end of a line or indented at the start of one too, and the line's end after it.
+_PLUS = re.compile(r"[\x20\t]*(?:\\?\r?\n[\x20\t]+)?\+(?!=)(?:[\x20\t]*\\?\r?\n)?")
 _BOUND = re.compile(r"[\x20\t]*(?::=|=|:)")
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -65,25 +68,29 @@ def randomness(value: str) -> float:
 def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(target name, literal, start, end) of the assignments in ``text``, constants propagated:
     a literal is given once for each name it reaches, with the place of its own."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, dict[tuple[int, int], str]] = {}
     for first, last in _lines(text):
         for m in _TARGET.finditer(text, first, last):
             name = m.group(1) or m.group(2)
-            found = []
-            for value, a, b, quoted in _terms(text, m.end(), last):
+            found: dict[tuple[int, int], str] = {}  # of a sum: its parts, each place once
+            for value, a, b, quoted in _terms(text, m.end(), len(text)):
                 if not quoted and value in known:
-                    found += known[value]
+                    found |= known[value]
                 elif b > a:
-                    found.append((value, a, b))
+                    found[a, b] = value
             if found:
-                known[name] = found[:16]  # of a sum: its parts
-                for value, a, b in found[:16]:
+                known[name] = found
+                for (a, b), value in found.items():
                     yield name, value, a, b
 
 
 def _terms(text: str, at: int, last: int) -> Iterator[tuple[str, int, int, bool]]:
     """(value, start, end, quoted) of the terms of a sum that begins at ``at``."""
+    if o := _OPEN.match(text, at, last):
+        at = o.end()
     while m := _TERM.match(text, at, last):
+        if m.lastindex < 4 and _BOUND.match(text, m.end(), last):
+            return  # a quoted name on the next line
         kind = m.lastindex
         if kind == 4 and _BOUND.match(text, m.end(), last):
             return  # what stands here is the next assignment's name

@@ -52,6 +52,14 @@ def test_named_literals(text, found):
     assert found in [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"]
 
 
+def test_named_literals_of_long_sums_and_over_line_ends():
+    parts = [f"Zx{k:02d}-qqLm-77Ab" for k in range(40)]
+    for text in ("auth_token = " + " + ".join(f'"{p}"' for p in parts), "private_key = " + " +\n  ".join(f'"{p}"' for p in parts), "private_key = (" + "\n  + ".join(f'"{p}"' for p in parts) + ")"):
+        assert [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"] == parts
+    for text in ('{"private_key":\n  "Lk93jd02mXq1"}', 'credentials = \\\n  "Lk93jd02mXq1"', f'{{"{"x" * 90}_private_key": "Lk93jd02mXq1"}}'):
+        assert "Lk93jd02mXq1" in [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"]
+
+
 @pytest.mark.parametrize("text", ["password: changeme", 'title = "A quiet evening"', "note: the token was lost", "key = 12", "time: 10:30", "Said he: nothing = all", 'token = "${TOKEN}"'])
 def test_clean_text_has_no_named_literals(text):
     assert not [s for s in ss.secret_spans(text) if s[0] == "named"]

@@ -1,37 +1,43 @@
 """Training-order materialisation of token ids.
 
-Documents' ids, each followed by an end id, are cut into sequences of one length. A keyed
-Feistel permutation with cycle-walking gives every sequence a number of its own in a
-domain far larger than their number; its rank among those numbers is the sequence's global slot. Equal ranges of the
-domain are the shards: rows are range-partitioned by them, sorted, and written once, as records of one stride. So the
-ids are moved once and stored once, and a reader can go on from any slot."""
+The ids of all documents, each followed by an end id, form one stream in the order of the table. It is cut
+into sequences of one length; sequence number i gets the slot that a keyed Feistel permutation of the N sequences,
+with cycle-walking, gives i. Equal ranges of slots are the shards, written as records of one stride, so a slot's
+shard and place follow from the slot alone and a reader can go on anywhere.
+
+Ids are made once and stored; then their number is known, and they are moved once, to their shards."""
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, mix, new_path, sums_before, written
+from .common import mix, new_path, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
-#: Bytes of text that make a shard, about.
-SHARD_TEXT = 32 << 20
-#: Sequences that a part can have, and numbers that the permutation runs over.
-PART, DOMAIN = 10**9, 10**15
+#: Records in a shard: with two bytes an id, 32 MB.
+PER_SHARD = 16 * 1024
+#: Ids in a stored stretch of the stream; level of compression of what is stored and moved on the way.
+STRETCH, LEVEL = 8 * 1024, 3
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """The slots of ``index`` (0 to n - 1) under a keyed permutation of n numbers: a balanced Feistel
     network on the least even number of bits that holds n, walked on while it is outside."""
+    if n > 1 << 62:
+        raise ValueError("more than 2^62 sequences")
     half = np.uint64(max(1, ((max(n - 1, 1)).bit_length() + 1) // 2))
     low = (np.uint64(1) << half) - np.uint64(1)
     keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (1 << 64) - 1))
@@ -48,95 +54,155 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, path: str, end_id: int, id_width: int, key: int, added: bool = False) -> DataFrame:
-    """Rows (number, part, nth, first_doc, first_start, n_ids, ids): each part's ids in order, cut at every ``length``
-    ids; only a part's last sequence can be shorter. first_*: the document of the first id and its place in it."""
-    longs = [T.StructField(c, T.LongType()) for c in ("number", "part", "nth")]
-    schema = T.StructType(
-        [*longs, T.StructField("first_doc", docs.schema["doc_id"].dataType), T.StructField("first_start", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())]
-    )
-    end = end_id.to_bytes(4, "little")
+def _origin(docs: DataFrame) -> list[Column]:
+    """What names the part of the table that a row was read with, in table order: a file and the place of a block in it,
+    however files are split; where rows don't come straight from files, their partition."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return [F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("start")]
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+
+
+def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: str, text_col: str, added: bool, size: int = STRETCH) -> DataFrame:
+    """(file, start, at, n, docs, doc_at, ids): each part's ids in order, cut at every ``size`` ids. at: the ids of the part
+    before. docs, doc_at: the documents that begin in the stretch or reach into it, and where in the part they begin."""
+    src = docs.select(*_origin(docs), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = src.schema["doc_id"].dataType
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([
+        T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("docs", T.ArrayType(kind)), T.StructField("doc_at", longs), T.StructField("ids", T.BinaryType()),
+    ])
+    end = end_id.to_bytes(id_width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, enc = TaskContext.get().partitionId(), 0, encoder(path, added)
-        held, first = b"", (None, 0)
-        kind = None
+        enc, part, at, held, marks = encoder(path, added), None, 0, bytearray(), []
+        arrow = None
+
+        def cut(least: int) -> Iterator[tuple]:
+            nonlocal at, marks
+            while len(held) >= max(1, least) * id_width:
+                n = min(size, len(held) // id_width)
+                own = [m for m in marks if m[1] < at + n]
+                yield (*part, at, n, [m[0] for m in own], [m[1] for m in own], bytes(held[: n * id_width]))
+                del held[: n * id_width]
+                at += n
+                marks = own[-1:] + marks[len(own) :]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.binary()]
-            numbers = permute(part * PART + np.array(cols[1], dtype=np.int64), DOMAIN, key)
-            return pa.RecordBatch.from_arrays([pa.array(numbers), *(pa.array(list(c), t) for c, t in zip(cols, types))], schema.names)
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
 
         for batch in batches:
-            kind, rows = batch.column(0).type, []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = enc.ids(text) + end
-                if not held:
-                    first = (doc, 0)
-                before = len(held) // 4
-                held += own
-                at = 0
-                while len(held) - at >= 4 * length:
-                    rows.append((part, nth, *first, length, _packed(held[at : at + 4 * length], id_width)))
-                    nth += 1
-                    at += 4 * length
-                    first = (doc, at // 4 - before)
-                held = held[at:]
+            arrow, rows = batch.column(2).type, []
+            for file, start, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, start) != part:
+                    if part is not None:
+                        rows += cut(1)
+                    part, at, marks = (file, start), 0, []
+                marks.append((doc, at + len(held) // id_width))
+                held += _packed(enc.ids(text), id_width) + end
+                rows += cut(size)
             yield made(rows)
         if held:
-            yield made([(part, nth, *first, len(held) // 4, _packed(held, id_width))])
+            yield made(list(cut(1)))
+
+    return src.mapInArrow(run, schema)
+
+
+def _before(stored: DataFrame) -> DataFrame:
+    """(file, start, before): the ids of the stream before each part. A row for each split of the input that was read."""
+    counts = written(stored.groupBy("file", "start").agg(F.sum("n").alias("n")), "parts")
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = counts.groupBy("file").agg(F.sum("n").alias("n")).select("file", earlier(W.orderBy("file")).alias("base"))
+    own = counts.select("file", "start", earlier(W.partitionBy("file").orderBy("start")).alias("inner"))
+    return own.join(files, "file").select("file", "start", (F.col("base") + F.col("inner")).alias("before"))
 
-    return docs.mapInArrow(run, schema)
+
+def _moved(placed: DataFrame, length: int, id_width: int, n: int, per_shard: int, key: int) -> DataFrame:
+    """(shard, slots, indices, within, sizes, first_docs, first_starts, ids): the pieces of a batch's sequences by shard. A sequence
+    that a stretch's end cuts has several pieces; ids: theirs, one after another, compressed."""
+    kind = placed.schema["docs"].dataType
+    longs = T.ArrayType(T.LongType())
+    names = ["slots", "indices", "within", "sizes"]
+    schema = T.StructType([
+        T.StructField("shard", T.IntegerType()), *(T.StructField(c, longs) for c in names), T.StructField("first_docs", kind), T.StructField("first_starts", longs), T.StructField("ids", T.BinaryType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            by: dict[int, tuple[list, ...]] = {}
+            arrow = batch.column(3).type
+            for before, at, size, docs, doc_at, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                pos = before + at
+                cuts = [0, *range(length - pos % length, size, length), size]
+                index = np.arange(pos // length, pos // length + len(cuts) - 1)
+                slots = permute(index, n, key)
+                for i, slot, a, b in zip(index.tolist(), slots.tolist(), cuts, cuts[1:]):
+                    within, k = (pos + a) % length, bisect_right(doc_at, at + a) - 1
+                    own = by.setdefault(slot // per_shard, ([], [], [], [], [], [], []))
+                    first = (docs[k], at + a - doc_at[k]) if within == 0 else (None, None)
+                    for col, v in zip(own, (slot, i, within, b - a, *first, ids[a * id_width : b * id_width])):
+                        col.append(v)
+            rows = [(shard, *own[:6], pack.compress(b"".join(own[6]))) for shard, own in by.items()]
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            types = [pa.int32(), *[pa.list_(pa.int64())] * 4, arrow, pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
+
+    return placed.select("before", "at", "n", "docs", "doc_at", "ids").mapInArrow(run, schema)
 
 
 def write_shards(
-    docs: DataFrame, out_dir: str | None = None, length: int = SEQUENCE, key: int = 20_240_601, shard_text: int = SHARD_TEXT, path: str | None = None, end_id: int = END_ID,
+    docs: DataFrame, out_dir: str | None = None, length: int = SEQUENCE, key: int = 20_240_601, per_shard: int = PER_SHARD, path: str | None = None, end_id: int = END_ID,
     id_width: int = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False,
 ) -> DataFrame:
-    """One row per sequence: slot, shard, place (in its shard), part, nth, first_doc, first_start, n_ids, crc32 (of the record).
-
-    Writes `shard-<number>.bin` files of records of length x id_width bytes into ``out_dir`` (a new folder of
-    the shared one if not given), each by a temporary name and a rename, so a task that runs again writes the same file, and an
-    index of the shards' first slots. Slots are 0 to N - 1, each once; slots of a shard follow one another.
-    added: as of Encoder. Short sequences are filled up with the end id. Null text: empty, the end id alone; null ids and repeated rows are
-    written like others; empty table: no rows, no shards."""
-    docs = id_and_text(docs, id_col, text_col)
-    out_dir = out_dir or new_path(docs.sparkSession, "shards")
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_text))
-    made = sequences(docs, length, path or vocabulary(), end_id, id_width, key, added)
-    # number * shards would leave 64 bits.
-    made = made.withColumn("shard", F.floor(F.col("number") / (DOMAIN / shards)).cast("int"))
-    ordered = made.repartitionById(shards, F.least("shard", F.lit(shards - 1))).sortWithinPartitions("number")
-    cols = ["shard", "part", "nth", "first_doc", "first_start", "n_ids"]
-    schema = T.StructType([*(ordered.schema[c] for c in cols), T.StructField("place", T.LongType()), T.StructField("crc32", T.LongType())])
-    stride, pad = length * id_width, end_id.to_bytes(id_width, "little")
+    """One row per sequence: slot, shard, place (in its shard), sequence (its number in the stream), first_doc, first_start (the document
+    of the first id and its place in it), n_ids, crc32 (of the record).
+
+    Writes `shard-<number>.bin` files of ``per_shard`` records of length x id_width bytes into ``out_dir`` (a new folder of the
+    shared one if not given): slot = permute(sequence, N, key), shard = slot // per_shard, place = slot % per_shard. A task holds one
+    shard. Files appear by a rename when whole, so a task that runs again leaves the same file. Every
+    sequence is full but the stream's last one, which is filled up with the end id. The stream follows the table's files
+    and their rows, so other splits or cores give the same shards; rows that don't come straight from files follow
+    their partitions. added: as of Encoder. Null text: empty, the end id alone; null ids and repeated rows are
+    written like others; other columns don't matter; empty table: no rows, no shards."""
+    spark = docs.sparkSession
+    out_dir = out_dir or new_path(spark, "shards")
+    store = new_path(spark, "ids")
+    made = stretches(docs, path or vocabulary(), end_id, id_width, id_col, text_col, added)
+    made.write.option("compression", "zstd").parquet(store)
+    stored = spark.read.schema(made.schema).parquet(store)
+    parts = written(_before(stored), "parts-before")
+    total = stored.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // length)
+    shards = max(1, -(-n // per_shard))
+    _write_note(out_dir, {"length": length, "id_width": id_width, "key": key, "end_id": end_id, "per_shard": per_shard, "n": n})
+    # A row for each split of the input: as many as the scan has tasks.
+    moved = _moved(stored.join(F.broadcast(parts), ["file", "start"]), length, id_width, n, per_shard, key)
+    kind = moved.schema["first_docs"].dataType.elementType
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    schema = T.StructType([*longs("slot", "shard", "place", "sequence"), T.StructField("first_doc", kind), *longs("first_start", "n_ids", "crc32")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: _Shard | None = None
+        open_: dict[int, _Shard] = {}
+        arrow = None
         for batch in batches:
-            crcs, places = [], []
-            for number, ids in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist()):
-                if open_ is None or open_.number != number:
-                    if open_:
-                        open_.close()
-                    open_ = _Shard(out_dir, number)
-                record = ids + pad * ((stride - len(ids)) // id_width)
-                places.append(open_.write(record))
-                crcs.append(zlib.crc32(record))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(places, pa.int64()), pa.array(crcs, pa.int64())], schema.names)
-        if open_:
-            open_.close()
-
-    rows = written(ordered.select(*cols, "ids").mapInArrow(write, schema), "sequences")
-    counts = rows.groupBy("shard").agg(F.count("*").alias("n"))
-    first = sums_before(counts, "shard").join(counts, "shard").select("shard", F.col("before").alias("first_slot"), "n")
-    first.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/index")  # a row per shard
-    first = docs.sparkSession.read.schema(first.schema).parquet(f"{out_dir}/index")
-    _write_note(out_dir, {"length": length, "id_width": id_width, "key": key, "end_id": end_id})
-    placed = rows.join(first.drop("n"), "shard").withColumn("slot", F.col("first_slot") + F.col("place"))
-    return placed.select("slot", F.col("shard").cast("long").alias("shard"), "place", "part", "nth", "first_doc", "first_start", "n_ids", "crc32")
+            arrow = batch.column(5).type.value_type
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard not in open_:
+                    open_[shard] = _Shard(shard, min(per_shard, n - shard * per_shard), length, f"<u{id_width}", end_id)
+                open_[shard].put(shard * per_shard, *row)
+        for shard, own in sorted(open_.items()):
+            own.save(out_dir)
+            rows = [(shard * per_shard + k, shard, k, own.index[k], own.first[k][0], own.first[k][1], int(own.n_ids[k]), zlib.crc32(own.records[k])) for k in range(len(own.records))]
+            cols = list(zip(*rows))
+            types = [*[pa.int64()] * 4, arrow, *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
+
+    return written(moved.repartitionById(shards, "shard").mapInArrow(write, schema), "sequences")
 
 
 def _packed(ids: bytes, width: int) -> bytes:
@@ -148,24 +214,38 @@ def _packed(ids: bytes, width: int) -> bytes:
 
 
 class _Shard:
-    """A shard file that appears under its name only when it is whole."""
-
-    def __init__(self, out_dir: str, number: int):
-        self.fs, folder = _place(out_dir)
-        self.number, self.name = number, f"{folder}/shard-{number:08d}.bin"
-        self.temporary = f"{folder}/.shard-{number:08d}-{TaskContext.get().taskAttemptId()}"
-        self.fs.create_dir(folder, recursive=True)
-        self.out, self.records = self.fs.open_output_stream(self.temporary), 0
-
-    def write(self, record: bytes) -> int:
-        """The place of the record."""
-        self.out.write(record)
-        self.records += 1
-        return self.records - 1
-
-    def close(self) -> None:
-        self.out.close()
-        self.fs.move(self.temporary, self.name)
+    """The records of a shard, put together from pieces."""
+
+    def __init__(self, number: int, n: int, length: int, kind: str, end_id: int):
+        self.number, self.width = number, np.dtype(kind).itemsize
+        self.records = np.full((n, length), end_id, dtype=kind)
+        self.index, self.first, self.n_ids = [0] * n, [(None, None)] * n, np.zeros(n, dtype=np.int64)
+
+    def put(self, base: int, slots, indices, within, sizes, docs, starts, ids) -> None:
+        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), self.records.dtype)
+        at = 0
+        for slot, i, w, size, doc, start in zip(slots, indices, within, sizes, docs, starts):
+            k = slot - base
+            self.records[k, w : w + size] = flat[at : at + size]
+            self.index[k] = i
+            self.n_ids[k] += size
+            if start is not None:
+                self.first[k] = (doc, start)
+            at += size
+
+    def save(self, out_dir: str) -> None:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, folder = _place(out_dir)
+        name = f"{folder}/shard-{self.number:08d}.bin"
+        temporary = f"{folder}/.shard-{self.number:08d}-{TaskContext.get().taskAttemptId()}"
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(temporary) as out:
+            out.write(self.records.tobytes())
+        if files.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt; some stores don't move onto a file
+            files.delete_file(name)
+        files.move(temporary, name)
 
 
 def _place(out_dir: str):
@@ -183,18 +263,15 @@ def _write_note(out_dir: str, note: dict) -> None:
 
 def read_slots(out_dir: str, first: int = 0, n: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, ids) from slot ``first`` on, in training order: sequential reads of the shards, one seek at the start."""
-    import pyarrow.parquet as pq
-
     files, folder = _place(out_dir)
     with files.open_input_stream(f"{folder}/order.json") as f:
         note = json.loads(f.read())
-    index = pq.read_table(f"{folder}/index", filesystem=files).sort_by("first_slot").to_pylist()
-    stride, kind = note["length"] * note["id_width"], f"<u{note['id_width']}"
-    last = sum(r["n"] for r in index) if n is None else first + n
-    for r in index:
-        lo, hi = max(first, r["first_slot"]), min(last, r["first_slot"] + r["n"])
-        if lo < hi:
-            with files.open_input_file(f"{folder}/shard-{r['shard']:08d}.bin") as f:
-                f.seek((lo - r["first_slot"]) * stride)
-                for slot in range(lo, hi):
-                    yield slot, np.frombuffer(f.read(stride), kind)
+    stride, kind, per = note["length"] * note["id_width"], f"<u{note['id_width']}", note["per_shard"]
+    last = note["n"] if n is None else min(note["n"], first + n)
+    while first < last:
+        shard, place = divmod(first, per)
+        with files.open_input_file(f"{folder}/shard-{shard:08d}.bin") as f:
+            f.seek(place * stride)
+            for slot in range(first, min(last, (shard + 1) * per)):
+                yield slot, np.frombuffer(f.read(stride), kind)
+        first = (shard + 1) * per

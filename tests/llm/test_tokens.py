@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -193,38 +194,51 @@ def test_permutation_is_one(n):
 
 @pytest.mark.parametrize("width", [2, 4])
 def test_shards_round_trip(spark, plain, tmp_path, width):
-    rows = list(enumerate(texts(8, 80))) + [(900, None), (None, "null id"), (901, "again"), (901, "again")]
-    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"slot": F.lit("x"), "part": F.lit(1)})
+    rows = list(enumerate(texts(8, 80))) + [(900, None), (None, "null id"), (901, "again"), (901, "again"), (902, "a very long one " * 20_000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"slot": F.lit("x"), "file": F.lit("y"), "sequence": F.lit(1)})
+    order = [(r.doc_id, r.text) for r in docs.collect()]
     out = str(tmp_path / "shards")
-    index = ts.write_shards(docs, out, length=32, shard_text=2000, key=5, id_width=width).collect()
-    n = len(index)
+    index = ts.write_shards(docs, out, length=32, per_shard=50, key=5, id_width=width).collect()
+    stream, begins = [], []
+    for _, t in order:
+        begins.append(len(stream))
+        stream += [*plain(t), ts.END_ID]
+    n = -(-len(stream) // 32)
     assert sorted(r.slot for r in index) == list(range(n))
+    slots = ts.permute(np.arange(n), n, 5)
     read = dict(ts.read_slots(out))
-    assert len(read) == n
-    parts = defaultdict(dict)
-    assert len({r.shard for r in index}) > 2
-    for a, b in zip(*[sorted(index, key=lambda r: r.slot)[k:] for k in (0, 1)]):
-        assert (b.shard, b.place) == (a.shard, a.place + 1) or (b.shard > a.shard and b.place == 0)
+    assert sorted(read) == list(range(n))
     for r in index:
-        parts[r.part][r.nth] = read[r.slot][: r.n_ids].tolist()
-    streams = [sum((p[k] for k in sorted(p)), []) for p in parts.values()]
-    assert sum(map(len, streams)) == sum(len(plain(t)) + 1 for _, t in rows)
-    documents = Counter(tuple([*plain(t), 0]) for _, t in rows)
-    held = Counter()
-    for s in streams:  # each stream is whole documents, one after another
-        at = 0
-        while at < len(s):
-            d = max((d for d in documents if tuple(s[at : at + len(d)]) == d), key=len)
-            held[d] += 1
-            at += len(d)
-    assert held == documents
-    assert [s for s, _ in ts.read_slots(out, 10, 9)] == list(range(10, 19))
-    assert all((a == read[s]).all() for s, a in ts.read_slots(out, 10, 9))
+        own = stream[32 * r.sequence : 32 * r.sequence + 32]
+        assert r.slot == slots[r.sequence] and (r.shard, r.place) == divmod(r.slot, 50)
+        assert read[r.slot].tolist() == own + [ts.END_ID] * (32 - len(own)) and r.n_ids == len(own)
+        k = max(k for k, b in enumerate(begins) if b <= 32 * r.sequence)
+        assert (r.first_doc, r.first_start) == (order[k][0], 32 * r.sequence - begins[k])
+        assert r.crc32 == zlib.crc32(read[r.slot].tobytes())
+    assert [s for s, _ in ts.read_slots(out, 40, 70)] == list(range(40, 110))
+    assert all((a == read[s]).all() for s, a in ts.read_slots(out, 40, 70))
+
+
+def test_other_splits_of_the_same_files_give_the_same_shards(spark, sf_dir, tmp_path):
+    many = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    many.repartition(4).write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/docs")
+    held, made = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "40k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(f"{tmp_path}/docs")
+            out = str(tmp_path / size)
+            rows = ts.write_shards(docs, out, length=128, per_shard=64).orderBy("slot").collect()
+            made.append((rows, [a.tolist() for _, a in ts.read_slots(out)], docs.rdd.getNumPartitions()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert made[0][:2] == made[1][:2] and made[0][2] < made[1][2]
 
 
 def test_shards_again_are_the_same_and_empty_tables_have_none(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words " * 300)], DOCS)
-    a, b = (ts.write_shards(docs, str(tmp_path / k), length=16, shard_text=500).orderBy("slot").collect() for k in "ab")
+    a, b = (ts.write_shards(docs, str(tmp_path / k), length=16, per_shard=7).orderBy("slot").collect() for k in "ab")
     assert a == b and len(a) > 20
+    assert ts.write_shards(docs, str(tmp_path / "a"), length=16, per_shard=7).count() == len(a)
     assert ts.write_shards(docs.limit(0), str(tmp_path / "c")).count() == 0
     assert list(ts.read_slots(str(tmp_path / "c"))) == []

@@ -116,22 +116,26 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {bad} T
 
 
 def _op9_sql() -> str:
-    from .license_scan import CONTAINMENT, NOTICES, PHRASES, STRIDE, needed
+    from .license_scan import CONTAINMENT, needed, stride
+    from .license_texts import NOTICES, PHRASES
 
-    phrases = ", ".join(f"('{t.label}', {t.text.split()})" for t in PHRASES)
-    notices = ", ".join(f"('{t.label}', {sorted(set(t.text.split()))}, {needed(t, CONTAINMENT)})" for t in NOTICES)
+    phrases = ", ".join(f"('{t.label}', {t.words})" for t in PHRASES)
+    notices = ", ".join(f"('{t.label}', {sorted(set(t.words))}, {needed(t, CONTAINMENT)}, {stride(t)}, {list(t.must)}::VARCHAR[], {list(t.never)}::VARCHAR[])" for t in NOTICES)
     return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), p(label, phrase) AS (VALUES {phrases}), t(label, tokens, least) AS (VALUES {notices}),
+), p(label, phrase) AS (VALUES {phrases}), t(label, tokens, least, size, must, never) AS (VALUES {notices}),
 b AS (
   SELECT doc_id, label, unnest(list_filter(range(len(w) - len(phrase) + 1), lambda i: w[i + 1 : i + len(phrase)] = phrase)) AS place FROM d, p
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1
+), near AS (
+  SELECT doc_id, w, t.* FROM d, t WHERE len(list_intersect(tokens, w)) >= least
 ), windows AS (
-  SELECT doc_id, w[s + 1 : s + {2 * STRIDE}] AS block FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {STRIDE})) AS s FROM d)
+  SELECT *, w[s + 1 : s + 2 * size] AS block FROM (SELECT *, unnest(range(0, greatest(len(w), 1), size)) AS s FROM near)
 ), met AS (
-  SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS share FROM windows, t WHERE len(list_intersect(tokens, block)) >= least
+  SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS share FROM windows
+  WHERE len(list_intersect(tokens, block)) >= least AND list_has_all(block, must) AND NOT list_has_any(block, never)
   UNION ALL SELECT doc_id, label, 1.0 FROM b
 ), best AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM met GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,

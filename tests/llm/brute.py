@@ -91,13 +91,17 @@ def phrase_places(text, phrases):
     return words, places, labels
 
 
-def template_labels(words, templates, containment, stride):
+def template_labels(words, templates, containment):
+    """templates: (label, its words, must, never)."""
     best, labels = 0.0, set()
-    for label, text in templates:
-        tokens = set(text.split())
-        for start in range(0, max(1, len(words)), stride):
-            share = len(tokens & set(words[start : start + 2 * stride])) / len(tokens)
-            if share >= containment - 1e-9:
+    for label, own, must, never in templates:
+        tokens, size = set(own), 8
+        while size < len(own):
+            size *= 2
+        for start in range(0, max(1, len(words)), size):
+            block = set(words[start : start + 2 * size])
+            share = len(tokens & block) / len(tokens)
+            if share >= containment - 1e-9 and block >= set(must) and not block & set(never):
                 labels.add(label)
                 best = max(best, share)
     return best, labels

@@ -71,13 +71,13 @@ def test_clean_text_has_no_named_literals(text):
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(4)
     filler = ["the", "of", "is", "license", "public", "gnu", "mit", "by", "cc", "general", "apache", "work", "a", "été", "x1"]
-    notices = [t.text for t in ls.PHRASES + ls.NOTICES]
-    texts = [None, "", "...", "MIT License", "mit\nlicense, CC-BY", "The GNU General Public\tLicense"]
+    notices = [' '.join(t.words) for t in ls.PHRASES + ls.NOTICES]
+    texts = [None, "", "...", "MIT License", "mit\nlicense, CC-BY", "The GNU General Public\tLicense", "M\u212a lesser public li\u212aense", "license gnu " * 30_000 + "mit license"] + [t.text for t in ls.NOTICES]
     for _ in range(150):
         words = [rng.choice(filler) for _ in range(rng.randint(0, 120))]
         if rng.random() < 0.6:
             notice = rng.choice(notices).split()
-            if rng.random() < 0.5:
+            for _ in range(rng.choice([0, 1, len(notice) // 6, len(notice) // 4])):
                 notice[rng.randrange(len(notice))] = "zzz"
             at = rng.randint(0, len(words))
             words[at:at] = notice
@@ -87,13 +87,20 @@ def test_licenses_equal_brute_force(spark):
     assert len(got) == len(rows)
     for r in got:
         words, places, base = brute.phrase_places(texts[r.doc_id], [(t.label, t.text) for t in ls.PHRASES])
-        best, labels = brute.template_labels(words, [(t.label, t.text) for t in ls.NOTICES], ls.CONTAINMENT, ls.STRIDE)
+        best, labels = brute.template_labels(words, [(t.label, t.words, t.must, t.never) for t in ls.NOTICES], ls.CONTAINMENT)
         assert (r.n_words, r.n_base) == (len(words), len(places)), texts[r.doc_id]
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
         assert (r.base_labels, r.labels) == (sorted(base), sorted(base | labels))
         assert r.score == pytest.approx(1.0 if base else best)
 
 
+def test_whole_texts_have_their_own_label_alone(spark):
+    rows = [(k, t.text) for k, t in enumerate(ls.NOTICES)]
+    for r in ls.scan_licenses(spark.createDataFrame(rows, DOCS)).collect():
+        assert set(r.labels) - set(r.base_labels) <= {ls.NOTICES[r.doc_id].label} and ls.NOTICES[r.doc_id].label in r.labels, (ls.NOTICES[r.doc_id], r.labels)
+        assert r.score == 1.0
+
+
 def test_licenses_null_ids_repeats_and_empty_table(spark):
     got = ls.scan_licenses(spark.createDataFrame([(None, "mit license"), (1, "mit license"), (1, "mit license")], DOCS)).collect()
     assert sorted((str(r.doc_id), r.n_base) for r in got) == [("1", 1), ("1", 1), ("None", 1)]

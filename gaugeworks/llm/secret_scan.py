@@ -2,9 +2,10 @@
 
 A small lexer reads the assignment syntax of source code and configuration files
 (`name = literal`, `name: literal`, `"name": "literal"`, `export NAME=literal`, sums of
-literals and names) into name-literal pairs. Names that were bound to a literal are
+literals and names, in parentheses or over line ends, literals in a call's arguments, YAML
+blocks, XML elements and attributes) into name-literal pairs. Names that were bound to a literal are
 propagated to later assignments, and a literal is scored by how sensitive the names are
-that it reaches and by how random it looks."""
+that it reaches and by how random it looks, by itself or joined with the rest of its sum."""
 
 from __future__ import annotations
 
@@ -43,9 +44,16 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefine
 _TARGET = re.compile(r"""(?:(?<![\w$.-])([A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|["']([\w$. -]+)["'])\x20*(?::=|=>|->|=(?!=)|:(?!//))""")
 _TERM = re.compile(r"""[\x20\t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]+<>]+))""")
 #: What may lie between a sign and a quoted literal besides space: a bracket, or the end of a line.
-_OPEN = re.compile(r"""[\x20\t]*(?:\(\s*|\\?\r?\n\s*(?:\(\s*)?)(?=["'`])""")
+_OPEN = re.compile(r"""[\x20\t]*(?:\((?:\s*\()*\s*(?=["'`\w$])|\\?\r?\n\s*(?:\(\s*)?(?=["'`]))""")
 #: A plus sign of a sum, at the end of a line or indented at the start of one too, and the line's end after it.
 _PLUS = re.compile(r"[\x20\t]*(?:\\?\r?\n[\x20\t]+)?\+(?!=)(?:[\x20\t]*\\?\r?\n)?")
+#: A quoted literal, and the parentheses around a call's arguments.
+_QUOTED = re.compile(r"""["]((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([()])""")
+#: The sign of a YAML block, and a line of it. An XML element with text, and a tag that names a value in its attributes.
+_BLOCK = re.compile(r"[\x20\t]*[|>][0-9+-]*[\x20\t]*\r?\n")
+_BLOCK_LINE = re.compile(r"([\x20\t]*)([^\r\n]*)\r?\n?")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>")
+_ATTRIBUTE = re.compile(r"""<[^<>]*?\b(?:key|name)\s*=\s*["']([^"'<>]*)["'][^<>]*?\bvalue\s*=\s*["']([^"'<>]*)["']""")
 _BOUND = re.compile(r"[\x20\t]*(?::=|=|:)")
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -65,44 +73,94 @@ def randomness(value: str) -> float:
     return min(1.0, bits / math.log2(min(n, 64))) * min(1.0, n / 12)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(target name, literal, start, end) of the assignments in ``text``, constants propagated:
-    a literal is given once for each name it reaches, with the place of its own."""
-    known: dict[str, dict[tuple[int, int], str]] = {}
+#: (value, start, end, what it is: literal, name or argument), and by place: (value, whether it adds to its sum).
+Term = tuple[str, int, int, str]
+Parts = dict[tuple[int, int], tuple[str, bool]]
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, int, int, str]]:
+    """(target name, literal, start, end, joined) of the assignments in ``text``, constants propagated:
+    a literal is given once for each name it reaches, with the place of its own; joined: all literals of the name's sum."""
+    known: dict[str, Parts] = {}
     for first, last in _lines(text):
         for m in _TARGET.finditer(text, first, last):
             name = m.group(1) or m.group(2)
-            found: dict[tuple[int, int], str] = {}  # of a sum: its parts, each place once
-            for value, a, b, quoted in _terms(text, m.end(), len(text)):
-                if not quoted and value in known:
+            found: Parts = {}  # of a sum: its parts, each place once
+            for value, a, b, how in _terms(text, m.end(), len(text)) or _block(text, first, m.end()):
+                if how == "name" and value in known:
                     found |= known[value]
                 elif b > a:
-                    found[a, b] = value
+                    found[a, b] = value, how != "argument"
             if found:
                 known[name] = found
-                for (a, b), value in found.items():
-                    yield name, value, a, b
+                yield from _named(name, found)
+    if "<" in text:
+        for pattern in (_ELEMENT, _ATTRIBUTE):
+            for m in pattern.finditer(text):
+                yield from _named(m.group(1), {m.span(2): (m.group(2), True)})
+
+
+def _named(name: str, parts: Parts) -> Iterator[tuple[str, str, int, int, str]]:
+    joined = "".join(value for value, adds in parts.values() if adds)
+    return ((name, value, a, b, joined if adds else value) for (a, b), (value, adds) in parts.items())
 
 
-def _terms(text: str, at: int, last: int) -> Iterator[tuple[str, int, int, bool]]:
-    """(value, start, end, quoted) of the terms of a sum that begins at ``at``."""
+def _terms(text: str, at: int, last: int) -> list[Term]:
+    """The terms of a sum that begins at ``at``; of a call its quoted arguments."""
+    out: list[Term] = []
     if o := _OPEN.match(text, at, last):
         at = o.end()
     while m := _TERM.match(text, at, last):
         if m.lastindex < 4 and _BOUND.match(text, m.end(), last):
-            return  # a quoted name on the next line
+            break  # a quoted name on the next line
         kind = m.lastindex
-        if kind == 4 and _BOUND.match(text, m.end(), last):
-            return  # what stands here is the next assignment's name
-        yield m.group(kind), *m.span(kind), kind < 4
-        plus = _PLUS.match(text, m.end(), last)
+        if kind == 4 and (_BOUND.match(text, m.end(), last) or m.group(4)[0] in "|>" and _BLOCK.match(text, at, last)):
+            break  # what stands here is the next assignment's name, or opens a block
+        at = m.end()
+        if kind == 4 and text[at : at + 1] == "(":
+            arguments, at = _arguments(text, at, last)
+            out += arguments
+        else:
+            out.append((m.group(kind), *m.span(kind), "literal" if kind < 4 else "name"))
+        plus = _PLUS.match(text, at, last)
         if not plus:
-            return
+            break
         at = plus.end()
+    return out
+
+
+def _arguments(text: str, at: int, last: int) -> tuple[list[Term], int]:
+    """The quoted literals of a call whose parenthesis opens at ``at``, and where it ends."""
+    out, depth = [], 0
+    for m in _QUOTED.finditer(text, at, last):
+        if m.lastindex < 4:
+            out.append((m.group(m.lastindex), *m.span(m.lastindex), "argument"))
+            continue
+        depth += 1 if m.group(4) == "(" else -1
+        if not depth:
+            return out, m.end()
+    return [], at + 1  # never closed: no call
+
+
+def _block(text: str, line: int, at: int) -> list[Term]:
+    """The lines of a YAML block that a sign ending at ``at`` opens: those that are indented deeper than the sign's line."""
+    opened = _BLOCK.match(text, at)
+    if not opened:
+        return []
+    own, out, at = len(_BLOCK_LINE.match(text, line).group(1)), [], opened.end()
+    while at < len(text):
+        m = _BLOCK_LINE.match(text, at)
+        if m.group(2) and len(m.group(1)) <= own:
+            break
+        if m.group(2):
+            value = m.group(2).rstrip()
+            out.append((value, m.start(2), m.start(2) + len(value), "literal"))
+        at = m.end()
+    return out
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
-    """Where the lines lie that hold an assignment sign."""
+    """Where the lines lie that hold a sign."""
     at = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
@@ -124,14 +182,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def secret_spans(text: str, least: float = 0.45) -> list[tuple[str, int, int, float, str | None]]:
     """(kind, start, end, score, name), by start, then kind: the base spans, and literals
-    of the kind `named` whose score (sensitivity times randomness) is ``least`` or more."""
+    of the kind `named` whose score (sensitivity times randomness, of the literal or of its whole sum) is ``least`` or more."""
     out = [(k, a, b, 1.0, None) for k, a, b in base_spans(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         best: dict[tuple[int, int], tuple[float, str]] = {}
-        for name, value, a, b in pairs(text):
+        for name, value, a, b, joined in pairs(text):
             s = sensitivity(name)
             if s and b > a and " " not in value and not PLACEHOLDERS.match(value):
-                s *= randomness(value)
+                s *= randomness(value) if value == joined or " " in joined else max(randomness(value), randomness(joined))
                 if s >= least and s > best.get((a, b), (0.0, ""))[0]:
                     best[a, b] = (s, name)
         out += [("named", a, b, s, name) for (a, b), (s, name) in best.items()]
@@ -146,7 +204,8 @@ def scan_secrets(docs: DataFrame, least: float = 0.45, id_col: str = "doc_id", t
     """One row per row of ``docs``: doc_id and spans, an array of (kind, start, end, score, name) by start, then
     kind; start and end count code points, the end is exclusive.
 
-    Null or empty text: no spans. Null ids and repeated rows pass through; other columns don't matter."""
+    Null or empty text: no spans. Null ids and repeated rows pass through; other columns don't matter; empty table: no rows.
+    A text is read whole, once for each pattern; the lexer's work grows with the literals and the names they reach."""
     docs = id_and_text(docs, id_col, text_col)
     span = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())]

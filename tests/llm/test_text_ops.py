@@ -60,6 +60,60 @@ def test_named_literals_of_long_sums_and_over_line_ends():
         assert "Lk93jd02mXq1" in [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"]
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ('K = "Zx81-qqLm-77Ab"\nauth_token = (K)\n', ["Zx81-qqLm-77Ab"]), ('token = os.environ.get("T", "Zx81-qqLm-77Ab")', ["Zx81-qqLm-77Ab"]),
+        ('api_key = decode(pad("Zx81-qqLm-77Ab"), \'b64\') + "qT9-x0Zp-11Vw"', ["Zx81-qqLm-77Ab", "qT9-x0Zp-11Vw"]), ("auth_token = load(open(path)", []),
+        ("private_key: |\n  Lk93jd02mXq1\n\n  Vt5kq81xPz0Q\nother: x\n", ["Lk93jd02mXq1", "Vt5kq81xPz0Q"]), ("  signing_secret: >-\n      Lk93jd02mXq1zz\n  next: Vt5kq81xPz0Q\n", ["Lk93jd02mXq1zz"]),
+        ("<db><password> Lk93jd02mXq1 </password></db>", ["Lk93jd02mXq1"]), ('<add key="ApiToken" value="Lk93jd02mXq1"/>', ["Lk93jd02mXq1"]),
+        ('db_passphrase = "aB3x" + "9Qz7" + "Lm0p"', ["aB3x", "9Qz7", "Lm0p"]), ('a_secret = ("aB3x"\n  "tail")', []),
+    ],
+)
+def test_named_literals_of_calls_blocks_and_markup(text, found):
+    assert [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"] == found
+
+
+def test_named_literals_equal_those_that_were_written():
+    """Random sources from a grammar, with what each assignment binds kept beside."""
+    rng = random.Random(31)
+    literal = lambda: "".join(rng.choice("ABCDEFGHJKMNPQRSTVWXYZabcdefghjkmnpqrstvwxyz23456789") for _ in range(rng.randint(16, 40)))
+    for _ in range(300):
+        text, want, constants = "", set(), {}
+        for i in range(rng.randint(1, 12)):
+            name = rng.choice(["db_password", "authToken", "title", "CONST", "note"]) + str(i)
+            parts, own = [], set()
+            for _ in range(rng.randint(1, 5)):
+                if constants and rng.random() < 0.3:
+                    used = rng.choice(sorted(constants))
+                    parts.append(used)
+                    own |= constants[used]
+                else:
+                    v = literal()
+                    parts.append(rng.choice('"\'').join(["", v, ""]) if len(v) % 2 else f'"{v}"')
+                    own.add(v)
+            constants[name] = own
+            form = rng.randrange(4)
+            joint = rng.choice([" + ", "+", " +\n    "])
+            text += [f"{name} = {joint.join(parts)}\n", f"{name}: ({joint.join(parts)})\n", f"export {name}={parts[0]}\n", f"{name} := f({', '.join(p for p in parts if p[0] in chr(34) + chr(39))})\n"][form]
+            if form == 2:
+                constants[name] = constants.get(parts[0], {parts[0][1:-1]})
+            if form == 3:
+                constants[name] = {p[1:-1] for p in parts if p[0] in "\"'"}
+            if name.startswith(("db_password", "authToken")):
+                want |= constants[name]
+            constants = {k: v for k, v in constants.items() if v}
+        got = {text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"}
+        assert got == want, text
+
+
+def test_secrets_odd_rows(spark):
+    rows = [(None, 'auth_token = "Zx81-qqLm-77Ab"'), (1, None), (1, None), (2, ""), (3, "token=abcdefgh"), (3, "token=abcdefgh")]
+    got = ss.digest(ss.scan_secrets(spark.createDataFrame(rows, DOCS).withColumns({"listed": F.lit(1), "n_hex": F.lit(2)}))).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_named) for r in got) == [("1", 0, 0), ("1", 0, 0), ("2", 0, 0), ("3", 1, 1), ("3", 1, 1), ("None", 1, 1)]
+    assert ss.digest(ss.scan_secrets(spark.createDataFrame([], DOCS))).count() == 0
+
+
 @pytest.mark.parametrize("text", ["password: changeme", 'title = "A quiet evening"', "note: the token was lost", "key = 12", "time: 10:30", "Said he: nothing = all", 'token = "${TOKEN}"'])
 def test_clean_text_has_no_named_literals(text):
     assert not [s for s in ss.secret_spans(text) if s[0] == "named"]
@@ -132,7 +186,16 @@ def test_automaton_equals_regular_expressions():
     machine = uf.Automaton(globs)
     assert machine.words > 1
     want = np.array([[bool(brute.glob_regex(g).fullmatch(t)) for g in globs] for t in texts])
-    assert (machine.match(texts, block=64) == want).all()
+    for long in (0, 5, 4096):
+        assert (machine.match(texts, block=64, long=long) == want).all()
+
+
+def test_urls_odd_rows(spark):
+    long = "http://x.org/" + "a/" * 1_000_000 + "login"
+    rows = [(None, "http://ads.org/"), (1, None), (1, None), (2, "http://b.org/fr/x"), (2, "http://b.org/fr/x"), (3, long), (4, "")]
+    got = uf.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in got) == [("1", "allow"), ("1", "allow"), ("2", "allow"), ("2", "allow"), ("3", "block"), ("4", "allow"), ("None", "block")]
+    assert max(len(r.path) for r in got) == len(long) - len("http://x.org")
 
 
 # decontamination
@@ -169,7 +232,7 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     small, large = (dc.overlaps(d, i, send_up_to=n) for n in (10**6, 0))
     got = small.collect()
     assert {(r.doc_id, r.item_id) for r in got} >= want
-    assert all(r.doc_id % 3 == 0 for r in got if r.item_id != 8)
+    assert all(r.doc_id % 3 == 0 and r.item_id < 7 for r in got)
     key = lambda rows: sorted((r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words, r.n_agree) for r in rows)
     assert key(got) == key(large.collect())
 
@@ -212,6 +275,25 @@ def test_passages_of_long_items_and_items_with_inserted_words_are_found(spark):
         assert found == [(0, 0, 50, 10, 28, 28), (1, 1, 50, 20, 49, 49), (2, 2, 50, 0, 30, 30), (3, 3, 50, 0, 24, 24)]
 
 
+def test_items_of_too_few_words_have_no_overlaps(spark):
+    docs = spark.createDataFrame([(1, "one two three four five")], DOCS)
+    items = spark.createDataFrame([(k, " ".join("one two three four five".split()[:k])) for k in range(6)], "item_id bigint, text string")
+    for send in (10**6, 0):
+        assert sorted(r.item_id for r in dc.overlaps(docs, items, send_up_to=send).collect()) == [4, 5]
+        assert sorted(r.item_id for r in dc.overlaps(docs, items, least_item=0, send_up_to=send).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_very_long_texts_are_cut_between_words_and_searched_whole(spark):
+    rng = random.Random(41)
+    item, long = words(rng, 30), " ".join(words(rng, 20) * 90_000)
+    assert len(long) > 4 * 4 * (1 << 20) // 2
+    text = long + " " + " ".join(item) + " " + long[:1000]
+    n = len(long.split())
+    assert len(word_hashes([text])[0]) == len(text.split())
+    got = dc.overlaps(spark.createDataFrame([(1, text)], DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r.doc_word, r.n_words) for r in got] == [(n, 30)]
+
+
 def test_overlaps_of_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert dc.overlaps(d, i).count() == 0

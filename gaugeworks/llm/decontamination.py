@@ -22,8 +22,8 @@ from .common import id_and_text, mix, slices, word_hashes, written
 #: Masks over windows of words: 1 selects a position. Whatever words are substituted, a stretch of ten words or more
 #: that begins and ends with an agreement and agrees in 80 % holds a window where one of them agrees throughout.
 MASKS = ("111111", "11101011", "110110011", "1100011011", "11010111", "111100101")
-#: Items shorter than this have masks of their own length.
-SHORT = 10
+#: Items shorter than this have masks of their own length; items shorter than that are no passages, but words of any text.
+SHORT, LEAST_ITEM = 10, 4
 #: Stretches on diagonals at most DRIFT words apart are added up, from PIECE words on.
 DRIFT, PIECE = 16, 6
 #: Test hashes up to this number are sent to every task (24 bytes each); beyond it they are joined by a shuffle.
@@ -80,7 +80,7 @@ def _test_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
         for batch in batches:
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.array(words, dtype=np.int64).view(np.uint64)
-                for m in masks if len(h) >= SHORT else short_masks(len(h)) if len(h) else []:
+                for m in masks if len(h) >= SHORT else short_masks(len(h)):
                     s = _signed(seed_hashes(h, m))
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array([m] * len(s))], schema.names)
 
@@ -172,7 +172,7 @@ class _Overlaps:
 
 def overlaps(
     docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, least_share: float = 0.8, least_words: int = 10, cover: float = 0.5,
-    least_agree: int = 13, id_col: str = "doc_id", text_col: str = "text", send_up_to: int = SEND_UP_TO,
+    least_agree: int = 13, least_item: int = LEAST_ITEM, id_col: str = "doc_id", text_col: str = "text", send_up_to: int = SEND_UP_TO,
 ) -> DataFrame:
     """One row per overlap of a document with a benchmark item: doc_id, item_id,
     doc_word, item_word (where it starts, words from 0), n_words, n_agree, share (of
@@ -184,12 +184,12 @@ def overlaps(
     ``least_agree`` agreeing words, however long the item is. Shorter stretches of an item on neighbouring
     diagonals (words were inserted or left out) are one overlap if they cover as much together; n_words and n_agree
     then count the item's words. Such a stretch has ten words, or six that agree without a break.
-    Null or wordless texts and items have no overlaps; repeated rows and items repeat theirs; null ids pass through.
+    Items of fewer than ``least_item`` words have none. Null or wordless texts and items have no overlaps; repeated rows and items repeat theirs; null ids pass through.
     items: columns item_id and text. The test side's seeds are counted first: up to
     ``send_up_to`` they go to every task, else both sides are shuffled by seed."""
     docs, items = id_and_text(docs, id_col, text_col), items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = items.schema["item_id"]
-    items = written(_hashed_items(items), "test-items")
+    items = written(_hashed_items(items).where(F.size("words") >= max(1, least_item)), "test-items")
     tests = written(_test_seeds(items, masks), "test-seeds")
     fields = [("doc_word", T.LongType()), ("item_word", T.LongType()), ("n_words", T.LongType()), ("n_agree", T.LongType()), ("share", T.DoubleType())]
     schema = T.StructType([docs.schema["doc_id"], kind, *(T.StructField(n, t) for n, t in fields)])

@@ -85,15 +85,35 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
         own = rng.permutation(np.flatnonzero(y == side))
         out[own[: max(1, len(own) // 5)]] = True
     train = np.flatnonzero(~out)
+    ratio = count_ratios(rows, y, train, alpha)
+    root = np.array([max(1, len(r)) ** 0.5 for r in rows])
+    upper = {s: cost * len(train) / (2 * max(1, (y[train] == s).sum())) for s in (1.0, -1.0)}
+    w, bias, _ = descend(rows, y, train, ratio, root, upper, epochs, rng)
+    mean = np.abs(w).mean()
+    weights = (ratio * ((1 - keep) * mean + keep * w)).astype(np.float32)
+    bias *= keep
+    model = Model(weights, bias, 1.0, 0.0)
+    held = np.flatnonzero(out)
+    margin = np.array([bias + (weights[rows[k]].sum() / root[k] if len(rows[k]) else 0.0) for k in held])
+    model.slope, model.shift = _sigmoid(margin, y[held])
+    return model
+
+
+def count_ratios(rows: list[np.ndarray], y: np.ndarray, train: np.ndarray, alpha: float) -> np.ndarray:
+    """For each indicator the log of its share among the counts of class 1, less that of class -1, both smoothed by ``alpha``."""
     count = {side: np.full(DIM, alpha) for side in (1.0, -1.0)}
     for k in train:
         count[y[k]][rows[k]] += 1
-    ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
-    w, bias = np.zeros(DIM), 0.0
-    dual = np.zeros(len(y))
-    root = np.array([max(1, len(r)) ** 0.5 for r in rows])
+    return np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
+
+
+def descend(
+    rows: list[np.ndarray], y: np.ndarray, train: np.ndarray, ratio: np.ndarray, root: np.ndarray, upper: dict[float, float], epochs: int, rng: np.random.Generator
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, dual): the L1 hinge loss' dual, one row's variable after another set to its best value between 0 and its
+    class's ``upper`` bound. A row's values are its indicators' ratios over its root; the bias is a value of one."""
+    w, bias, dual = np.zeros(DIM), 0.0, np.zeros(len(y))
     square = np.array([(ratio[r] ** 2).sum() / n**2 + 1.0 if len(r) else 1.0 for r, n in zip(rows, root)])
-    upper = {s: cost * len(train) / (2 * max(1, (y[train] == s).sum())) for s in (1.0, -1.0)}
     for _ in range(epochs):
         for k in rng.permutation(train):
             r = rows[k]
@@ -105,14 +125,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
                 w[r] += step * x
                 bias += step
                 dual[k] = now
-    mean = np.abs(w).mean()
-    weights = (ratio * ((1 - keep) * mean + keep * w)).astype(np.float32)
-    bias *= keep
-    model = Model(weights, bias, 1.0, 0.0)
-    held = np.flatnonzero(out)
-    margin = np.array([bias + (weights[rows[k]].sum() / root[k] if len(rows[k]) else 0.0) for k in held])
-    model.slope, model.shift = _sigmoid(margin, y[held])
-    return model
+    return w, bias, dual
 
 
 def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -171,8 +184,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column quality_score (0 to 1), all rows and columns kept. Null text: as empty.
-    A column of that name is replaced."""
+    """``docs`` with a column quality_score (0 to 1), all rows and columns kept. Null or empty text: no indicators, the score of
+    the bias alone. A column of that name is replaced; null ids and repeated rows are scored like others; empty table: no rows."""
     base = docs.drop("quality_score")
     schema = T.StructType([*base.schema.fields, T.StructField("quality_score", T.DoubleType())])
     at = base.columns.index(text_col)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from gaugeworks.llm import quality as q
 from gaugeworks.llm.queries import op7_quality, queries
+from gaugeworks.llm.simhash import near_duplicates
 
 from . import brute
 
@@ -30,6 +31,29 @@ def test_model_on_separable_rows_and_on_one_class():
     assert q.fit([], np.zeros(0)).score(rows[0]) == pytest.approx(0.5)
 
 
+def test_ratios_equal_brute_force_and_descent_ends_at_the_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 12))) + 7 * (k % 2) for k in range(80)]
+    y, train = np.array([1.0 if k % 2 else -1.0 for k in range(80)]), np.arange(60)
+    ratio = q.count_ratios(rows, y, train, 1.0)
+    count = {s: {j: 1.0 + sum(j in rows[k] for k in train if y[k] == s) for j in range(60)} for s in (1.0, -1.0)}
+    total = {s: sum(count[s].values()) + q.DIM - 60 for s in count}
+    assert ratio[:60] == pytest.approx([np.log(count[1.0][j] / total[1.0]) - np.log(count[-1.0][j] / total[-1.0]) for j in range(60)])
+    x = np.zeros((80, 61))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / max(1, len(r)) ** 0.5
+    x[:, 60] = 1  # the bias
+    upper = {1.0: 0.7, -1.0: 1.1}
+    w, bias, dual = q.descend(rows, y, train, ratio, np.array([max(1, len(r)) ** 0.5 for r in rows]), upper, 600, np.random.default_rng(1))
+    full = np.append(w[:60], bias)
+    assert full == pytest.approx((dual * y) @ x, abs=1e-9) and not w[60:].any() and not dual[60:].any()
+    bound = np.array([upper[s] for s in y])
+    loss = np.maximum(0, 1 - y * (x @ full))[:60]
+    # Primal and dual values meet at the optimum alone.
+    primal, value = full @ full / 2 + (bound[:60] * loss).sum(), dual.sum() - full @ full / 2
+    assert (dual >= 0).all() and (dual <= bound + 1e-12).all() and primal - value < 1e-3 * primal
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = op7_quality(spark, sf).toPandas()
@@ -98,5 +122,40 @@ def test_rows_without_id_are_judged_like_others(spark, sf_dir):
     assert sorted(r.n_chars for r in cp.decontaminate(spark, docs, sf_dir).collect()) == [1, 2, 4]
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    prose, other = (" ".join(f"{c}{i}" for i in range(200)) for c in "wv")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, prose, "en", "s", 1), (5, other, "en", "s", 2), (5, prose + " end", "en", "s", 3), (5, "see " + item, "en", "s", 4), (5, other, "en", "s", 5)]
+    docs = spark.createDataFrame(rows, schema).withColumn("_row", F.lit("x"))
+    assert sorted(r.n_chars for r in cp.near_dedup(spark, docs, sf_dir).collect()) in ([1, 2, 4], [1, 4, 5])
+    assert sorted(r.n_chars for r in cp.decontaminate(spark, docs, sf_dir).collect()) == [1, 2, 3, 5]
+    held = cp.SEND_UP_TO
+    try:
+        cp.SEND_UP_TO = 0
+        assert sorted(r.n_chars for r in cp.exact_dedup(spark, docs, sf_dir).collect()) in ([1, 2, 3, 4], [1, 3, 4, 5])
+    finally:
+        cp.SEND_UP_TO = held
+
+
+def test_families_of_near_copies_equal_brute_force(spark):
+    """150 families of eight copies each, with none to a sixtieth of the words replaced."""
+    import random
+
+    rng, rows = random.Random(17), []
+    for family in range(150):
+        n = rng.choice([60, 120, 300])
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(8):
+            ws = list(base)
+            for at in rng.sample(range(n), rng.randint(0, max(1, n // 60))):
+                ws[at] = f"x{rng.randrange(10**6)}"
+            rows.append((family * 10 + k, " ".join(ws)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for family in range(150):
+        sets = {d: brute.shingles(t, 5) for d, t in rows if d // 10 == family}
+        assert {d: got[d] for d in sets} == brute.components(sets, lambda a, b: brute.jaccard(a, b) >= 0.8)
+
+
 def test_every_operator_has_a_query():
     assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]

@@ -159,6 +159,13 @@ def _tiles(classes: DataFrame, radius: int, ratio: float | None) -> tuple[DataFr
     return classes.withColumn("tile", tile), [s for s in steps if s >= 0]
 
 
+def _chunk_pairs(ids: DataFrame, steps: list[int]) -> DataFrame:
+    """(tile, cut, tile_b, cut_b): each pair of chunks whose tiles are one of ``steps`` apart, once. Names alone: the chunks' contents join later."""
+    away = F.explode(F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda s: s + F.col("tile")))
+    left = ids.select("tile", "cut", away.alias("tile_b"))
+    return left.join(ids.select(F.col("tile").alias("tile_b"), F.col("cut").alias("cut_b")), "tile_b").where("tile_b > tile or cut_b >= cut")
+
+
 def forest_links(
     classes: DataFrame, radius: int, first: int | None = None, ratio: float | None = None, each_pair: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
@@ -178,10 +185,13 @@ def forest_links(
     cols = ["node", *lanes, *(["part"] if apart else [])]
     chunks = cut.groupBy("tile", "cut").agg(F.collect_list(F.struct(*cols)).alias("rows"))
     chunks = written(chunks.select("tile", "cut", *(F.col(f"rows.{c}").alias(c) for c in cols)), "chunks")
-    left = chunks.withColumn("meets", F.explode(F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda s: s + F.col("tile"))))
-    right = chunks.select(F.col("tile").alias("meets"), F.col("cut").alias("cut_b"), *(F.col(c).alias(f"{c}_b") for c in cols))
-    pairs = left.join(right, "meets").where("meets > tile or cut_b >= cut")
-    pairs = pairs.select((F.expr("meets = tile and cut = cut_b")).alias("same"), *cols, *(f"{c}_b" for c in cols))
+    pairs = _chunk_pairs(chunks.select("tile", "cut"), steps)
+    other = chunks.select(F.col("tile").alias("tile_b"), F.col("cut").alias("cut_b"), *(F.col(c).alias(f"{c}_b") for c in cols))
+    # Pairs of chunks are few bytes for the work they make: dealt out by one chunk, whatever their size, to as many tasks
+    # as shuffles have. A tile's pairs stay together, so that they share a forest, unless it was cut.
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(other, ["tile_b", "cut_b"]).repartition(n, "tile", "cut").join(chunks, ["tile", "cut"])
+    pairs = both.select((F.expr("tile_b = tile and cut = cut_b")).alias("same"), *cols, *(f"{c}_b" for c in cols))
     node_type = classes.schema["node"].dataType
     schema = T.StructType([T.StructField("u", node_type), T.StructField("v", node_type), T.StructField("distance", T.LongType())])
     first = radius if first is None else first

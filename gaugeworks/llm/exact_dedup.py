@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import written
 
 #: Code points in a block.
 BLOCK = 4096
@@ -46,16 +46,17 @@ def _block_names(blocks: DataFrame, digest) -> DataFrame:
     return alone.unionAll(clash.join(fresh, "block").select("row", "at", "name"))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest=_digest) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, digest=_digest, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row (a key of its own), doc_id, n_chars (code points of the
     original), text_sha256 (of the text without white space), n_blocks and name.
 
     (n_blocks, name) is the identity: equal exactly where the texts are equal after
     deleting white space. Null text: empty; the empty text is one empty block.
     block: code points per block. digest: how occurrences look up their blocks;
-    any choice gives the same groups."""
+    any choice gives the same groups. row_col: a column that numbers the rows already."""
     plain = F.regexp_replace("text", WHITE, "")
-    base = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), plain.alias("plain"))
     cut = F.regexp_extract_all("plain", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     base = base.withColumn("blocks", F.when(F.col("plain") == "", F.array(F.lit(""))).otherwise(cut))
@@ -89,7 +90,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of equal texts the row with the most code points in its original text stays,
     then the smallest doc_id (null last); of repeated rows one. keep_id is the doc_id
-    of the row that stays. Null text: empty, equal to texts of white space alone."""
+    of the row that stays. Null text: empty, equal to texts of white space alone. Other columns don't matter; empty table: no rows.
+    how: as of identities."""
     rows = written(identities(docs, id_col, text_col, **how), "identities")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null_id"), "doc_id", "row"))
     groups = rows.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))

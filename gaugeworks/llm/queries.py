@@ -1,4 +1,6 @@
-"""The registered queries of the training-data operators: thin digests of what the operators return."""
+"""The registered queries of the training-data operators: thin digests of what the operators return.
+
+Each gives rows for all rows of its table, null ids and repeated rows too; of an empty table it gives none."""
 
 from __future__ import annotations
 
@@ -29,11 +31,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's SimHash fingerprint and the smallest doc_id that links of 3 bits reach. Null text: fingerprint zero."""
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts and hash of the base spans, and all spans. Null text: no spans."""
     return digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
@@ -44,14 +48,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of the documents' ids and its place in a sequence. Null text: the end id alone."""
     return pack(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict. Null or malformed URLs: empty, allowed unless a rule says otherwise."""
     return filter_urls(_table(spark, sf_dir, "pages")).drop("globs")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fold and quality score, by a model of the labelled rows outside fold 0. Null text: scored as empty."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
@@ -60,16 +67,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one that stays of its group of equal texts. Null text: empty."""
     found = exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's places of the base phrases, its labels and score. Null text: empty, no labels."""
     found = scan_licenses(_table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence of the documents' ids with its slot, shard and place; the shards are written to the shared folder."""
     return write_shards(_table(spark, sf_dir, "documents"), added=True)
 
 

@@ -1,11 +1,14 @@
-"""From raw documents to packed training sequences, in five written stages."""
+"""From raw documents to packed training sequences, in five written stages.
+
+Every stage but the last takes and gives the columns of documents; other columns of its input are left out. Null and
+empty texts are documents like others; a stage works row by row, so rows that share a doc_id keep their own texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import new_path
+from gaugeworks.llm.common import new_path, written
 from gaugeworks.llm.decontamination import overlaps
 from gaugeworks.llm.exact_dedup import exact_duplicates
 from gaugeworks.llm.packing import pack
@@ -13,14 +16,28 @@ from gaugeworks.llm.quality import THRESHOLD, score_quality, train_quality
 from gaugeworks.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows to leave out that are sent to every task (8 bytes each); beyond it both sides are shuffled.
+SEND_UP_TO = 200_000
 
 
 def _only(docs: DataFrame) -> DataFrame:
     return docs.select(*(c for c in COLUMNS if c in docs.columns))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number _row of its own for each row, written so that it stays."""
+    return written(_only(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = written(gone.select("_row").distinct(), "gone")
+    few = gone.count() <= SEND_UP_TO
+    return numbered.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at the threshold or above."""
+    """Documents whose quality score is at the threshold or above. The model learns from the labelled rows of ``docs`` outside
+    fold 0; null and empty texts get the score of a text without indicators, repeated rows the same score. No rows: none."""
     docs = _only(docs)
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
@@ -28,47 +45,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for white space: the longest, then the
-    smallest doc_id, of repeated rows one. Rows without an id stay if no equal text has one."""
-    docs = _only(docs)
-    found = exact_duplicates(docs)
-    kept = found.where("kept").select("doc_id", "text_sha256", "n_chars")
-    dropped = found.where("not kept").select("doc_id", "text_sha256", "n_chars")
-    # Rows that share id and text can't be told apart by key; they are rare and reduced by themselves.
-    twice = dropped.join(kept, _same_key(dropped, kept), "left_semi").distinct()
-    plain = docs.withColumns({"_sha": F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256), "_n": F.length(F.coalesce("text", F.lit(""))).cast("long")})
-    key = lambda other: plain.doc_id.eqNullSafe(other.doc_id) & (plain["_sha"] == other.text_sha256) & (plain["_n"] == other.n_chars)
-    stay = plain.join(kept, key(kept), "left_semi")
-    again = lambda how: stay.join(twice, stay.doc_id.eqNullSafe(twice.doc_id) & (stay["_sha"] == twice.text_sha256) & (stay["_n"] == twice.n_chars), how)
-    return again("left_anti").unionByName(again("left_semi").dropDuplicates(["doc_id", "_sha", "_n"])).drop("_sha", "_n")
-
-
-def _same_key(a: DataFrame, b: DataFrame):
-    return a.doc_id.eqNullSafe(b.doc_id) & (a.text_sha256 == b.text_sha256) & (a.n_chars == b.n_chars)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _key: the doc_id, or for rows without one a number of their text beyond all ids."""
-    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
+    smallest doc_id (null last), of repeated rows one. Null and empty texts are one group. No rows: none."""
+    numbered = _numbered(docs)
+    return _without(numbered, exact_duplicates(numbered, row_col="_row").where("not kept").select(F.col("row").alias("_row")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8): the smallest doc_id. A row without an
-    id goes if its group has an id or another such row."""
-    docs = _keyed(_only(docs))
-    drop = near_duplicates(docs, id_col="_key").where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
-    return docs.join(drop, "_key", "left_anti").select(*docs.columns).drop("_key")
+    """One document of each near-duplicate group (five words, similarity 0.8): the smallest doc_id (null last), of
+    repeated rows one. Texts without words, null ones too, are one group. No rows: none."""
+    numbered = _numbered(docs)
+    groups = near_duplicates(numbered, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    named = groups.join(numbered.select("_row", "doc_id"), "_row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"), F.count("*").alias("n"))
+    best = best.where("n > 1").select("component_id", F.col("best._row").alias("stays"))
+    return _without(numbered, named.join(best, "component_id").where(F.col("_row") != F.col("stays")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item, rows without an id included."""
-    docs = _keyed(_only(docs))
-    hit = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(hit, "_key", "left_anti").select(*docs.columns).drop("_key")
+    """Documents without an overlap with a benchmark item. Null and empty texts have none; of rows that share a doc_id
+    only those go that overlap. No rows: none."""
+    numbered = _numbered(docs)
+    hit = overlaps(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return _without(numbered, hit.select(F.col("doc_id").alias("_row")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what stayed, in sequences of at most 1024 tokens."""
+    """The pieces of what stayed, in sequences of at most 1024 tokens, with the columns of ``pack``. Null and empty texts are
+    an end token alone; null ids and repeated rows are packed like others. No rows: none."""
     return pack(docs, added=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,21 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def indent(text: Column) -> Column:
+    """Characters of white space that a line starts with."""
+    return F.length(F.regexp_extract(text, r"(?U)^\s*", 0))
+
+
+def any_prefix(path: Column, prefixes: Sequence[str]) -> Column:
+    """Whether ``path`` starts with one of ``prefixes``."""
+    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(path, p)) if prefixes else F.lit(False)
+
+
 def is_blank(text: Column) -> Column:
     return normalise(text) == ""
 
@@ -76,12 +93,33 @@ def secret_hits(text: Column, rules: dict[str, str] = SECRET_RULES) -> Column:
     def of(rule: str, pattern: str) -> Column:
         parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n")))
-        upto = lambda i: F.aggregate(F.concat(F.slice(parts, 1, i + 1), F.slice(found, 1, i)), F.lit(0), lambda a, s: a + breaks(s))
-        return F.transform(found, lambda m, i: F.struct(F.lit(rule).alias("rule"), (i + 1).cast("long").alias("nth"), (upto(i) + 1).cast("long").alias("line"), m.alias("match")))
+        start = F.struct(F.lit(1).cast("long").alias("line"), F.array().cast("array<struct<rule:string,nth:bigint,line:bigint,match:string>>").alias("hits"))
+
+        def step(a: Column, x: Column) -> Column:
+            # One pass: each match takes the line that the texts before it have come to.
+            line = a["line"] + breaks(x["before"])
+            hit = F.struct(F.lit(rule).alias("rule"), (F.size(a["hits"]) + 1).cast("long").alias("nth"), line.alias("line"), x["match"].alias("match"))
+            return F.struct((line + breaks(x["match"])).alias("line"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+
+        each = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda before, match: F.struct(before.alias("before"), match.alias("match")))
+        none = F.array().cast("array<struct<rule:string,nth:bigint,line:bigint,match:string>>")
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(each, start, step, lambda a: a["hits"]))
 
     return F.concat(*(of(k, p) for k, p in rules.items()))
 
 
+def usage(reply: Column) -> Column:
+    """struct(input_tokens, output_tokens, cache_read, cache_write) of a call's JSON; a count that is none is null."""
+    v = F.try_parse_json(reply)
+    get = lambda k: F.try_variant_get(v, f"$.usage.{k}", "bigint")
+    return F.when(v.isNotNull(), F.struct(*(get(k).alias(k) for k in ("input_tokens", "output_tokens", "cache_read", "cache_write"))))
+
+
+def exit_code(recorded: Column, sentence: Column) -> Column:
+    """The exit code of a run: as recorded, else the number that its reason names."""
+    return F.coalesce(recorded, F.regexp_extract(sentence, r"exit(?: code| status)?\D{0,3}(\d+)", 1).try_cast("bigint"))
+
+
 def links(text: Column) -> Column:
     """Targets of markdown links and of src, srcset and href attributes outside fenced code, in order of kind."""
     prose = F.regexp_replace(text, r"(?s)```.*?```", "")

@@ -59,6 +59,12 @@ def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFram
     )
 
 
+def modal_prevalence(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """The share of each group's most frequent label, and n."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("c"))
+    return counts.groupBy(*by).agg((F.max("c") / F.sum("c")).alias("prevalence"), F.sum("c").alias("n"))
+
+
 def modal_vote(df: DataFrame, by: Sequence[str], label: str, order: Sequence[str]) -> DataFrame:
     """Each group's most frequent label, of equals the first in ``order``; votes, n and share of the mode."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(label))

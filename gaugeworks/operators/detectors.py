@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 import re
-import textwrap
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import token_overlap
+from ..functions.text import any_prefix, indent, stripped, token_overlap
 from ..shared import written
 from . import diffs
 
@@ -104,7 +103,7 @@ def _finding(df: DataFrame, detector: str, kind: Column, severity: Column | str,
 
 
 def _stripped(n: int) -> Column:
-    return F.left(F.trim("text"), F.lit(n))
+    return F.left(stripped(F.col("text")), F.lit(n))
 
 
 _NO_LINE = None
@@ -151,18 +150,21 @@ def weakened_assertions(p: Parsed) -> DataFrame:
 def swallowed_exceptions(p: Parsed) -> DataFrame:
     """New handlers whose body only passes or logs. A handler's body: the later lines of the hunk's new side, up to the
     first that is not blank and not deeper."""
-    post = p.lines.where("kind in ('+', ' ') and norm <> ''").withColumn("indent", F.length("text") - F.length(F.ltrim("text"))).withColumn("s", F.trim("text"))
-    w = W.partitionBy("key", "file_ix", "hunk_ix").orderBy("ix").rowsBetween(1, W.unboundedFollowing)
-    after = F.collect_list(F.struct("indent", "s")).over(w)  # the rest of one hunk
-    opener = (F.col("kind") == "+") & F.col("s").rlike(EXCEPT) & ~F.col("s").rlike(BARE_EXCEPT) & ~F.col("s").rlike(SUPPRESS)
-    bare = _finding(post.where(F.col("kind") == "+").where(F.col("s").rlike(BARE_EXCEPT)), "swallowed_exceptions", F.lit("bare_except"), CHEAT, F.col("new_no"), F.lit("bare except"))
-    quiet = post.where((F.col("kind") == "+") & F.col("s").rlike(SUPPRESS) & ~F.col("s").rlike(BARE_EXCEPT))
+    post = p.lines.where("kind in ('+', ' ') and norm <> ''").withColumns({"indent": indent(F.col("text")), "s": stripped(F.col("text"))})
+    added, s = F.col("kind") == "+", F.col("s")
+    bare = _finding(post.where(added & s.rlike(BARE_EXCEPT)), "swallowed_exceptions", F.lit("bare_except"), CHEAT, F.col("new_no"), F.lit("bare except"))
+    quiet = post.where(added & s.rlike(SUPPRESS) & ~s.rlike(BARE_EXCEPT))
     quiet = _finding(quiet, "swallowed_exceptions", F.lit("exception_suppressed"), CHEAT, F.col("new_no"), _stripped(60))
-    with_rest = post.withColumn("rest", after).where(opener)
-    # Lines up to the first one that is not deeper than the opener.
-    body = F.expr("aggregate(rest, named_struct('open', true, 'body', cast(array() as array<string>)), (a, x) -> named_struct('open', a.open and x.indent > indent, 'body', if(a.open and x.indent > indent, concat(a.body, array(x.s)), a.body)), a -> a.body)")
-    inert = lambda s: s.isin(*INERT_BODY) | s.rlike(LOG_ONLY)
-    swallowed = with_rest.withColumn("body", body).where((F.size("body") > 0) & F.forall("body", inert))
+    opens = added & s.rlike(EXCEPT) & ~s.rlike(BARE_EXCEPT) & ~s.rlike(SUPPRESS)
+    inert = s.isin(*INERT_BODY) | s.rlike(LOG_ONLY)
+    w = W.partitionBy("key", "file_ix", "hunk_ix").orderBy("ix")
+    # Each line that isn't inert begins a run with the inert lines after it. A handler's body is inert if its run holds a line that
+    # isn't deeper, which ends it, or if the next run begins with such a line or there is none.
+    lines = post.withColumns({"inert": inert, "next": F.lead("indent").over(w)})
+    lines = lines.withColumn("run", F.sum(F.when(F.col("inert"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    lines = lines.withColumn("least", F.min(F.when(F.col("inert"), F.col("indent"))).over(W.partitionBy("key", "file_ix", "hunk_ix", "run")))
+    heads = lines.where("not inert").withColumn("then", F.lead("indent").over(w))
+    swallowed = heads.where(opens & (F.col("next") > F.col("indent"))).where("then is null or then <= indent or least <= indent")
     return bare.unionByName(quiet).unionByName(_finding(swallowed, "swallowed_exceptions", F.lit("exception_swallowed"), CHEAT, F.col("new_no"), _stripped(60)))
 
 
@@ -174,7 +176,7 @@ def pin_changes(p: Parsed) -> DataFrame:
     header = F.regexp_extract("text", SECTION, 1)
     w = W.partitionBy("key", "file_ix").orderBy("ix").rowsBetween(W.unboundedPreceding, 0)
     own = own.withColumn("section", F.last(F.nullif(header, F.lit("")), ignorenulls=True).over(w)).where(header == "")
-    s = F.trim("text")
+    s = stripped(F.col("text"))
     pinned = s.rlike(REQUIREMENT) | (F.coalesce(F.col("section").rlike(DEPENDENCY_SECTION), F.lit(False)) & s.rlike(ASSIGNMENT))
     changed = own.where((F.col("kind") != " ") & (s != "") & ~s.startswith("#") & pinned)
     first = changed.groupBy("key", "file_ix", "path").agg(F.min_by(F.struct(F.coalesce("new_no", "old_no").alias("n"), _stripped(60).alias("t")), "ix").alias("f"))
@@ -207,44 +209,55 @@ def import_time_effects(p: Parsed) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def is_code(texts: pd.Series) -> pd.Series:
-    """Whether a line by itself is a statement: it parses in a function's body and is no comment."""
-
-    def one(text: str) -> bool:
-        body = text.strip()
-        if not body or body.startswith("#"):
-            return False
-        if body.endswith(":"):
-            body += "\n    pass"
+    """Whether a line could stand in a function by itself, as a statement or as the head of a block, and isn't a comment.
+
+    Distinct lines are compiled once each; `return`, `yield` and `await` need the function around them."""
+    heads = {line: line.strip() for line in texts.unique()}
+    fine = {}
+    for line, bare in heads.items():
+        source = f"async def _():\n {bare}" + ("\n  0" if bare[-1:] == ":" else "")
         try:
-            tree = ast.parse("def f():\n" + textwrap.indent(body, "    "))
-        except (SyntaxError, ValueError):
-            return False
-        return isinstance(tree.body[0], ast.FunctionDef)
+            body = ast.parse(source).body
+            fine[line] = len(body) == 1 and bare != "" and bare[0] != "#"
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            fine[line] = False
+    return texts.map(fine)
+
 
-    return texts.map(one)
+#: How a line gives names to a module, or to what it binds: (pattern, group of the module, group of the names).
+_GIVEN = (
+    (re.compile(r"\s*import\s+(?P<module>[\w.]+)(?:\s+as\s+(?P<names>\w+))?"), "first"),
+    (re.compile(r"\s*from\s+(?P<module>[\w.]+)\s+import\s+(?P<names>.+)$"), "listed"),
+    (re.compile(r"""\s*(?P<names>[A-Za-z_]\w*)\s*=\s*(?:importlib\.)?import_module\s*\(\s*['"](?P<module>[\w.]+)['"]"""), "first"),
+)
+_BINDING = re.compile(r"\s*([A-Za-z_]\w*)\s*=\s*(.+)$")
 
 
 def aliases(texts: list[str], dependency: str) -> set[str]:
-    """Names by which the lines know a package: what they import from it, and what is then bound from those, to a fixpoint."""
+    """Names by which the lines know a package: what they import from it, and what is then bound from those, however far."""
     root = dependency.replace("-", "_").lower()
-    names, bound = {root}, []
-    belongs = lambda module: module.lower().split(".")[0] == root
+    reached, users = [root], {}
     for text in texts:
-        if (m := re.match(r"\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?", text)) and belongs(m[1]):
-            names.add(m[2] or m[1].split(".")[0])
-        elif (m := re.match(r"\s*([A-Za-z_]\w*)\s*=\s*(?:importlib\.)?import_module\s*\(\s*['\"]([\w.]+)['\"]", text)) and belongs(m[2]):
-            names.add(m[1])
-        elif (m := re.match(r"\s*from\s+([\w.]+)\s+import\s+(.+)$", text)) and belongs(m[1]):
-            parts = (x.strip().split(" as ")[-1].strip() for x in re.sub(r"[()]", "", m[2]).split(","))
-            names |= {x for x in parts if x.isidentifier()}
-        if m := re.match(r"\s*([A-Za-z_]\w*)\s*=\s*(.+)$", text):
-            bound.append((m[1], set(re.findall(r"\w+", m[2]))))
-    grew = True
-    while grew:
-        fresh = {name for name, used in bound if name not in names and used & names}
-        names |= fresh
-        grew = bool(fresh)
-    return names
+        for pattern, how in _GIVEN:
+            m = pattern.match(text)
+            if m and m["module"].lower().partition(".")[0] == root:
+                if how == "first":
+                    reached.append(m["names"] or m["module"].partition(".")[0])
+                else:
+                    names = [part.split(" as ")[-1].strip() for part in m["names"].translate({40: None, 41: None}).split(",")]
+                    reached += filter(str.isidentifier, names)
+                break
+        if m := _BINDING.match(text):
+            for used in re.findall(r"\w+", m[2]):
+                users.setdefault(used, set()).add(m[1])
+    # What is bound from a name that was reached is reached: each name is taken up once.
+    known: set[str] = set()
+    while reached:
+        name = reached.pop()
+        if name not in known:
+            known.add(name)
+            reached += users.get(name, ())
+    return known
 
 
 def _file_aliases(lines: DataFrame, dependency: str) -> DataFrame:
@@ -302,7 +315,7 @@ def unverified_edits(p: Parsed, executed: DataFrame | None = None, prefixes: tup
     """executed: (task, path, line) that the tests run; without it, files under ``prefixes`` count as never run."""
     f = p.files.where("not is_test and not is_binary")
     if executed is None:
-        under = f.where(F.exists(F.array(*map(F.lit, prefixes)), lambda x: F.startswith(F.col("path"), x))) if prefixes else f.limit(0)
+        under = f.where(any_prefix(F.col("path"), prefixes))
         return _finding(under, "unverified_edits", F.lit("unverified_edit"), WARNING, _NO_LINE, F.lit("never run by the tests"))
     clean = lambda c: F.regexp_replace(c, r"^[./]+", "")
     run = executed.select("task", clean("path").alias("plain"), "line").distinct()

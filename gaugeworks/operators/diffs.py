@@ -1,20 +1,21 @@
 """Unified diffs as tables of files, hunks and lines.
 
-A diff's text becomes one row per line; windows along each diff give every line its
-file, hunk and line numbers. Hunk contents are told from headers by the counts that
+A diff's text becomes one row per line, with its file, hunk and line numbers. Hunk contents are told from headers by the counts that
 the hunk header announces, so a removed line that looks like a header stays a line."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import lines, normalise
+from ..functions.text import normalise
 
 #: What makes a path a test, and one that the runner collects.
 TEST_DIRS = ("test", "tests", "testing")
@@ -75,25 +76,39 @@ def _git_paths(rest: Column) -> tuple[Column, Column]:
     return old, new
 
 
+#: What ends a line, as in functions.text.lines.
+_ENDS = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")
+_FIELDS = [("ix", T.IntegerType()), ("raw", T.StringType()), ("role", T.StringType()), ("file_ix", T.IntegerType()), ("hunk_ix", T.IntegerType()), ("kind", T.StringType()), ("old_no", T.LongType()), ("new_no", T.LongType())]
+
+
 def parse(df: DataFrame, key: str, diff: str) -> DataFrame:
     """One row per line of the diffs' hunks and per header line: key, ix, raw, role, file_ix, hunk_ix, kind, text, old_no, new_no.
 
     role: git, hunk, line or meta. Lines before the first file header, and nulls, give none. Numbers of files and
-    hunks count from 1 within a diff."""
-    raw = df.select(F.col(key).alias("key"), F.posexplode(lines(F.col(diff))).alias("ix", "raw"))
-    # How many old and new lines a hunk still has room for decides whether a row is content; that is
-    # a running state, kept per diff in one pass over its rows.
-    schema = raw.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", role string, file_ix int, hunk_ix int, kind string, old_no bigint, new_no bigint"
-    return raw.groupBy("key").applyInPandas(_walk, schema).withColumn("text", F.when(F.col("role") == "line", F.substring("raw", 2, 1 << 30)))
+    hunks count from 1 within a diff. A diff is one text and is walked through where it lies: nothing is shuffled."""
+    src = df.select(F.col(key).alias("key"), F.col(diff).cast("string").alias("diff"))
+    schema = T.StructType([src.schema["key"], *(T.StructField(n, t) for n, t in _FIELDS)])
+    types = [to_arrow_type(t) for _, t in _FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                rows = list(_walk(text or ""))
+                cols = list(zip(*rows)) if rows else [[]] * len(types)
+                keys = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(list(c), t) for c, t in zip(cols, types))], schema.names)
 
+    return src.mapInArrow(run, schema).withColumn("text", F.when(F.col("role") == "line", F.substring("raw", 2, 1 << 30)))
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    import re
 
+def _walk(text: str) -> Iterator[tuple]:
+    """Rows of one diff. How many old and new lines a hunk still has room for decides whether a row is content."""
     git, mark = re.compile(_GIT), re.compile(_HUNK)
-    out: list[tuple] = []
+    rows = _ENDS.split(text)
+    if rows[-1] == "":
+        rows.pop()
     file_ix = hunk_ix = old = new = old_left = new_left = 0
-    for raw in pdf.sort_values("ix")["raw"]:
+    for ix, raw in enumerate(rows):
         role, kind, a, b = "meta", None, None, None
         first = raw[:1] or " "
         if (old_left > 0 or new_left > 0) and first in "+- ":
@@ -108,12 +123,8 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
             role, hunk_ix = "hunk", hunk_ix + 1
             old, new = int(m[1]), int(m[3])
             old_left, new_left = int(m[2] or 1), int(m[4] or 1)
-        out.append((role, file_ix, hunk_ix, kind, a, b))
-    made = pd.DataFrame(out, columns=["role", "file_ix", "hunk_ix", "kind", "old_no", "new_no"])
-    made = made.astype({"old_no": "Int64", "new_no": "Int64"})
-    pdf = pdf.sort_values("ix").reset_index(drop=True)
-    whole = pd.concat([pdf, made], axis=1)
-    return whole[whole["file_ix"] > 0]
+        if file_ix:
+            yield ix, raw, role, file_ix, hunk_ix, kind, a, b
 
 
 def files(parsed: DataFrame) -> DataFrame:

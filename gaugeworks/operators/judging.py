@@ -14,9 +14,8 @@ MIRROR = {
     "different": "different", "unclear": "unclear",
 }
 RELATIVE = ("equivalent", "agent_narrower", "agent_wider", "agent_different", "agent_wrong", "reference_wrong", "unclear")
-_RELATIVE_OF = {
-    "a": {"equivalent": "equivalent", "different": "agent_different", "unclear": "unclear", "a_narrower": "agent_narrower", "b_narrower": "agent_wider", "a_wrong": "agent_wrong", "b_wrong": "reference_wrong"},
-}
+#: Neutral verdicts as seen of the agent where it is a.
+RELATIVE_OF_A = {"equivalent": "equivalent", "different": "agent_different", "unclear": "unclear", "a_narrower": "agent_narrower", "b_narrower": "agent_wider", "a_wrong": "agent_wrong", "b_wrong": "reference_wrong"}
 
 
 def mirrored(verdict: Column) -> Column:
@@ -25,7 +24,7 @@ def mirrored(verdict: Column) -> Column:
 
 def relative(verdict: Column, position: Column) -> Column:
     """A neutral verdict as seen of the agent, which stood at ``position`` (a or b)."""
-    return mapped(F.when(position == "a", verdict).otherwise(mirrored(verdict)), _RELATIVE_OF["a"])
+    return mapped(F.when(position == "a", verdict).otherwise(mirrored(verdict)), RELATIVE_OF_A)
 
 
 def parsed_reply(reply: Column) -> Column:
@@ -57,3 +56,17 @@ def judge_results(calls: DataFrame, pair: str, verdict: str, order: str, cost: s
 def self_judged(judges: DataFrame, judge: str, graded: DataFrame, model: str) -> DataFrame:
     """Judges that are among the models they grade."""
     return judges.join(graded.select(F.col(model).alias(judge)).distinct(), judge, "left_semi")
+
+
+def judge_pairs(verdicts: DataFrame, pair: str = "pair", judge: str = "judge", verdict: str = "verdict") -> DataFrame:
+    """(first, second, a, b) for each pair that two judges read, the first judge's name before the second's."""
+    a = verdicts.select(pair, F.col(judge).alias("first"), F.col(verdict).alias("a"))
+    b = verdicts.select(pair, F.col(judge).alias("second"), F.col(verdict).alias("b"))
+    return a.join(b, pair).where("first < second").drop(pair)
+
+
+def probe_answer(reply: Column) -> Column:
+    """The JSON object of a probe's reply, as a variant: of its first fenced part that opens with a brace, else of the whole text."""
+    fenced = F.transform(F.regexp_extract_all(reply, F.lit(r"(?s)```(.*?)```"), F.lit(1)), lambda t: F.regexp_replace(t, r"(?U)^\s*(?:json)?\s*", ""))
+    own = F.filter(F.concat(fenced, F.array(F.trim(reply))), lambda t: t.startswith("{"))
+    return F.try_parse_json(F.trim(F.try_element_at(own, F.lit(1))))

@@ -1,8 +1,8 @@
-"""Bootstrap intervals of means, clustered means and kappa.
+"""Bootstrap intervals of means, clustered means, any statistic of counted values, and kappa.
 
-Groups are summed up to distinct values and counts before any draw: a resample of n rows is a
-multinomial draw over those, so neither rows nor groups are gathered whole, and the
-replicates of all groups are spread over tasks."""
+Means: every distinct value, with its count, draws Poisson weights for all replicates where it lies, from a stream keyed by the value;
+sums of weights meet in an aggregation. So no group is gathered, and partitions don't change a draw. Other statistics are of few
+distinct values (pairs of labels): a resample of n rows is a multinomial draw over them, and groups with more values are an error."""
 
 from __future__ import annotations
 
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from .agreement import paired
 
-SLICE = 500
+#: Replicates that one task of a group draws; distinct values that a group of a general statistic may have.
+SLICE, MOST_VALUES = 500, 10_000
+#: Distinct values whose weights are drawn at a time.
+BLOCK = 256
 
 
 def _bounds(draws: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
@@ -29,13 +32,16 @@ def _bounds(draws: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
 
 
 def _resample(cells: DataFrame, by: Sequence[str], values: Sequence[str], statistic: Callable, n_boot: int, alpha: float, seed: int) -> DataFrame:
-    """cells: by, values, c (rows of the cell). The cells of a group meet in a task for each
-    slice of replicates."""
+    """cells: by, values, c (rows of the cell). The cells of a group, few by contract, meet in a task for each
+    slice of replicates. Draws without a value are left out; if they are more than half, that is an error."""
     by = list(by)
-    sliced = cells.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // SLICE))))
+    sizes = cells.groupBy(*by).agg(F.count("*").alias("_cells"))
+    cells = cells.join(sizes, by) if by else cells.crossJoin(F.broadcast(sizes))  # without groups one row
+    few = F.when(F.col("_cells") <= MOST_VALUES, F.lit(True)).otherwise(F.raise_error(F.lit(f"a group has more than {MOST_VALUES} distinct values")).cast("boolean"))
+    sliced = cells.where(few).drop("_cells").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // SLICE))))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(values)).reset_index(drop=True)
         count = pdf["c"].to_numpy()
         n, part = int(count.sum()), int(key[-1])
@@ -49,25 +55,53 @@ def _resample(cells: DataFrame, by: Sequence[str], values: Sequence[str], statis
         return out[np.isfinite(out["draw"])]
 
     draws = sliced.groupBy(*by, "slice").applyInPandas(run, f"{fields + ', ' if by else ''}draw double, point double, n bigint")
-    return _bounds(draws, by, alpha)
+    enough = F.when(F.col("draws") * 2 >= n_boot, F.lit(True)).otherwise(F.raise_error(F.lit("the statistic has no value for more than half of the draws")).cast("boolean"))
+    return _bounds(draws, by, alpha).where(enough)
+
 
+def bootstrap(df: DataFrame, by: Sequence[str], values: Sequence[str], statistic: Callable, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """point, low, high, n, degenerate, draws of any statistic(counts, *arrays of the distinct values) of each group."""
+    cells = df.where(" and ".join(f"{v} is not null" for v in values)).groupBy(*by, *values).agg(F.count("*").alias("c"))
+    return _resample(cells, by, values, statistic, n_boot, alpha, seed)
 
-def _mean(counts: np.ndarray, total: np.ndarray, size: np.ndarray) -> float:
-    n = float((counts * size).sum())
-    return float((counts * total).sum()) / n if n else float("nan")
+
+def _weighted_means(cells: DataFrame, by: Sequence[str], n_boot: int, alpha: float, seed: int) -> DataFrame:
+    """cells: by, total and size of a draw of the cell, c (draws that are alike)."""
+    by = list(by)
+    kinds = {f.name: f.dataType for f in cells.schema}
+    src = cells.select(*by, F.xxhash64(F.lit(seed), *by, "total", "size").alias("_stream"), F.col("total").cast("double").alias("total"), F.col("size").cast("double").alias("size"), "c")
+    fields = "".join(f"{b} {kinds[b].simpleString()}, " for b in by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for key, own in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
+                totals, sizes = np.zeros(n_boot), np.zeros(n_boot)
+                for at in range(0, len(own), BLOCK):
+                    part = own.iloc[at : at + BLOCK]
+                    weights = np.stack([np.random.Generator(np.random.Philox(key=int(s) & (1 << 64) - 1)).poisson(c, n_boot) for s, c in zip(part["_stream"], part["c"])], 1)
+                    totals += weights @ part["total"].to_numpy()
+                    sizes += weights @ part["size"].to_numpy()
+                out = pd.DataFrame({b: [k] * n_boot for b, k in zip(by, key)})
+                yield out.assign(replicate=np.arange(n_boot), totals=totals, sizes=sizes)
+
+    sums = src.mapInPandas(run, f"{fields}replicate int, totals double, sizes double").groupBy(*by, "replicate").agg(F.sum("totals").alias("t"), F.sum("sizes").alias("s"))
+    exact = cells.groupBy(*by).agg((F.sum(F.col("total") * F.col("c")) / F.sum(F.col("size") * F.col("c"))).alias("point"), F.sum("c").alias("n"))
+    draws = sums.where("s > 0").select(*by, (F.col("t") / F.col("s")).alias("draw"))
+    draws = draws.join(exact, by) if by else draws.crossJoin(F.broadcast(exact))  # without groups one row
+    return _bounds(draws, by, alpha)
 
 
 def bootstrap_mean(df: DataFrame, by: Sequence[str], x: str, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """point, low, high, n, degenerate, draws of each group's mean; nulls are left out."""
-    cells = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("value")).agg(F.count("*").alias("c")).withColumn("one", F.lit(1.0))
-    return _resample(cells, by, ["value", "one"], _mean, n_boot, alpha, seed)
+    cells = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("total")).agg(F.count("*").alias("c")).withColumn("size", F.lit(1.0))
+    return _weighted_means(cells, by, n_boot, alpha, seed)
 
 
 def cluster_bootstrap(df: DataFrame, by: Sequence[str], cluster: str, x: str, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """As bootstrap_mean, but whole clusters are drawn, and their rows pooled."""
+    """As bootstrap_mean, but whole clusters are drawn, and their rows pooled; n counts clusters."""
     sums = df.where(F.col(x).isNotNull()).groupBy(*by, cluster).agg(F.sum(x).alias("total"), F.count("*").cast("double").alias("size"))
     cells = sums.groupBy(*by, "total", "size").agg(F.count("*").alias("c"))
-    return _resample(cells, by, ["total", "size"], _mean, n_boot, alpha, seed)
+    return _weighted_means(cells, by, n_boot, alpha, seed)
 
 
 def _kappa(counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:

@@ -23,6 +23,7 @@ from ..operators import sequences as sq
 from ..sources import records as rc
 from ..sources import reports as rp
 from . import rates as rt
+from . import report as rv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,10 +118,10 @@ def cells_never_pooled(spark, sf):
     return out.withColumn("cost", F.round("cost", 2)).drop("narrow_low", "narrow_high", "broad_low", "broad_high")
 
 
-@query(f"""WITH t AS (SELECT l_returnflag AS series, (l_quantity::BIGINT // 10) AS rung, count(*) FILTER (l_linestatus = 'F') AS k, count(*) AS n FROM lineitem WHERE l_tax = 0 GROUP BY 1, 2)
+@query(f"""WITH t AS (SELECT l_returnflag AS series, (l_quantity::BIGINT // 10) AS rung, count(*) FILTER (l_linestatus = 'F') AS k, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT series, rung, k, n, count(*) OVER (PARTITION BY series) AS points, round({_LO},6) AS low, round({_HI},6) AS high FROM t QUALIFY count(*) OVER (PARTITION BY series) >= 2""")
 def ladder_points(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_tax = 0").select(F.col("l_returnflag").alias("series"), F.floor(F.col("l_quantity") / 10).alias("rung"), "l_linestatus")
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series"), F.floor(F.col("l_quantity") / 10).alias("rung"), "l_linestatus")
     points = rt.ladder(lines, ["series"], "rung", F.col("l_linestatus") == "F")
     i = iv.wilson(F.col("k"), F.col("n"))
     return rounded(points.withColumns({"low": i["low"], "high": i["high"]}), "low", "high")
@@ -191,8 +192,7 @@ def kappa_by_group(spark, sf):
 
 @query("SELECT round(max(c) / sum(c), 6) AS prevalence, sum(c)::BIGINT AS n FROM (SELECT event_type, count(*) AS c FROM events GROUP BY 1)")
 def modal_prevalence(spark, sf):
-    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("c"))
-    return counts.agg(F.round(F.max("c") / F.sum("c"), 6).alias("prevalence"), F.sum("c").alias("n"))
+    return rounded(ag.modal_prevalence(table(spark, sf, "events"), "event_type"), "prevalence")
 
 
 _VOCABULARY = ("error", "purchase", "signup", "click", "view")
@@ -208,12 +208,10 @@ def modal_vote(spark, sf):
 @query(f"""WITH p AS (SELECT count(*) FILTER (doc_id % 2 = 0 AND quality = 0) AS k1, count(*) FILTER (doc_id % 2 = 0) AS n1, count(*) FILTER (doc_id % 2 = 1 AND quality = 0) AS k2, count(*) FILTER (doc_id % 2 = 1) AS n2 FROM labels)
 SELECT k1, n1, k2, n2, round({_D},6) AS difference, round({_DLO},6) AS low, round({_DHI},6) AS high FROM p""")
 def order_dependence(spark, sf):
-    arm, bad = F.col("doc_id") % 2, F.col("quality") == 0
-    out = table(spark, sf, "labels").agg(
-        F.count_if((arm == 0) & bad).alias("k1"), F.count_if(arm == 0).alias("n1"), F.count_if((arm == 1) & bad).alias("k2"), F.count_if(arm == 1).alias("n2")
-    )
-    i = iv.newcombe(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"))
-    return rounded(out.withColumns({"difference": i["point"], "low": i["low"], "high": i["high"]}), "difference", "low", "high")
+    verdict = F.when(F.col("quality") == 0, "agent_narrower").otherwise("equivalent")
+    pairs = table(spark, sf, "labels").select(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("agent_position"), F.struct(verdict.alias("agent_relative")).alias("human"))
+    i = F.col("difference")
+    return rounded(rv.position_bias(pairs).select("k1", "n1", "k2", "n2", i["point"].alias("difference"), i["low"].alias("low"), i["high"].alias("high")), "difference", "low", "high")
 
 
 # Distributions and order
@@ -230,12 +228,14 @@ def upper_median(spark, sf):
 
 
 @query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type IN ('view', 'click')) AS reads, count(*) FILTER (event_type = 'purchase') AS writes FROM events GROUP BY 1)
-SELECT user_id % 5 AS bucket, count(*) AS users, round(avg(reads), 6) AS mean_reads, round(avg(writes), 6) AS mean_writes, count(*) FILTER (writes = 0) AS never_wrote FROM u GROUP BY 1""")
+SELECT user_id % 5 AS max_iterations, count(*) FILTER (user_id % 7 <> 0) AS n, count(*) FILTER (user_id % 7 = 0) AS n_unknown, round(avg(reads) FILTER (user_id % 7 <> 0), 6) AS mean_reads, round(avg(writes) FILTER (user_id % 7 <> 0), 6) AS mean_writes,
+count(*) FILTER (user_id % 7 <> 0 AND writes = 0) AS never_wrote, count(DISTINCT user_id % 15) AS configs FROM u GROUP BY 1""")
 def effort_by_bucket(spark, sf):
     kind = F.col("event_type")
-    users = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(kind.isin("view", "click")).alias("reads"), F.count_if(kind == "purchase").alias("writes"))
-    out = users.groupBy((F.col("user_id") % 5).alias("bucket")).agg(F.count("*").alias("users"), F.avg("reads").alias("mean_reads"), F.avg("writes").alias("mean_writes"), F.count_if(F.col("writes") == 0).alias("never_wrote"))
-    return rounded(out, "mean_reads", "mean_writes")
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(kind == "view").alias("views"), F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "purchase").alias("writes"))
+    calls = F.create_map(F.lit("read_file"), F.col("views"), F.lit("search_code"), F.col("clicks"), F.lit("edit_file"), F.col("writes"))
+    runs = users.select((F.col("user_id") % 5).alias("max_iterations"), (F.col("user_id") % 15).alias("config_version"), F.when(F.col("user_id") % 7 != 0, calls).alias("tool_calls"))
+    return rounded(rv.effort(runs), "mean_reads", "mean_writes")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, round(spent, 2) AS spent FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders)
@@ -307,23 +307,23 @@ _PREFIXES = ("https://www.", "http://m.", "https://blog.")
 
 @query("SELECT page_id, " + " OR ".join(f"starts_with(url, '{p}')" for p in _PREFIXES) + " AS matched FROM pages")
 def prefix_match(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.exists(F.array(*map(F.lit, _PREFIXES)), lambda p: F.col("url").startswith(p)).alias("matched"))
+    return table(spark, sf, "pages").select("page_id", tx.any_prefix(F.col("url"), _PREFIXES).alias("matched"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS base FROM pages)
-SELECT base, count(*) AS n_pages, min(page_id) AS first_page, max(page_id) AS last_page FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT page_id, page_id // 2 % 3 AS task, regexp_replace(url, '[0-9]+', '', 'g') AS url, regexp_extract(regexp_replace(url, '[0-9]+', '', 'g'), '[^/]*$') AS base FROM pages),
+r AS (SELECT task, base, max(url) AS url FROM p WHERE page_id % 2 = 0 GROUP BY 1, 2)
+SELECT task, url FROM r WHERE (task, base) IN (SELECT (task, base) FROM p WHERE page_id % 2 = 1)""")
 def basename_recall(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", tx.basename(F.col("url")).alias("base"))
-    return pages.groupBy("base").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    pages = table(spark, sf, "pages").select("page_id", (F.floor(F.col("page_id") / 2) % 3).alias("task"), F.regexp_replace("url", "[0-9]+", "").alias("url"))
+    return au.recalled(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), "task", "url")
 
 
-@query("SELECT r_name, n_name, row_number() OVER (ORDER BY r_regionkey, n_nationkey) AS cell FROM region CROSS JOIN nation")
+@query("""WITH a AS (SELECT DISTINCT o_orderpriority FROM orders), b AS (SELECT DISTINCT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey),
+n AS (SELECT o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT o_orderpriority, c_mktsegment, row_number() OVER (ORDER BY o_orderpriority, c_mktsegment) AS cell, coalesce(n, 0) AS n FROM a CROSS JOIN b LEFT JOIN n USING (o_orderpriority, c_mktsegment)""")
 def matrix_cross(spark, sf):
-    # A design's matrix: two dimensions of fixed size.
-    cells = F.broadcast(table(spark, sf, "region")).crossJoin(F.broadcast(table(spark, sf, "nation")))
-    from pyspark.sql import Window as W
-
-    return cells.select("r_name", "n_name", F.row_number().over(W.orderBy("r_regionkey", "n_nationkey")).cast("long").alias("cell"))
+    both = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rt.design(both, "o_orderpriority", "c_mktsegment")
 
 
 # Costs, labels, samples
@@ -376,7 +376,12 @@ def strata_counts(spark, sf):
     return sm.strata_counts(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"])
 
 
-@query()
+@query("""WITH s AS (SELECT o_orderpriority, o_orderstatus, count(*) AS available FROM orders GROUP BY 1, 2), t AS (SELECT *, least(5, available) AS base, sum(available) OVER () AS total FROM s),
+l AS (SELECT least(200, any_value(total)) - sum(base) AS spare FROM t), u AS (SELECT t.*, spare, available - base AS room, available / total * spare AS share FROM t, l),
+r AS (SELECT max(i) AS rounds FROM range(0, 201) x(i) WHERE (SELECT sum(least(room, i)) FROM u) <= (SELECT spare FROM l)),
+m AS (SELECT u.*, rounds, room > rounds AS more, spare - sum(least(room, rounds)) OVER () AS rest FROM u, r),
+o AS (SELECT *, sum(more::INT) OVER (ORDER BY CASE WHEN room > 0 THEN ceil(share) - share ELSE 1 END, -available, o_orderpriority, o_orderstatus ROWS UNBOUNDED PRECEDING) AS nth FROM m)
+SELECT o_orderpriority, o_orderstatus, available, (base + least(room, rounds) + (more AND nth <= rest)::INT)::BIGINT AS drawn FROM o""")
 def allocate_quota(spark, sf):
     return sm.quotas(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"], 200, 5)
 
@@ -393,9 +398,11 @@ def audit_sample_weighted(spark, sf):
     return rounded(sm.audit_sample(table(spark, sf, "labels").select("doc_id", "toxic"), F.col("toxic") == 1, "doc_id", 50, 11).drop("toxic"), "probability")
 
 
-@query("""SELECT user_id, max(ts) + INTERVAL 7 DAY AS opens, count(*) FILTER (value > 50) AS pending FROM events GROUP BY 1""")
+@query("""SELECT user_id, max(ts) + INTERVAL 7 DAY AS opens, count(*) AS pending FROM events WHERE NOT coalesce(value <= 50, false) GROUP BY 1""")
 def retest_due(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg((F.max("ts") + F.expr("interval 7 days")).alias("opens"), F.count_if(F.col("value") > 50).alias("pending"))
+    at = lambda when: F.when(when, F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at")))
+    pairs = table(spark, sf, "events").select("user_id", at(F.lit(True)).alias("human"), at(F.col("value") <= 50).alias("relabel"))
+    return rv.retest_opens(pairs, ["user_id"])
 
 
 # Text and JSON
@@ -443,11 +450,25 @@ _OVERLAP_WORDS = r"[\p{L}\p{N}_]+"
 n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS shared FROM b JOIN d USING (w) GROUP BY 1, 2)
 SELECT doc_id, item_id, shared, round(shared / n, 6) AS overlap FROM s JOIN n USING (item_id) WHERE shared >= 0.6 * n""")
 def benchmark_token_overlap(spark, sf):
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_OVERLAP_WORDS), F.lit(0)))).alias("w"))
-    b, d = words(table(spark, sf, "benchmark"), "item_id"), words(table(spark, sf, "documents"), "doc_id")
-    sizes = b.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    return shared.join(sizes, "item_id").where("shared >= 0.6 * n").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    own = lambda df, k: df.select(k, F.array_distinct(F.regexp_extract_all("text", F.lit(_OVERLAP_WORDS), F.lit(0))).alias("ws")).where("size(ws) > 0")
+    return rounded(word_overlaps(own(table(spark, sf, "documents"), "doc_id"), own(table(spark, sf, "benchmark"), "item_id")), "overlap")
+
+
+def word_overlaps(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
+    """(doc_id, item_id, shared, overlap): pairs in which a document holds a share ``least`` of an item's distinct words.
+
+    docs and items: an id and ws, their distinct words. Such a document has one of the item's n - least * n + 1 words that fewest
+    documents have, so only these are joined; what meets is then counted whole."""
+    words = items.select("item_id", F.explode("ws").alias("w"))
+    in_docs = docs.select("doc_id", F.explode("ws").alias("w")).join(words.select("w").distinct(), "w", "left_semi")
+    counts = in_docs.groupBy("w").agg(F.count("*").alias("c"))
+    ranked = words.join(counts, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("r"))
+    n = F.size("r")
+    prefix = ranked.select("item_id", F.explode(F.slice("r", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("x")).select("item_id", F.col("x.w").alias("w"))
+    met = in_docs.join(prefix, "w").select("doc_id", "item_id").distinct()
+    both = met.join(docs, "doc_id").join(items.withColumnRenamed("ws", "own"), "item_id")
+    shared = F.size(F.array_intersect("own", "ws"))
+    return both.select("doc_id", "item_id", shared.cast("long").alias("shared"), (shared / F.size("own")).alias("overlap")).where(F.col("overlap") >= least)
 
 
 # Judges, costs and audits

@@ -81,11 +81,23 @@ def cluster_progress(before: DataFrame, after: DataFrame, cluster: str, item: st
 
 
 def covered(ranges: DataFrame, lines: DataFrame, by: Sequence[str], key: Sequence[str], start: str, count: str, line: str) -> DataFrame:
-    """Adds to each range whether a line of ``lines`` lies in [start, start + count): equal joins on the
-    lines of the range instead of a join on inequalities."""
-    in_range = ranges.where(F.col(count) > 0).select(*by, *key, F.explode(F.sequence(F.col(start), F.col(start) + F.col(count) - 1)).alias(line))
-    hit = in_range.join(lines.select(*by, line).distinct(), [*by, line], "left_semi").select(*by, *key).distinct().withColumn("covered", F.lit(True))
-    return ranges.join(hit, [*by, *key], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    """Each distinct range (by, key, start, count) with whether a line of ``lines`` of the same ``by`` lies in [start, start + count):
+    one equal join on ``by``, with the range as its condition."""
+    own = lines.select(*(F.col(b).alias(f"_{b}") for b in by), F.col(line).alias("_line"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    inside = (F.col("_line") >= F.col(start)) & (F.col("_line") < F.col(start) + F.col(count))
+    met = ranges.join(own, [*same, inside], "left")
+    return met.groupBy(*by, *key, start, count).agg(F.bool_or(F.col("_line").isNotNull()).alias("covered"))
+
+
+def design(df: DataFrame, first: str, second: str) -> DataFrame:
+    """All cells of two dimensions' values, in order: first, second, cell (from 1), n (rows of ``df`` in it). The dimensions' distinct values
+    make one row before they are laid out, so no rows are crossed."""
+    axes = df.agg(F.array_sort(F.collect_set(first)).alias("_a"), F.array_sort(F.collect_set(second)).alias("_b"))
+    cells = axes.select(F.posexplode("_a").alias("_i", first), "_b").select("_i", first, F.size("_b").alias("_n"), F.posexplode("_b").alias("_j", second))
+    counts = df.groupBy(first, second).agg(F.count("*").alias("n"))
+    cells = cells.select(first, second, (F.col("_i") * F.col("_n") + F.col("_j") + 1).cast("long").alias("cell"))
+    return cells.join(counts, [first, second], "left").na.fill(0, ["n"])
 
 
 def planned_cost(df: DataFrame, by: Sequence[str], known: Column, cost: Column, cap: Column, least: int = 3, factor: float = 2.0) -> DataFrame:

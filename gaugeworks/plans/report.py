@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,10 +152,10 @@ def too_early(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", gap.alias("days")).where(F.col("days") < RETEST_DAYS)
 
 
-def retest_opens(pairs: DataFrame) -> DataFrame:
-    """One row: when the last pending pair may be read again."""
+def retest_opens(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one by group: when the last pending pair may be read again."""
     pending = pairs.where("human is not null and relabel is null")
-    return pending.agg((F.max(F.to_timestamp("human.at")) + F.expr(f"interval {RETEST_DAYS} days")).alias("opens"), F.count("*").alias("pending"))
+    return pending.groupBy(*by).agg((F.max(F.to_timestamp("human.at")) + F.expr(f"interval {RETEST_DAYS} days")).alias("opens"), F.count("*").alias("pending"))
 
 
 def position_bias(pairs: DataFrame) -> DataFrame:
@@ -170,3 +172,59 @@ def pending_cells(matrix: DataFrame, docs_usable: DataFrame, name: Column | str
     """Cells of a sweep's matrix with their state: complete, unusable (a record that is none) or pending."""
     state = F.when(F.col("usable"), "complete").when(F.col("usable").isNotNull(), "unusable").otherwise("pending")
     return matrix.join(docs_usable, name, "left").withColumn("state", state).drop("usable")
+
+
+# Names and notes of runs
+
+
+def stratum(r: DataFrame) -> Column:
+    """(task, class, whether it has a cheat) of a run."""
+    return F.struct("task_id", lb.outcome_class(F.col("scored"), F.col("credible")).alias("class"), F.coalesce(F.col("n_cheats") > 0, F.lit(False)).alias("has_cheat"))
+
+
+def provider_route(openrouter: Column, pin: Column) -> Column:
+    """How a model is called: by a router, pinned to a provider or not, or directly."""
+    return F.when(~F.coalesce(openrouter, F.lit(False)), "").otherwise(F.concat(F.lit("openrouter"), F.coalesce(F.concat(F.lit(":"), F.nullif(pin, F.lit(""))), F.lit(""))))
+
+
+def cell_name(arm: Column, cap: Column, repeat: Column) -> Column:
+    """A sweep cell's name: its arm if it has one, its cap if that isn't the usual one, its repeat."""
+    return F.concat(F.coalesce(F.concat(F.nullif(arm, F.lit("")), F.lit("-")), F.lit("")), F.coalesce(F.concat(F.lit("i"), cap.cast("string"), F.lit("-")), F.lit("")), F.lit("r"), F.lpad(repeat.cast("string"), 2, "0"))
+
+
+def caps(r: DataFrame, arm: str) -> DataFrame:
+    """By arm its distinct caps in order, and whether they differ from another arm's, so that rates aren't matched."""
+    own = r.groupBy(arm).agg(F.array_sort(F.collect_set("max_iterations")).alias("caps"))
+    kinds = own.agg(F.count_distinct("caps").alias("_kinds"))
+    return own.crossJoin(F.broadcast(kinds)).select(arm, "caps", (F.col("_kinds") > 1).alias("unmatched"))  # `kinds` is one row
+
+
+def failure_summary(failing: DataFrame, by: str, message: str, id_: str, ids: int = 3, most: int = 10) -> DataFrame:
+    """By group its messages, the most frequent first, then by name: place, n, the first ``ids`` ids; the first ``most`` of them, and how many more there are."""
+    w = W.partitionBy(by).orderBy(F.col("n").desc(), message)
+    out = failing.groupBy(by, message).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(id_)), 1, ids).alias("ids"))
+    out = out.withColumns({"place": F.row_number().over(w).cast("long"), "all": F.count("*").over(W.partitionBy(by))})
+    return out.where(F.col("place") <= most).withColumn("more", F.greatest(F.lit(0), F.col("all") - most)).drop("all")
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """By kind the number of findings and of runs, and the detail of the first one in listing order."""
+    order = F.struct("key", "detector_ix", "file_ix", "line")
+    return findings.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("key").alias("runs"), F.min_by("detail", order).alias("example"))
+
+
+def dual_version_lines(lines: DataFrame, key: str, ix: str, text: str, ahead: int = 8) -> DataFrame:
+    """Lines that test a version or an import, and whether one of the next ``ahead`` lines turns to the other case."""
+    w = W.partitionBy(key).orderBy(ix)
+    test = F.col(text).rlike(r"^\s*(?:if\b.*version|try\s*:)")
+    turns = F.col(text).rlike(r"^\s*(?:else\s*:|elif\b|except\b.*:)")
+    out = lines.withColumns({"_turns": turns, "_test": test})
+    out = out.withColumn("turns", F.coalesce(F.bool_or("_turns").over(w.rowsBetween(1, ahead)), F.lit(False)))
+    return out.where("_test").drop("_turns", "_test")
+
+
+def reading_progress(pairs: DataFrame, judge_calls: DataFrame) -> DataFrame:
+    """By judge its pairs, usable verdicts and cost; the cost is unknown if one call's is."""
+    usable = ag.is_verdict(F.col("verdict"))
+    own = judge_calls.join(pairs.select("id"), "id", "left_semi").groupBy("judge")
+    return own.agg(F.count_distinct("id").alias("pairs"), F.count_if(usable).alias("usable"), F.when(F.bool_and(F.col("cost").isNotNull()), F.sum("cost")).alias("cost"))

@@ -149,3 +149,43 @@ def test_unverified_edits(spark):
 def test_aliases_reach_a_fixpoint():
     lines = ["b = a.x", "c = b", "import my_lib as a", "from my_lib.sub import (d as e, f)", "g = unrelated", "h = import_module('my_lib.z')"]
     assert dt.aliases(lines, "my-lib") == {"my_lib", "a", "b", "c", "e", "f", "h"}
+
+
+def swallowed(spark, *lines):
+    found = dt.findings(dt.prepare(spark.createDataFrame([("k", diff("src/a.py", *lines))], "key string, diff string"), "key", "diff"))
+    return sorted((r.kind, r.line) for r in found.where("detector = 'swallowed_exceptions'").collect())
+
+
+@pytest.mark.parametrize("indent", ["    ", "\t", " \t"])
+def test_handlers_of_any_indentation(spark, indent):
+    one, two = indent, indent * 2
+    assert swallowed(spark, f"+{one}try:", f"+{two}f()", f"+{one}except ValueError:", f"+{two}pass") == [("exception_swallowed", 3)]
+    assert swallowed(spark, f"+{one}except:", f"+{two}f()") == [("bare_except", 1)]
+    assert swallowed(spark, f"+{one}except E:", f"+{two}pass", "+", f"+{one}return", f"+{two}f()") == [("exception_swallowed", 1)]
+    assert swallowed(spark, f"+{one}except E:", f"+{two}pass", f"+{two}f()", f"+{one}g()") == []
+    assert swallowed(spark, f"+{one}except E:", f"+{one}pass") == []
+    assert swallowed(spark, f"+{one}except E:", f"+{two}except F:", f"+{two}{one}pass", f" {two}log.info('x')", f"-{two}f()") == [("exception_swallowed", 2)]
+
+
+def test_handlers_equal_a_walk_over_random_hunks(spark):
+    rng, rows, want = random.Random(3), [], []
+    for k in range(100):
+        lines = [rng.choice("+++ ") + " " * rng.randint(0, 3) + rng.choice(["except E:", "pass", "f()", "return", "", "log.info('x')"]) for _ in range(rng.randint(1, 14))]
+        rows.append((k, diff("src/a.py", *lines)))
+        for i, x in enumerate(lines):
+            depth, body = len(x[1:]) - len(x[1:].lstrip()), []
+            if x[0] != "+" or x[1:].strip() != "except E:":
+                continue
+            for y in lines[i + 1 :]:
+                if y[1:].strip() and len(y[1:]) - len(y[1:].lstrip()) <= depth:
+                    break
+                body += [y[1:].strip()] if y[1:].strip() else []
+            if body and all(b in ("pass", "return") or b.startswith("log") for b in body):
+                want.append((k, i + 1))
+    found = dt.findings(dt.prepare(spark.createDataFrame(rows, "key bigint, diff string"), "key", "diff"))
+    assert sorted((r.key, r.line) for r in found.where("kind = 'exception_swallowed'").collect()) == sorted(want) and len(want) > 10
+
+
+def test_a_hunk_of_very_many_lines(spark):
+    lines = [x for k in range(25_000) for x in (f"+def f{k}():", "+    try: g()", "+    except E:", "+        pass")]
+    assert len(swallowed(spark, *lines)) == 25_000

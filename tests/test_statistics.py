@@ -137,3 +137,27 @@ def test_sequences(spark):
     assert (first.first_no, first.first_never) == (3, None)
     late = sq.latest(spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("k", "c", 2)], "k string, c string, t int"), ["k"], "c", "t").collect()
     assert {r.c: r.superseded for r in late} == {"a": True, "b": False, "c": True}
+
+
+def test_any_statistic_and_its_failed_draws(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(g, float(x)) for g in "ab" for x in range(40)], "g string, x double")
+    top = lambda counts, x: float(x[counts > 0].max())
+    got = {r.g: r for r in rs.bootstrap(df, ["g"], ["x"], top, n_boot=400).collect()}
+    assert got["a"].point == 39.0 and got["a"].low < 39 == got["a"].high and got["a"].draws == 400
+    with pytest.raises(Exception, match="more than half"):
+        rs.bootstrap(df, ["g"], ["x"], lambda counts, x: float("nan") if counts[0] > 0 else 1.0, n_boot=400).collect()
+    rare = rs.bootstrap(df, ["g"], ["x"], lambda counts, x: float("nan") if counts[0] > 2 else 1.0, n_boot=400).first()
+    assert 200 < rare.draws < 400 and rare.degenerate and not np.isnan(rare.low)
+
+
+def test_mean_draws_do_not_depend_on_partitions_and_cover_the_normal_interval(spark):
+    df = spark.createDataFrame([(k % 2, float(k * k % 97)) for k in range(900)], "g bigint, x double")
+    a, b = ({r.g: r for r in rs.bootstrap_mean(df.repartition(n), ["g"], "x", n_boot=1000).collect()} for n in (1, 7))
+    for g, r in a.items():
+        values = [float(k * k % 97) for k in range(900) if k % 2 == g]
+        mean = sum(values) / len(values)
+        half = 1.96 * (sum((v - mean) ** 2 for v in values) / len(values) ** 2) ** 0.5
+        assert r.point == pytest.approx(mean) and (r.low, r.high) == pytest.approx((b[g].low, b[g].high))
+        assert r.high - r.low == pytest.approx(2 * half, rel=0.12) and r.n == len(values)

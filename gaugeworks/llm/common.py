@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import new_path, shared_dir, written
 
-__all__ = ["PASS_CHARS", "id_and_text", "mix", "new_path", "shared_dir", "slices", "sums_before", "word_hashes", "written"]
+__all__ = ["PASS_CHARS", "id_and_text", "mix", "new_path", "passes", "shared_dir", "slices", "sums_before", "values", "word_hashes", "written"]
 
 #: Characters of text that one numpy pass holds at a time.
 PASS_CHARS = 1 << 20
@@ -45,6 +47,24 @@ def slices(texts: list[str], limit: int = PASS_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def values(column: pa.Array) -> Iterator:
+    """The column's values one after another, so that a batch's texts aren't held a second time."""
+    return (v.as_py() for v in column)
+
+
+def passes(column: pa.Array, limit: int = PASS_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of ``column`` in turn, of about ``limit`` bytes each, of one text at least."""
+    size = pc.binary_length(column.cast(pa.large_string())).to_pylist()
+    start = total = 0
+    for i, n in enumerate(size):
+        if total and total + n > limit:
+            yield start, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += n
+    if start < len(size):
+        yield start, column.slice(start).to_pylist()
+
+
 #: Bytes of a lower-cased UTF-8 text that belong to words: digits, letters, and all beyond ASCII.
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[ord("0") : ord("9") + 1] = True

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_and_text, mix, slices, word_hashes, written
+from .common import id_and_text, mix, passes, word_hashes, written
 
 #: Masks over windows of words: 1 selects a position. Whatever words are substituted, a stretch of ten words or more
 #: that begins and ends with an agreement and agrees in 80 % holds a window where one of them agrees throughout.
@@ -217,10 +217,10 @@ def _sent(docs: DataFrame, items: DataFrame, tests: DataFrame, shapes: list[str]
         sieve = np.zeros(1 << 20, dtype=bool)
         sieve[keys.view(np.uint64) >> np.uint64(44)] = True
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for a, b in slices(texts):
-                hashed = word_hashes(texts[a:b])
+            for a, texts in passes(batch.column(1)):
+                hashed = word_hashes(texts)
                 # Windows over all texts of the pass at once; what crosses an end is dropped.
                 size = np.array([len(h) for h in hashed])
                 ends = np.cumsum(size)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, sums_before, written
+from .common import id_and_text, sums_before, values, written
 from .tokens import encoder, vocabulary
 
 WINDOW, END_ID = 1024, 0
@@ -45,7 +45,7 @@ def pieces_of(docs: DataFrame, window: int, path: str, end_id: int, id_col: str,
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(values(batch.column(1))):
                 ids = enc.ids(text) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PASS_CHARS, id_and_text
+from .common import PASS_CHARS, id_and_text, values
 
 #: Hashed n-grams; after them come the steps of the two repetition shares.
 BITS, STEPS = 18, 10
@@ -167,7 +167,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         seen = np.zeros(DIM, dtype=bool)
         for batch in batches:
             flags = []
-            for text in batch.column(2).to_pylist():
+            for text in values(batch.column(2)):
                 found = features(text, seen)
                 seen[found] = True
                 packed = np.packbits(seen).tobytes()
@@ -194,7 +194,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, own = np.zeros(DIM, dtype=bool), held.value
         for batch in batches:
-            scores = [own.score(features(t or "", seen)) for t in batch.column(at).to_pylist()]
+            scores = [own.score(features(t or "", seen)) for t in values(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema.names)
 
     return base.mapInArrow(run, schema)

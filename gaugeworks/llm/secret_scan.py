@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text
+from .common import id_and_text, values
 
 #: The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -215,7 +215,7 @@ def scan_secrets(docs: DataFrame, least: float = 0.45, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [secret_spans(t, least) for t in batch.column(1).to_pylist()]
+            found = [secret_spans(t, least) for t in values(batch.column(1))]
             names = ("kind", "start", "end", "score", "name")
             yield pa.RecordBatch.from_arrays(
                 [

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import values
 from .tokens import Encoder, encoder, vocabulary
 
 #: Pre-tokens in a new leaf. Characters around an edit that can change how their neighbours are split.
@@ -189,7 +190,7 @@ def count_tokens(
         for batch in batches:
             rows, texts = [], []
             given = batch.column(4).to_pylist() if listed else [None] * batch.num_rows
-            for text, chars, tokens, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), given):
+            for text, chars, tokens, own in zip(*(values(batch.column(i)) for i in (1, 2, 3)), given):
                 tree = TokenTree(enc, text, chars, tokens)
                 before, tree.encoded = tree.n_tokens, 0
                 todo = [(e["at"], e["removed"], e["inserted"] or "") for e in own or ()] if listed else edits(text) if edits else []

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, new_path, written
+from .common import mix, new_path, values, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
@@ -97,7 +97,7 @@ def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: st
 
         for batch in batches:
             arrow, rows = batch.column(2).type, []
-            for file, start, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, start, doc, text in zip(*map(values, batch.columns)):
                 if (file, start) != part:
                     if part is not None:
                         rows += cut(1)
@@ -136,7 +136,7 @@ def _moved(placed: DataFrame, length: int, id_width: int, n: int, per_shard: int
         for batch in batches:
             by: dict[int, tuple[list, ...]] = {}
             arrow = batch.column(3).type
-            for before, at, size, docs, doc_at, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for before, at, size, docs, doc_at, ids in zip(*map(values, batch.columns)):
                 pos = before + at
                 cuts = [0, *range(length - pos % length, size, length), size]
                 index = np.arange(pos // length, pos // length + len(cuts) - 1)
@@ -191,7 +191,7 @@ def write_shards(
         arrow = None
         for batch in batches:
             arrow = batch.column(5).type.value_type
-            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, *row in zip(*map(values, batch.columns)):
                 if shard not in open_:
                     open_[shard] = _Shard(shard, min(per_shard, n - shard * per_shard), length, f"<u{id_width}", end_id)
                 open_[shard].put(shard * per_shard, *row)

@@ -6,7 +6,7 @@ neighbours costs only rows, which skew-join handling can split."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -25,6 +25,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return inner.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written_with_state(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """``e`` written, and how many edges it has with the sum of their hashes, taken as they are written."""
+    seen = Observation()
+    e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "edges")
+    return e, (seen.get["n"], seen.get["hashes"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest
     node that can be reached.
@@ -33,14 +40,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     direction are fine; edges with a null end are left out. No edges: no rows.
     Each round is written to the shared folder, so lineage stays short."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = written(e, "edges"), None
+    e, state = _written_with_state(e)
+    before = None
     for _ in range(max_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             return (
                 e.select(F.col("u").alias("node"), F.col("v").alias("component"))
                 .unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
             )
         before = state
-        e = written(_small_star(_large_star(e)), "edges")
+        e, state = _written_with_state(_small_star(_large_star(e)))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, mix, written
+from .common import id_and_text, mix, values, written
 from .components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -26,26 +26,31 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: Fingerprints in one chunk, about; a block of rows that is compared with a chunk at once.
 CHUNK, ROWS = 8192, 256
+#: Nodes in one chunk where their sets go with them.
+SET_CHUNK = 512
+#: Shingles of a text that are held as such at a time.
+BLOCK = 1 << 16
 #: Up to this radius, tiles are made of the population counts of four parts.
 PARTS_UP_TO = 4
 
 
-def shingles(text: str, words: int) -> list[bytes]:
-    """The ``words``-word shingles of ``text`` with A-Z lower-cased, space-joined,
-    in order with repeats; of fewer words the whole sequence; of none nothing."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the ``words``-word shingles of ``text`` with A-Z lower-cased, space-joined, in order with
+    repeats; of fewer words of the whole sequence; of none nothing. A long text's shingles are made a block at a time."""
+    digest = xxhash.xxh64_digest
     found = text.encode("utf-8", "replace").translate(LOWER).split()
-    if len(found) <= words:
-        return [b" ".join(found)] if found else []
     joined = b" ".join(found)
+    if len(found) <= words:
+        return np.frombuffer(digest(joined, 42) if found else b"", dtype=">u8")
     size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    del found
     end = np.cumsum(size + 1) - 1
-    start = (end - size).tolist()
-    return [joined[a:b] for a, b in zip(start, end[words - 1 :].tolist())]
-
-
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(s, 42) for s in shingles(text, words)]), dtype=">u8")
+    start, end = (end - size)[: len(size) - words + 1], end[words - 1 :]
+    out = np.empty(len(start), dtype=">u8")
+    for at in range(0, len(out), BLOCK):
+        part = [digest(joined[a:b], 42) for a, b in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())]
+        out[at : at + BLOCK] = np.frombuffer(b"".join(part), dtype=">u8")
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -53,9 +58,12 @@ def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
-    at = hashes.astype(">u8").view(np.uint8).reshape(n, 8) + np.arange(0, 2048, 256)
-    counts = np.bincount(at.ravel(), minlength=2048).reshape(8, 256).astype(np.float64) @ _BITS
-    return int.from_bytes(np.packbits(2 * counts.ravel() > n).tobytes(), "big")
+    counts = np.zeros(2048, dtype=np.int64)
+    for at in range(0, n, BLOCK):
+        own = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        counts += np.bincount(own.ravel(), minlength=2048)
+    bits = counts.reshape(8, 256).astype(np.float64) @ _BITS
+    return int.from_bytes(np.packbits(2 * bits.ravel() > n).tobytes(), "big")
 
 
 def _signed(x: int) -> int:
@@ -77,7 +85,7 @@ def fingerprints(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 h = shingle_hashes(text, words).astype(np.uint64)
                 distinct = h if repeats and lanes == 1 else np.unique(h)
                 use = h if repeats else distinct
@@ -175,14 +183,15 @@ def forest_links(
     components are those of all links and the rows stay in proportion to the nodes.
 
     first: bound for the first lane alone. ratio: only nodes are compared whose sizes can be within it.
-    If ``classes`` has a column part, all links between nodes of different parts are given, not a forest."""
+    If ``classes`` has columns part and set (packed shingle hashes), links are between nodes of different parts whose sets are
+    within ``ratio``: each candidate is checked where it is found, and links that join parts anew in a task are given."""
     lanes = sorted(c for c in classes.columns if c.startswith("f") and c[1:].isdigit())
     tiled, steps = _tiles(classes, radius, ratio)
     # One row per tile: at most 23^4 of them by construction, whatever the input.
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("cuts"))
     cut = tiled.join(F.broadcast(sizes), "tile").withColumn("cut", F.pmod(F.xxhash64(*lanes, "node"), F.col("cuts")))
     apart = "part" in classes.columns
-    cols = ["node", *lanes, *(["part"] if apart else [])]
+    cols = ["node", *lanes, *(["part", "set"] if apart else [])]
     chunks = cut.groupBy("tile", "cut").agg(F.collect_list(F.struct(*cols)).alias("rows"))
     chunks = written(chunks.select("tile", "cut", *(F.col(f"rows.{c}").alias(c) for c in cols)), "chunks")
     pairs = _chunk_pairs(chunks.select("tile", "cut"), steps)
@@ -205,10 +214,14 @@ def forest_links(
             for r in range(batch.num_rows):
                 cut = [[x[o[r] : o[r + 1]] for x, o in v] for v in side]
                 (na, a), (nb, b) = ((v[0], np.stack(v[1 : 1 + len(lanes)], 1).view(np.uint64)) for v in cut)
-                if apart:  # block by block, as these are not bounded by the number of nodes
+                if apart:  # block by block, as candidates are not bounded by the number of nodes
+                    (pa_, sa), (pb, sb) = (v[-2:] for v in cut)
                     for i, j, d in close_pairs(a, b, radius, first, same[r]):
-                        far = cut[0][-1][i] != cut[1][-1][j]
-                        yield links(na[i[far]], nb[j[far]], d[far])
+                        for x, y, z in zip(i.tolist(), j.tolist(), d.tolist()):
+                            p, q = int(pa_[x]), int(pb[y])
+                            if known.root(p) != known.root(q) and _alike(*(np.frombuffer(s, np.uint64) for s in (sa[x], sb[y])), ratio):
+                                known.join(p, q)
+                                out.append((int(na[x]), int(nb[y]), z))
                     continue
                 found = list(close_pairs(a, b, radius, first, same[r]))
                 if not found:
@@ -246,28 +259,50 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     return prints.select("doc_id", "f0", "n_shingles").join(named, "f0")
 
 
-def _jaccard(a: str, b: str, words: int) -> float:
-    x, y = set(shingles(a, words)), set(shingles(b, words))
-    return len(x & y) / len(x | y) if x or y else 1.0
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words).astype(np.uint64))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of ``similarity`` or more; two empty ones have 1."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, small: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``; these are sent to every task only if they were counted and are few."""
+    few = ids.count() <= small
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _with_sets(nodes: DataFrame, docs: DataFrame, words: int, small: int) -> DataFrame:
+    """``nodes`` with set: the packed shingle hashes of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingle_set(t, words).tobytes() for t in values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    schema = T.StructType([T.StructField("node", nodes.schema["node"].dataType), T.StructField("set", T.BinaryType())])
+    texts = _texts_of(docs, nodes.select(F.col("node").alias("doc_id")), small)
+    return nodes.join(texts.mapInArrow(run, schema), "node")
 
 
 def _checked(links: DataFrame, docs: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
-    """The rows of ``links`` (u, v) whose texts' shingle sets are similar enough."""
+    """``links`` (u, v) with good: whether their texts' shingle sets are similar enough."""
     ends = links.select(F.col("u").alias("doc_id")).unionAll(links.select("v")).distinct()
-    if (n := ends.count()) == 0:
-        texts = docs.limit(0)
-    else:  # ids of texts with a link: broadcast only if they were counted and are few
-        texts = docs.join(F.broadcast(ends) if n <= small else ends, "doc_id", "left_semi")
-    texts = written(texts, "linked")
+    texts = written(_texts_of(docs, ends, small), "linked")
     a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
     both = links.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_jaccard(x, y, words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            good = [_alike(_shingle_set(x, words), _shingle_set(y, words), similarity) for x, y in zip(values(batch.column(2)), values(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["u", "v", "good"])
 
-    return both.mapInArrow(check, links.schema)
+    return written(both.mapInArrow(check, T.StructType([*links.schema.fields, T.StructField("good", T.BooleanType())])), "checked")
 
 
 def near_duplicates(
@@ -293,17 +328,20 @@ def near_duplicates(
     reach = lambda bits: math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
     compare = lambda of, **how: forest_links(of, reach(64 * lanes), reach(64), similarity, **how).select("u", "v").distinct()
     links = written(compare(nodes, each_pair=True), "links")
-    passed = written(_checked(links, docs, words, similarity, small), "checked")
-    parts = connected_components(passed)
-    if links.count() > passed.count():
-        # Candidates that closed a circle were left out, and a link they were left out for may have failed.
-        around = connected_components(links).join(parts.withColumnRenamed("component", "part"), "node", "left")
-        around = written(around.select("node", "component", F.coalesce("part", "node").alias("part")), "around")
-        split = around.groupBy("component").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
-        unsettled = nodes.join(around.join(split, "component", "left_semi").select("node", "part"), "node")
-        rest = written(compare(unsettled).join(links, ["u", "v"], "left_anti"), "links")
-        more = _checked(rest, docs, words, similarity, small)
-        parts = connected_components(passed.unionAll(more))
+    checked = _checked(links, docs, words, similarity, small)
+    parts = connected_components(checked.where("good").select("u", "v"))
+    # Candidates that closed a circle were left out, and a link they were left out for may have failed: what a failed link
+    # leaves apart is compared again, part against part, with every candidate checked.
+    part = lambda of, end, name: of.join(parts.select(F.col("node").alias(end), F.col("component").alias("_c")), end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")
+    failed = part(part(checked.where("not good").select("u", "v"), "u", "a"), "v", "b").where("a <> b")
+    apart = written(failed.select(F.explode(F.array("a", "b")).alias("part")).distinct(), "apart")
+    final = parts.select("node", F.col("component").alias("part"))
+    if not apart.isEmpty():
+        unsettled = written(part(nodes, "node", "part").join(apart, "part", "left_semi"), "unsettled")
+        more = part(part(written(compare(_with_sets(unsettled, docs, words, small), chunk=SET_CHUNK), "links"), "u", "a"), "v", "b")
+        merged = connected_components(more.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        every = part(nodes.select("node"), "node", "part")
+        final = every.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("part"))
     same = prints.join(nodes.withColumnRenamed("node", "least"), [*f, "n_shingles", "set_hash"]).select("doc_id", "least").distinct()
-    grouped = same.join(parts, same.least == parts.node, "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
+    grouped = same.join(final, same.least == final.node, "left").select("doc_id", F.coalesce("part", "least").alias("component_id"))
     return grouped.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -10,7 +10,7 @@ import re
 from array import array
 
 #: Words in each of the two generations that a worker remembers (some 200 bytes each).
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Marks that, alone or together, form one pre-token after a word.
 _MARKS = ".,;:!?%$&#*|"
 _CUT = re.compile(r"(?= \S)")
@@ -28,51 +28,24 @@ class _OddSpacing(Exception):
     """A space is followed by white space: words alone don't show where pre-tokens end."""
 
 
-class _Words(dict):
-    """Word (without the space that leads it) to the ids of space and word.
+class _Remembered(dict):
+    """What ``make`` gives for a text, kept for texts of 40 characters at most.
 
-    Two generations: when the young one is full it becomes the old one, and words that are
-    met again move on, so memory is bounded and frequent words stay."""
+    Two generations: when the young one is full it becomes the old one, and texts that are
+    met again move on, so memory is bounded and frequent texts stay."""
 
-    def __init__(self, encoder: Encoder, room: int):
-        self.encoder, self.room, self.old = encoder, room, {}
+    def __init__(self, make, room: int):
+        self.make, self.room, self.old = make, room, {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+    def __missing__(self, text: str):
+        found = self.old.get(text)
         if found is None:
-            if not word or word[0].isspace():
-                raise _OddSpacing
-            if word.isalpha():
-                found = self.encoder.pre_token(" " + word)
-            else:
-                stem = word.rstrip(_MARKS)
-                if stem.isalpha():
-                    found = self[stem] + self.encoder.tail(word[len(stem) :])
-                else:
-                    found = self.encoder.chunk(" " + word)
-        if len(word) <= 40:
+            found = self.make(text)
+        if len(text) <= 40:
             if len(self) >= self.room:
                 self.old = dict(self)
                 self.clear()
-            self[word] = found
-        return found
-
-
-class _Counts(dict):
-    """Pre-token to its number of tokens, remembered like words."""
-
-    def __init__(self, encoder: Encoder, room: int):
-        self.encoder, self.room, self.old = encoder, room, {}
-
-    def __missing__(self, piece: str) -> int:
-        found = self.old.get(piece)
-        if found is None:
-            found = len(self.encoder.pre_token(piece)) // 4
-        if len(piece) <= 40:
-            if len(self) >= self.room:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = found
+            self[text] = found
         return found
 
 
@@ -97,10 +70,12 @@ class Encoder:
         self.reach = max(map(len, self._added), default=0)
         self._split = regex.compile(public_tokenizers.PATTERN)
         self._letters = _byte_letters()
-        self._words = _Words(self, remembered)
-        self._tails: dict[str, bytes] = {}
+        self._space = chr(self._letters[ord(" ")])
+        #: Ids of a space and the word after it, and of pre-tokens as they stand.
+        self._words = _Remembered(self._word, remembered)
+        self._pieces = _Remembered(self.pre_token, max(1, remembered // 4))
         #: Tokens of each pre-token: ``counts[piece]``.
-        self.counts = _Counts(self, remembered)
+        self.counts = _Remembered(lambda piece: len(self.pre_token(piece)) // 4, remembered)
 
     def _parts(self, text: str) -> list[str]:
         """``text`` cut around its added tokens: these are at odd places."""
@@ -115,23 +90,27 @@ class Encoder:
     def pre_token(self, piece: str) -> bytes:
         if piece in self._added:
             return self._added[piece]
-        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self._letters)
+        return self._of(piece.encode("utf-8", "replace").decode("latin-1").translate(self._letters))
+
+    def _of(self, letters: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
 
-    def tail(self, marks: str) -> bytes:
-        found = self._tails.get(marks)
-        if found is None:
-            found = self.pre_token(marks)
-            if len(self._tails) < 10_000:
-                self._tails[marks] = found
-        return found
+    def _word(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _OddSpacing
+        if word.isalpha():
+            return self._of(self._space + word) if word.isascii() else self.pre_token(" " + word)
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():
+            return self._words[stem] + self._pieces[word[len(stem) :]]
+        return self.chunk(" " + word)
 
     def chunk(self, chunk: str) -> bytes:
         return b"".join([self._known(p) for p in self._split.findall(chunk)])
 
     def _known(self, piece: str) -> bytes:
         word = piece[1:]
-        return self._words[word] if piece[0] == " " and word.isalpha() else self.tail(piece) if len(piece) <= 4 else self.pre_token(piece)
+        return self._words[word] if piece[0] == " " and word.isalpha() else self._pieces[piece]
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as unsigned 32-bit numbers, little-endian."""

@@ -25,8 +25,10 @@ def _only(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number _row of its own for each row, written so that it stays."""
-    return written(_only(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number _row of its own for each row, written so that it stays; well packed, as it is a copy of the texts."""
+    numbered, path = _only(docs).withColumn("_row", F.monotonically_increasing_id()), new_path(docs.sparkSession, "numbered")
+    numbered.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:

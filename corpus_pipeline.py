@@ -5,7 +5,8 @@ empty texts are documents like others; a stage works row by row, so rows that sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import new_path, written
@@ -24,8 +25,25 @@ def _only(docs: DataFrame) -> DataFrame:
     return docs.select(*(c for c in COLUMNS if c in docs.columns))
 
 
+def _by_place(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with _row, made of the file (by its place among the sorted paths) and the row's place in it, if each row of
+    ``docs`` is one of a file's: nothing is copied, and a task that is run again finds the same numbers."""
+    try:
+        placed = docs.select(*(c for c in COLUMNS if c in docs.columns), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:  # not read from files
+        return None
+    # One row per file, whose names the driver has listed anyway.
+    files = placed.select("_file").distinct().select("_file", (F.row_number().over(Window.orderBy("_file")) * F.lit(1 << 40)).alias("_base"))
+    numbered = placed.join(F.broadcast(written(files, "files")), "_file").withColumn("_row", F.col("_base") + F.col("_at")).drop("_file", "_base", "_at")
+    repeated = numbered.groupBy("_row").count().where("count > 1")  # rows that were multiplied after reading
+    return numbered if repeated.isEmpty() else None
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number _row of its own for each row, written so that it stays; well packed, as it is a copy of the texts."""
+    """``docs`` with a number _row of its own for each row, that stays: by place in the files they are read from, else written."""
+    placed = _by_place(docs)
+    if placed is not None:
+        return placed
     numbered, path = _only(docs).withColumn("_row", F.monotonically_increasing_id()), new_path(docs.sparkSession, "numbered")
     numbered.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(numbered.schema).parquet(path)

@@ -138,6 +138,23 @@ def test_rows_that_share_an_id_keep_their_own_texts(spark, sf_dir):
         cp.SEND_UP_TO = held
 
 
+def test_rows_are_numbered_by_place_or_written(spark, tmp_path):
+    rows = [(i, f"text {i % 7}", "en", "s", 6) for i in range(500)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    made.repartition(5).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    again = spark.read.option("maxSplitBytes", "1").parquet(str(tmp_path / "docs"))
+    keys = [sorted((r._row, r.doc_id) for r in cp._by_place(d).collect()) for d in (read, again.where("doc_id >= 0"))]
+    assert keys[0] == keys[1] and len({k for k, _ in keys[0]}) == 500
+    # Rows that don't come from files, or were multiplied after reading, are written with numbers.
+    twice = read.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    for docs, n in ((made, 500), (read.unionAll(read), 1000), (twice, 1000), (twice.withColumn("_metadata", F.lit(1)), 1000)):
+        assert cp._by_place(docs) is None
+        assert cp._numbered(docs).select("_row").distinct().count() == n
+    assert cp._numbered(read.limit(0)).count() == 0
+    assert cp.exact_dedup(spark, twice, "").count() == 7 == cp.exact_dedup(spark, read, "").count()
+
+
 def test_families_of_near_copies_equal_brute_force(spark):
     """150 families of eight copies each, with none to a sixtieth of the words replaced."""
     import random

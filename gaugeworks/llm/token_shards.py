@@ -136,12 +136,14 @@ def _moved(placed: DataFrame, length: int, id_width: int, n: int, per_shard: int
         for batch in batches:
             by: dict[int, tuple[list, ...]] = {}
             arrow = batch.column(3).type
-            for before, at, size, docs, doc_at, ids in zip(*map(values, batch.columns)):
+            rows = list(zip(*map(values, batch.columns)))
+            cuts = [[0, *range(length - (before + at) % length, size, length), size] for before, at, size, *_ in rows]
+            indices = [range((row[0] + row[1]) // length, (row[0] + row[1]) // length + len(c) - 1) for row, c in zip(rows, cuts)]
+            slots = iter(permute(np.array([i for own in indices for i in own], dtype=np.int64), n, key).tolist())  # of the whole batch at once
+            for (before, at, size, docs, doc_at, ids), cut, index in zip(rows, cuts, indices):
                 pos = before + at
-                cuts = [0, *range(length - pos % length, size, length), size]
-                index = np.arange(pos // length, pos // length + len(cuts) - 1)
-                slots = permute(index, n, key)
-                for i, slot, a, b in zip(index.tolist(), slots.tolist(), cuts, cuts[1:]):
+                for i, a, b in zip(index, cut, cut[1:]):
+                    slot = next(slots)
                     within, k = (pos + a) % length, bisect_right(doc_at, at + a) - 1
                     own = by.setdefault(slot // per_shard, ([], [], [], [], [], [], []))
                     first = (docs[k], at + a - doc_at[k]) if within == 0 else (None, None)

@@ -61,6 +61,7 @@ class Encoder:
 
         whole = Tokenizer.from_file(path)
         self._model = whole.model
+        self._model._resize_cache(0)  # words are remembered here, and those it is asked for are new to its own cache too
         tokens = whole.get_added_tokens_decoder() if added else {}
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
             raise ValueError("added tokens that take their surroundings are not supported")
@@ -96,10 +97,10 @@ class Encoder:
         return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise _OddSpacing
         if word.isalpha():
             return self._of(self._space + word) if word.isascii() else self.pre_token(" " + word)
+        if not word or word[0].isspace():
+            raise _OddSpacing
         stem = word.rstrip(_MARKS)
         if stem.isalpha():
             return self._words[stem] + self._pieces[word[len(stem) :]]

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from .decontamination import overlaps
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
+from .mixing import mix_sources
 from .packing import pack
 from .quality import THRESHOLD, fold, score_quality, train_quality
 from .secret_scan import digest, scan_secrets
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .token_counts import cleaning_edits, count_tokens
 from .token_shards import write_shards
 from .url_filter import filter_urls
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +86,24 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(_table(spark, sf_dir, "documents"), added=True)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words and how many of them the mix takes. Null text: size 0; null source: a source of its own, the last."""
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fitting vector's whitened entries by component. Null and odd vectors: left out; a deviation beyond a long: null."""
+    found = whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's form and root with their counts. Null text: no words."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_simhash, op3_secrets, op4_token_counts, op5_pack, op6_url_filter, op7_quality, op8_exact_dedup, op9_licenses, op10_token_shards]
+    own = [op1_decontaminate, op2_simhash, op3_secrets, op4_token_counts, op5_pack, op6_url_filter, op7_quality, op8_exact_dedup, op9_licenses, op10_token_shards, op11_mixing, op12_whitening, op13_spelling]
     return {f.__name__: f for f in own}
 
 
@@ -154,6 +173,39 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
+_OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc, run, count(*) AS k FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents
+  ) GROUP BY 1, 2
+), bytes AS (
+  SELECT doc, run, k, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS b FROM runs
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, tab
+), vocabulary AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2
+), without AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM vocabulary)
+), near AS (
+  SELECT a.word, b.word AS near FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM without WHERE rest IN (SELECT word FROM vocabulary)
+  UNION SELECT rest, word FROM without WHERE rest IN (SELECT word FROM vocabulary)
+), best AS (
+  SELECT near.word, count(*) AS n_near, max(v.n) AS top, arg_min(near.near, struct_pack(a := -v.n, b := near.near)) AS best FROM near JOIN vocabulary v ON v.word = near.near GROUP BY 1
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN best END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM vocabulary LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS now, 0 AS k FROM forms
+  UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON f.word = s.now WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(now, k) AS root FROM steps GROUP BY 1) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose whole result it can express."""
-    return {"op6_url_filter": _op6_sql(), "op8_exact_dedup": _OP8, "op9_licenses": _op9_sql()}
+    return {"op6_url_filter": _op6_sql(), "op8_exact_dedup": _OP8, "op9_licenses": _op9_sql(), "op13_spelling": _OP13}

@@ -7,12 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import new_path, shared_dir, written
 
-__all__ = ["PASS_CHARS", "id_and_text", "mix", "new_path", "passes", "shared_dir", "slices", "sums_before", "values", "word_hashes", "written"]
+__all__ = ["PASS_CHARS", "id_and_text", "mix", "new_path", "passes", "shared_dir", "slices", "sums_before", "sums_in_order", "values", "word_hashes", "written"]
 
 #: Characters of text that one numpy pass holds at a time.
 PASS_CHARS = 1 << 20
@@ -30,6 +30,17 @@ def sums_before(counts: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFr
     return within.join(groups, ["_group", *by]).select(key, *by, (F.col("_base") + F.col("_inner")).alias("before"))
 
 
+def sums_in_order(df: DataFrame, by: list, n: str) -> DataFrame:
+    """``df`` with before: the sum of ``n`` over the rows that come earlier by ``by``. Sorted in parts, so no order spans all in one
+    task; written, so that the order stays."""
+    placed = written(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "in-order").withColumn("_part", F.shiftright("_at", 33))
+    upto = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each part of the sort.
+    parts = placed.groupBy("_part").agg(F.sum(n).alias(n)).select("_part", upto(Window.orderBy("_part")).alias("_base"))
+    within = placed.withColumn("_inner", upto(Window.partitionBy("_part").orderBy("_at")))
+    return within.join(parts, "_part").withColumn("before", F.col("_base") + F.col("_inner")).drop("_at", "_part", "_base", "_inner")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty ones; other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

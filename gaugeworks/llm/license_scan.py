@@ -47,7 +47,8 @@ def _tokenised(docs: DataFrame, templates: Sequence[Template], containment: floa
     held = F.array_distinct(F.array_compact(F.array(*(F.when(enough(t), F.lit(stride(t))) for t in templates))))
     worded = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", words.alias("words"))
     worded = worded.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), own.alias("own"), "words")
-    worded = worded.withColumn("strides", F.when(F.size("own") > 1, held).otherwise(F.array().cast("array<int>")))
+    least = min((needed(t, containment) for t in templates), default=0)
+    worded = worded.withColumn("strides", F.when(F.size("own") >= max(1, least), held).otherwise(F.array().cast("array<int>")))
     return written(worded.withColumn("words", F.when(F.size("strides") > 0, F.col("words"))), "license-words")
 
 

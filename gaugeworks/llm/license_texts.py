@@ -21,7 +21,8 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return re.findall("[a-z0-9]+", self.text.lower())
+        """As documents' words are taken: lower-cased within ASCII, and with all characters beyond it."""
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in self.text))
 
 
 #: The base phrases.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, written
+from .common import mix, sums_in_order, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), (3, 2), 2
@@ -78,22 +78,12 @@ def spend(lengths: list[int], counts: list[int], budget: int, seed: int, window:
     return [t + m for t, m in zip(taken, more)]
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """``sources`` with rank: its place by code point, null last, from 0. Sorted in parts, so no order spans all in one task."""
-    placed = written(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "sources")
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).count()  # a row for each part of the sort
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    first = placed.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"))
-    return placed.withColumn("_part", part).join(before, "_part").join(first, "_part").withColumn("rank", F.col("_base") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_base", "_first")
-
-
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) for ``sizes`` (source, source_size): shares of 150 % of all words by weight, at most twice
     the source's size, the excess shared anew until no target is above. Each round is one aggregation; a round either caps sources
     of half the open weight or at least halves what is still to share, so there are few."""
-    ranked = _ranked(sizes)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    ranked = sums_in_order(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], "one")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("before") % len(WEIGHTS) + 1).cast("int"))
     table = written(ranked.select("source", "source_size", weight.alias("weight")), "weights")
     whole = T.DecimalType(38, 0)
     level, capped = None, F.lit(False)

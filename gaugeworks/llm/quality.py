@@ -153,14 +153,15 @@ def fold(doc_id: Column) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model fitted on labelled rows outside fold 0: of each class the ``per_class`` of
     least hash of doc_id, or all if there are fewer. Labels other than 0 and 1 and null ids are left out;
-    of repeated labels the least counts."""
+    of repeated labels the least counts, of rows that share a doc_id the one of least hash of its text (ties: the least text)."""
     docs = id_and_text(docs, id_col, text_col)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # 2 x per_class ids at most.
     both = F.broadcast(drawn[0].unionAll(drawn[1]))
-    rows = docs.join(both, "doc_id").select("doc_id", "quality", "text")
+    rows = docs.join(both, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    rows = rows.select("doc_id", "quality", F.col("one.text").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("flags", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 CHUNK, ROWS = 8192, 256
 #: Nodes in one chunk where their sets go with them.
 SET_CHUNK = 512
+#: Bytes of such sets in one chunk, about.
+SET_BYTES = 64 << 20
 #: Shingles of a text that are held as such at a time.
 BLOCK = 1 << 16
 #: Up to this radius, tiles are made of the population counts of four parts.
@@ -188,7 +190,8 @@ def forest_links(
     lanes = sorted(c for c in classes.columns if c.startswith("f") and c[1:].isdigit())
     tiled, steps = _tiles(classes, radius, ratio)
     # One row per tile: at most 23^4 of them by construction, whatever the input.
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("cuts"))
+    by_bytes = F.ceil(F.sum(F.length("set")) / SET_BYTES) if "set" in tiled.columns else F.lit(1)
+    sizes = tiled.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / chunk), by_bytes).alias("cuts"))
     cut = tiled.join(F.broadcast(sizes), "tile").withColumn("cut", F.pmod(F.xxhash64(*lanes, "node"), F.col("cuts")))
     apart = "part" in classes.columns
     cols = ["node", *lanes, *(["part", "set"] if apart else [])]

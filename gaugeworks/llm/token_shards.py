@@ -19,11 +19,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, new_path, values, written
+from .common import mix, new_path, sums_in_order, values, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
@@ -31,6 +30,8 @@ SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
 PER_SHARD = 16 * 1024
 #: Ids in a stored stretch of the stream; level of compression of what is stored and moved on the way.
 STRETCH, LEVEL = 8 * 1024, 3
+#: Parts of the input whose places are sent to every task; beyond it both sides are shuffled.
+PARTS_UP_TO = 200_000
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -56,43 +57,46 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _origin(docs: DataFrame) -> list[Column]:
     """What names the part of the table that a row was read with, in table order: a file and the place of a block in it,
-    however files are split; where rows don't come straight from files, their partition."""
+    however files are split; nothing where rows don't come from files."""
     try:
         docs.select("_metadata.file_path", "_metadata.file_block_start")
     except AnalysisException:
-        return [F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("start")]
+        return [F.lit("").alias("file"), F.lit(0).cast("long").alias("start")]
     return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
 
 
 def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: str, text_col: str, added: bool, size: int = STRETCH) -> DataFrame:
-    """(file, start, at, n, docs, doc_at, ids): each part's ids in order, cut at every ``size`` ids. at: the ids of the part
+    """(file, start, task, turn, at, n, docs, doc_at, ids): each part's ids in order, cut at every ``size`` ids. A part is what one task
+    reads of a block without a break; task, turn: which task and its how manieth part. at: the ids of the part
     before. docs, doc_at: the documents that begin in the stretch or reach into it, and where in the part they begin."""
     src = docs.select(*_origin(docs), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([
-        T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("task", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("docs", T.ArrayType(kind)), T.StructField("doc_at", longs), T.StructField("ids", T.BinaryType()),
     ])
     end = end_id.to_bytes(id_width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         enc, part, at, held, marks = encoder(path, added), None, 0, bytearray(), []
-        arrow = None
+        arrow, task, turn = None, TaskContext.get().partitionId(), 0
 
         def cut(least: int) -> Iterator[tuple]:
             nonlocal at, marks
             while len(held) >= max(1, least) * id_width:
                 n = min(size, len(held) // id_width)
                 own = [m for m in marks if m[1] < at + n]
-                yield (*part, at, n, [m[0] for m in own], [m[1] for m in own], bytes(held[: n * id_width]))
+                yield (*part, task, turn, at, n, [m[0] for m in own], [m[1] for m in own], bytes(held[: n * id_width]))
                 del held[: n * id_width]
                 at += n
                 marks = own[-1:] + marks[len(own) :]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.binary()]
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            types = [pa.string(), *[pa.int64()] * 5, pa.list_(arrow), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], schema.names)
 
         for batch in batches:
@@ -101,7 +105,7 @@ def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: st
                 if (file, start) != part:
                     if part is not None:
                         rows += cut(1)
-                    part, at, marks = (file, start), 0, []
+                    part, at, marks, turn = (file, start), 0, [], turn + 1
                 marks.append((doc, at + len(held) // id_width))
                 held += _packed(enc.ids(text), id_width) + end
                 rows += cut(size)
@@ -113,12 +117,12 @@ def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: st
 
 
 def _before(stored: DataFrame) -> DataFrame:
-    """(file, start, before): the ids of the stream before each part. A row for each split of the input that was read."""
-    counts = written(stored.groupBy("file", "start").agg(F.sum("n").alias("n")), "parts")
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = counts.groupBy("file").agg(F.sum("n").alias("n")).select("file", earlier(W.orderBy("file")).alias("base"))
-    own = counts.select("file", "start", earlier(W.partitionBy("file").orderBy("start")).alias("inner"))
-    return own.join(files, "file").select("file", "start", (F.col("base") + F.col("inner")).alias("before"))
+    """(task, turn, before), written: the ids of the stream before each part. The stream follows files and blocks if each block was
+    read by one task without a break; else rows were moved after reading, and it follows tasks and their turns."""
+    parts = written(stored.groupBy("file", "start", "task", "turn").agg(F.sum("n").alias("n")), "parts")
+    moved = not parts.groupBy("file", "start").count().where("count > 1").isEmpty()
+    order = ["task", "turn"] if moved else ["file", "start"]
+    return written(sums_in_order(parts, order, "n").select("task", "turn", "before"), "parts-before")
 
 
 def _moved(placed: DataFrame, length: int, id_width: int, n: int, per_shard: int, key: int) -> DataFrame:
@@ -167,8 +171,8 @@ def write_shards(
     Writes `shard-<number>.bin` files of ``per_shard`` records of length x id_width bytes into ``out_dir`` (a new folder of the
     shared one if not given): slot = permute(sequence, N, key), shard = slot // per_shard, place = slot % per_shard. A task holds one
     shard. Files appear by a rename when whole, so a task that runs again leaves the same file. Every
-    sequence is full but the stream's last one, which is filled up with the end id. The stream follows the table's files
-    and their rows, so other splits or cores give the same shards; rows that don't come straight from files follow
+    sequence is full but the stream's last one, which is filled up with the end id; a sequence that isn't covered once is an error. The stream follows the table's files
+    and their rows, so other splits or cores give the same shards; rows that don't come straight from files (made, shuffled or sorted) follow
     their partitions. added: as of Encoder. Null text: empty, the end id alone; null ids and repeated rows are
     written like others; other columns don't matter; empty table: no rows, no shards."""
     spark = docs.sparkSession
@@ -177,13 +181,14 @@ def write_shards(
     made = stretches(docs, path or vocabulary(), end_id, id_width, id_col, text_col, added)
     made.write.option("compression", "zstd").parquet(store)
     stored = spark.read.schema(made.schema).parquet(store)
-    parts = written(_before(stored), "parts-before")
+    parts = _before(stored)
     total = stored.agg(F.sum("n")).first()[0] or 0
     n = -(-total // length)
     shards = max(1, -(-n // per_shard))
     _write_note(out_dir, {"length": length, "id_width": id_width, "key": key, "end_id": end_id, "per_shard": per_shard, "n": n})
-    # A row for each split of the input: as many as the scan has tasks.
-    moved = _moved(stored.join(F.broadcast(parts), ["file", "start"]), length, id_width, n, per_shard, key)
+    # A row for each split of the input.
+    placed = stored.join(F.broadcast(parts) if parts.count() <= PARTS_UP_TO else parts, ["task", "turn"])
+    moved = _moved(placed, length, id_width, n, per_shard, key)
     kind = moved.schema["first_docs"].dataType.elementType
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
     schema = T.StructType([*longs("slot", "shard", "place", "sequence"), T.StructField("first_doc", kind), *longs("first_start", "n_ids", "crc32")])
@@ -195,7 +200,7 @@ def write_shards(
             arrow = batch.column(5).type.value_type
             for shard, *row in zip(*map(values, batch.columns)):
                 if shard not in open_:
-                    open_[shard] = _Shard(shard, min(per_shard, n - shard * per_shard), length, f"<u{id_width}", end_id)
+                    open_[shard] = _Shard(shard, min(per_shard, n - shard * per_shard), length, f"<u{id_width}", end_id, total)
                 open_[shard].put(shard * per_shard, *row)
         for shard, own in sorted(open_.items()):
             own.save(out_dir)
@@ -218,8 +223,9 @@ def _packed(ids: bytes, width: int) -> bytes:
 class _Shard:
     """The records of a shard, put together from pieces."""
 
-    def __init__(self, number: int, n: int, length: int, kind: str, end_id: int):
-        self.number, self.width = number, np.dtype(kind).itemsize
+    def __init__(self, number: int, n: int, length: int, kind: str, end_id: int, total: int):
+        self.number, self.width, self.total = number, np.dtype(kind).itemsize, total
+        self.pieces: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         self.records = np.full((n, length), end_id, dtype=kind)
         self.index, self.first, self.n_ids = [0] * n, [(None, None)] * n, np.zeros(n, dtype=np.int64)
 
@@ -231,11 +237,25 @@ class _Shard:
             self.records[k, w : w + size] = flat[at : at + size]
             self.index[k] = i
             self.n_ids[k] += size
+            self.pieces[k].append((w, size))
             if start is not None:
                 self.first[k] = (doc, start)
             at += size
 
+    def check(self) -> None:
+        """Each record was covered once, without a gap: whole, but for the stream's last one."""
+        length = self.records.shape[1]
+        for index, pieces in zip(self.index, self.pieces):
+            upto = 0
+            for within, size in sorted(pieces):
+                if within != upto:
+                    raise RuntimeError(f"sequence {index} of shard {self.number} isn't covered once at {min(within, upto)}")
+                upto += size
+            if upto != min(length, self.total - index * length):
+                raise RuntimeError(f"sequence {index} of shard {self.number} has {upto} ids")
+
     def save(self, out_dir: str) -> None:
+        self.check()
         from pyarrow import fs
         from pyspark import TaskContext
 

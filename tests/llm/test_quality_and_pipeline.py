@@ -176,3 +176,15 @@ def test_families_of_near_copies_equal_brute_force(spark):
 
 def test_every_operator_has_a_query():
     assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_repeated_labelled_rows_are_fitted_once(spark, monkeypatch):
+    """A labelled id that stands in very many rows brings one of them, the same each time."""
+    rows = [(1, f"good text number {k}") for k in range(500)] + [(k, f"text {k}") for k in range(2, 60)] + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda found, y: seen.append([len(found), sorted(y), sorted(f.tobytes() for f in found)]))
+    for d in (docs, docs.repartition(5)):
+        q.train_quality(d, labels, per_class=10)
+    assert seen[0][0] <= 20 and seen[0] == seen[1]

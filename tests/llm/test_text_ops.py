@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -74,6 +75,36 @@ def test_named_literals_of_calls_blocks_and_markup(text, found):
     assert [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"] == found
 
 
+ROUND = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("<a>" + " " * ROUND + "<b></b>", 0), ("<a " + " " * ROUND + "<b x", 0), ("a = f(\n" * (ROUND // 7), 0), ("a = f(" * (ROUND // 6), 0), ('t = "x"\n' + 't = t + "Zx81-qqLm-77Ab"\n' * (ROUND // 25) + "auth_token = t\n", ROUND // 25),
+        ("<a " + 'name="a" ' * (ROUND // 9), 0), ("a = f('x', " * (ROUND // 11) + ")" * (ROUND // 11), 0), ('token_x = """a' * (ROUND // 14), 0), ("secret = g(" * 9000 + '"Zx81-qqLm-77Ab"' + ")" * 9000, 1), ("a: |\n" * (ROUND // 5), 0),
+        ("a = b = " * (ROUND // 8), 0), ('"' * ROUND, 0), ("a = " + "(" * ROUND, 0),
+    ],
+)
+def test_the_lexer_is_linear(text, n):
+    began = time.process_time()
+    found = [s for s in ss.secret_spans(text) if s[0] == "named"]
+    assert time.process_time() - began < 4 and len(found) == n
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ('API_KEY = """Zx81-qqLm-77Ab"""', ["Zx81-qqLm-77Ab"]), ("auth_token = '''\n  Zx81-qqLm-77Ab\n'''", ["Zx81-qqLm-77Ab"]), ('passphrase = """two words of text"""', []),
+        ("it's auth_token = f('Zx81-qqLm-77Ab')", ["Zx81-qqLm-77Ab"]), ('auth_token = f(g("Zx81-qqLm-77Ab"), h(")"), "qT9-x0Zp-11Vw") + "Lk93jd02mXq1"', ["Zx81-qqLm-77Ab", "qT9-x0Zp-11Vw", "Lk93jd02mXq1"]),
+        ('k = f("Zx81-qqLm-77Ab")\nsession_key = k + "tail"\nauth_token = session_key\n', ["Zx81-qqLm-77Ab"]), ('<add key="ApiToken" x="1" value="Lk93jd02mXq1" value="qT9-x0Zp-11Vw"/>', ["Lk93jd02mXq1"]),
+        ("<password>\n Lk93jd02mXq1 \u00a0</password >", ["Lk93jd02mXq1"]), ('a = "Zx81-qqLm-77Ab"\nb = a\na = "other"\nauth_token = b', ["Zx81-qqLm-77Ab"]),
+    ],
+)
+def test_named_literals_of_shared_sums(text, found):
+    assert [text[a:b] for k, a, b, _, _ in ss.secret_spans(text) if k == "named"] == found
+
+
 def test_named_literals_equal_those_that_were_written():
     """Random sources from a grammar, with what each assignment binds kept beside."""
     rng = random.Random(31)
@@ -334,3 +365,10 @@ def test_word_hashes_tell_words_apart():
         for w, x in zip(own, h.tolist()):
             assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
+
+
+def test_templates_of_one_word_are_met(spark):
+    templates = [ls.Template("cc0", "cc0", True), ls.Template("é", "É-é")]
+    rows = [(1, "this is cc0 text"), (2, "É é"), (3, "e"), (4, None)]
+    got = {r.doc_id: (r.n_base, r.first_word, r.labels) for r in ls.scan_licenses(spark.createDataFrame(rows, DOCS), templates=templates).collect()}
+    assert got == {1: (1, 2, ["cc0"]), 2: (0, None, ["é"]), 3: (0, None, []), 4: (0, None, [])}

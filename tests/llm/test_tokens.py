@@ -242,3 +242,31 @@ def test_shards_again_are_the_same_and_empty_tables_have_none(spark, tmp_path):
     assert ts.write_shards(docs, str(tmp_path / "a"), length=16, per_shard=7).count() == len(a)
     assert ts.write_shards(docs.limit(0), str(tmp_path / "c")).count() == 0
     assert list(ts.read_slots(str(tmp_path / "c"))) == []
+
+
+def test_shards_of_rows_that_were_moved_after_reading(spark, tmp_path):
+    """Shuffled, sorted, joined, or with two files by turns in one task: each sequence is full, and all ids are there."""
+    rows = [(k, "moved text " * (k % 40)) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    size = sum(r.n_ids for r in ts.write_shards(read, str(tmp_path / "straight"), length=64, per_shard=20).collect())
+    ways = {"shuffled": read.repartition(3, "doc_id"), "sorted": read.orderBy("doc_id"), "joined": read.join(spark.range(400).withColumnRenamed("id", "doc_id").hint("shuffle_merge"), "doc_id"), "turns": read.repartition(1, "text").sortWithinPartitions("doc_id")}
+    ids = {}
+    for name, docs in ways.items():
+        index = ts.write_shards(docs, str(tmp_path / name), length=64, per_shard=20).collect()
+        assert sum(r.n_ids for r in index) == size and sum(r.n_ids < 64 for r in index) <= 1
+        assert sorted(r.slot for r in index) == list(range(len(index))) == sorted(r.sequence for r in index)
+        ids[name] = np.sort(np.concatenate([x for _, x in ts.read_slots(str(tmp_path / name))]))
+    straight = np.sort(np.concatenate([x for _, x in ts.read_slots(str(tmp_path / "straight"))]))
+    assert all((x == straight).all() for x in ids.values())
+
+
+def test_a_record_that_is_not_covered_once_is_an_error():
+    for pieces, fails in (([(0, 3), (3, 1)], False), ([(0, 3), (2, 2)], True), ([(0, 3)], True), ([(0, 4), (0, 4)], True)):
+        shard = ts._Shard(0, 1, 4, "<u2", 0, 4)
+        shard.pieces = [pieces]
+        if fails:
+            with pytest.raises(RuntimeError):
+                shard.check()
+        else:
+            shard.check()

@@ -175,7 +175,7 @@ def test_families_of_near_copies_equal_brute_force(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_repeated_labelled_rows_are_fitted_once(spark, monkeypatch):

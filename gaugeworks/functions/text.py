@@ -58,11 +58,15 @@ def is_blank(text: Column) -> Column:
     return normalise(text) == ""
 
 
+def word_set(x: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
 def token_overlap(gone: Column, kept: Column) -> Column:
     """Share of the distinct words of ``gone`` that stand in ``kept``; 1 if it has none."""
-    words = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
-    mine = words(gone)
-    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.array_intersect(mine, words(kept))) / F.size(mine))
+    mine = word_set(gone)
+    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.array_intersect(mine, word_set(kept))) / F.size(mine))
 
 
 def json_object(text: Column) -> Column:

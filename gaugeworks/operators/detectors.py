@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import any_prefix, indent, stripped, token_overlap
+from ..functions.text import any_prefix, indent, stripped, word_set
 from ..shared import written
 from . import diffs
 
@@ -74,9 +76,10 @@ class Parsed:
     lines: DataFrame
 
 
-def prepare(df: DataFrame, key: str, diff: str, reference: DataFrame | None = None, task: str | None = None) -> Parsed:
+def prepare(df: DataFrame, key: str, diff: str, reference: DataFrame | None = None, task: str | None = None, referenced: DataFrame | None = None) -> Parsed:
     """Parse ``diff`` per ``key``. reference: (task, path, kind, norm), the signatures of the tasks' reference
-    patches; rows of ``df`` find theirs by ``task``. has_reference tells a task without one from a file that its patch leaves alone."""
+    patches; rows of ``df`` find theirs by ``task``. has_reference tells a task without one from a file that its patch leaves alone.
+    referenced: (task) of the tasks that have a patch, empty ones too; if not given, those of ``reference``."""
     # Parsed once and written: eleven detectors read it.
     parsed = written(diffs.parse(df, key, diff), "parsed-diffs")
     files = diffs.files(parsed)
@@ -86,7 +89,7 @@ def prepare(df: DataFrame, key: str, diff: str, reference: DataFrame | None = No
         lines = lines.withColumn("sanctioned", F.lit(False))
     else:
         tasks = df.select(F.col(key).alias("key"), F.col(task).alias("task"))
-        known = reference.select("task").distinct().withColumn("has_reference", F.lit(True))
+        known = (reference if referenced is None else referenced).select("task").distinct().withColumn("has_reference", F.lit(True))
         paths = reference.select("task", "path").distinct().withColumn("in_reference", F.lit(True))
         files = files.join(tasks, "key").join(known, "task", "left").join(paths, ["task", "path"], "left").na.fill(False, ["has_reference", "in_reference"])
     columns = ["key", "file_ix", "path", "old_path", "is_new", "is_deleted", "is_binary", "is_rename", "is_test", "was_test", "was_collected", "has_reference", "in_reference", "task"]
@@ -260,15 +263,21 @@ def aliases(texts: list[str], dependency: str) -> set[str]:
     return known
 
 
-def _file_aliases(lines: DataFrame, dependency: str) -> DataFrame:
-    """(key, file_ix, alias): one file's lines at a time."""
-    schema = f"key {lines.schema['key'].dataType.simpleString()}, file_ix int, alias string"
+def _file_aliases(lines: DataFrame, sets: DataFrame, dependency: str) -> DataFrame:
+    """(key, file_ix, alias) of the files that set something (``sets``) and name the package; no other file can know it by another
+    name than its own. A file's lines come from one diff, which is one text, so they are gathered again and walked where they lie."""
+    root = dependency.replace("-", "_").lower()
+    own = lines.select("key", "file_ix").where(F.contains(F.lower("text"), F.lit(root))).distinct().join(sets.select("key", "file_ix").distinct(), ["key", "file_ix"], "left_semi")
+    whole = lines.join(own, ["key", "file_ix"], "left_semi").groupBy("key", "file_ix").agg(F.array_sort(F.collect_list(F.struct("ix", "text"))).alias("ls"))
+    whole = whole.select("key", "file_ix", F.col("ls.text").alias("texts"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(aliases(pdf.sort_values("ix")["text"].tolist(), dependency))
-        return pd.DataFrame({"key": [key[0]] * len(found), "file_ix": [key[1]] * len(found), "alias": found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(aliases(texts, dependency)) for texts in batch.column(2).to_pylist()]
+            at = pa.array([k for k, names in enumerate(found) for _ in names], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([n for names in found for n in names], pa.string())], ["key", "file_ix", "alias"])
 
-    return lines.groupBy("key", "file_ix").applyInPandas(run, schema)
+    return whole.mapInArrow(run, T.StructType([whole.schema["key"], whole.schema["file_ix"], T.StructField("alias", T.StringType())]))
 
 
 def runtime_patching(p: Parsed, dependency: str = "") -> DataFrame:
@@ -281,8 +290,9 @@ def runtime_patching(p: Parsed, dependency: str = "") -> DataFrame:
     private = patch.isNotNull() | F.when(attr.isNotNull(), last.startswith("_")).otherwise(setter.isNotNull())
     sets = added.where(~(t.rlike(SYS_MODULES) & ~F.col("in_test"))).withColumns({"alias": F.coalesce(patch, attr, setter), "private": private}).where("alias is not null")
     if dependency:
-        known = _file_aliases(p.lines.select("key", "file_ix", "ix", "text"), dependency).withColumn("known", F.lit(True))
-        sets = sets.join(known, ["key", "file_ix", "alias"], "left").na.fill(False, ["known"])
+        known = _file_aliases(p.lines.select("key", "file_ix", "ix", "text"), sets, dependency).withColumn("listed", F.lit(True))
+        own_name = F.col("alias") == dependency.replace("-", "_").lower()
+        sets = sets.join(known, ["key", "file_ix", "alias"], "left").withColumn("known", own_name | F.coalesce("listed", F.lit(False))).drop("listed")
     else:
         sets = sets.withColumn("known", F.lit(False))
     kind = F.when(F.col("known"), "library_patched").when(t.rlike(PRIVATE_SET) & ~F.col("in_test"), "private_attribute_assigned")
@@ -290,14 +300,34 @@ def runtime_patching(p: Parsed, dependency: str = "") -> DataFrame:
     return replaced.unionByName(_finding(sets, "runtime_patching", F.col("found"), F.when(F.col("known") & F.col("private"), CHEAT).otherwise(WARNING), F.col("new_no"), _stripped(60)))
 
 
+def reworded(gone: DataFrame, come: DataFrame, least: float = KEEP_SHARE) -> DataFrame:
+    """(key, file_ix, ix) of the lines of ``gone`` that an added line of their hunk holds a share ``least`` of the distinct words of.
+
+    Such an added line has one of the line's n - least * n + 1 words that fewest added lines of the hunk have, so only lines that
+    share one of these meet; what meets is then counted whole. Lines of the same words count once."""
+    hunk = ["key", "file_ix", "hunk_ix"]
+    ws = F.array_sort(word_set(F.col("text")))
+    mine = gone.select(*hunk, "ix", ws.alias("ws")).where("size(ws) > 0")
+    sets = mine.select(*hunk, "ws").distinct()
+    others = come.select(*hunk, ws.alias("own")).where("size(own) > 0").distinct()
+    same = sets.join(others.withColumnRenamed("own", "ws"), [*hunk, "ws"], "left_semi")
+    open_ = sets.join(others.withColumnRenamed("own", "ws"), [*hunk, "ws"], "left_anti")
+    each = others.select("*", F.explode("own").alias("w"))
+    counts = each.groupBy(*hunk, "w").agg(F.count("*").alias("c"))
+    ranked = open_.select(*hunk, "ws", F.explode("ws").alias("w")).join(counts, [*hunk, "w"], "left").groupBy(*hunk, "ws").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("r"))
+    n = F.size("ws")
+    prefix = F.slice("r", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    rare = ranked.select(*hunk, "ws", F.explode(F.filter(prefix, lambda x: x["c"] > 0)).alias("x")).select(*hunk, "ws", F.col("x.w").alias("w"))
+    met = rare.join(each, [*hunk, "w"]).where(F.size(F.array_intersect("ws", "own")) >= n * least - 1e-9).select(*hunk, "ws").distinct()
+    return mine.join(same.unionByName(met), [*hunk, "ws"], "left_semi").select("key", "file_ix", "ix")
+
+
 def test_changes(p: Parsed) -> DataFrame:
     """One finding per changed test file, judged by what its reference patch does there."""
     scope = "(is_test or was_test or was_collected) and not is_deleted"
     own = p.lines.where(scope).where("kind <> ' '")
-    code = own.where("kind = '-'").where(is_code(F.col("text")) & ~F.col("sanctioned"))
-    added = own.where("kind = '+'").select("key", "file_ix", "hunk_ix", F.col("text").alias("other"))
-    # Reworded: an added line of the same hunk holds enough of the removed line's words.
-    near = code.join(added, ["key", "file_ix", "hunk_ix"]).where(token_overlap(F.col("text"), F.col("other")) >= KEEP_SHARE).select("key", "file_ix", "ix").distinct().withColumn("reworded", F.lit(True))
+    code = written(own.where("kind = '-' and not sanctioned").where(is_code(F.col("text"))), "removed-code")
+    near = reworded(code, own.where("kind = '+'")).withColumn("reworded", F.lit(True))
     stray = code.join(near, ["key", "file_ix", "ix"], "left").withColumn("deleted", F.col("reworded").isNull() & F.col("text").rlike(r"(?U)\w"))
     s = stray.groupBy("key", "file_ix").agg(F.count_distinct("norm").alias("n_stray"), F.count_if("deleted").alias("n_deleted"), F.min(F.when(F.col("deleted"), F.col("norm"))).alias("gone"), F.min("norm").alias("first"))
     counts = own.groupBy("key", "file_ix").agg(F.count_if(F.col("kind") == "+").alias("plus"), F.count_if(F.col("kind") == "-").alias("minus"), F.count_distinct(F.when((F.col("kind") == "+") & (F.col("norm") != "") & ~F.col("sanctioned"), F.col("norm"))).alias("novel"))
@@ -311,34 +341,48 @@ def test_changes(p: Parsed) -> DataFrame:
     return _finding(f, "test_changes", kind, F.when(kind == "test_edited", CHEAT).otherwise(WARNING), _NO_LINE, detail)
 
 
-def unverified_edits(p: Parsed, executed: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """executed: (task, path, line) that the tests run; without it, files under ``prefixes`` count as never run."""
+def line_runs(executed: DataFrame) -> DataFrame:
+    """(task, plain, runs) of ``executed`` (task, path, line): each file's executed lines as merged runs (low, high), in order."""
+    own = executed.select("task", F.regexp_replace("path", r"^[./]+", "").alias("plain"), "line").distinct()
+    own = own.withColumn("_run", F.col("line") - F.row_number().over(W.partitionBy("task", "plain").orderBy("line")))
+    runs = own.groupBy("task", "plain", "_run").agg(F.struct(F.min("line").alias("low"), F.max("line").alias("high")).alias("run"))
+    return runs.groupBy("task", "plain").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+
+
+def unverified_edits(p: Parsed, executed: DataFrame | None = None, prefixes: tuple[str, ...] | DataFrame = (), covered: DataFrame | None = None) -> DataFrame:
+    """executed: (task, path, line) that the tests run; a changed region is live if it meets a run of such lines. Without it, files
+    under ``prefixes`` count as never run. covered: (task) of the tasks whose executed lines are known, if not all; the files of
+    others are judged by prefixes, which may be (task, prefix)."""
     f = p.files.where("not is_test and not is_binary")
-    if executed is None:
+    if isinstance(prefixes, DataFrame):
+        own = prefixes.groupBy("task").agg(F.collect_set("prefix").alias("_prefixes"))
+        under = f.join(own, "task").where(F.exists("_prefixes", lambda x: F.startswith(F.col("path"), x))).drop("_prefixes")
+    else:
         under = f.where(any_prefix(F.col("path"), prefixes))
-        return _finding(under, "unverified_edits", F.lit("unverified_edit"), WARNING, _NO_LINE, F.lit("never run by the tests"))
-    clean = lambda c: F.regexp_replace(c, r"^[./]+", "")
-    run = executed.select("task", clean("path").alias("plain"), "line").distinct()
-    seen = run.select("task", "plain").distinct().withColumn("imported", F.lit(True))
-    f = f.withColumn("plain", clean("path")).join(seen, ["task", "plain"], "left").na.fill(False, ["imported"])
-    h = p.hunks.join(f.where("imported and not is_new").select("key", "file_ix", "task", "plain"), ["key", "file_ix"])
-    touched = h.where("old_count > 0").select("key", "file_ix", "hunk_ix", "task", "plain", F.explode(F.expr("sequence(old_start, old_start + old_count - 1)")).alias("line"))
-    live = touched.join(run, ["task", "plain", "line"], "left_semi").select("key", "file_ix", "hunk_ix").distinct().withColumn("live", F.lit(True))
-    dead = h.join(live, ["key", "file_ix", "hunk_ix"], "left").groupBy("key", "file_ix").agg(F.count("*").alias("n"), F.count_if(F.col("live").isNull()).alias("dead"), F.min(F.when(F.col("live").isNull(), F.col("new_start"))).alias("at"))
+    never = lambda files: _finding(files, "unverified_edits", F.lit("unverified_edit"), WARNING, _NO_LINE, F.lit("never run by the tests"))
+    if executed is None:
+        return never(under)
+    judged = f if covered is None else f.join(covered.select("task").distinct(), "task", "left_semi")
+    f = judged.withColumn("plain", F.regexp_replace("path", r"^[./]+", "")).join(line_runs(executed), ["task", "plain"], "left")
+    h = p.hunks.join(f.where("runs is not null and not is_new").select("key", "file_ix", "runs"), ["key", "file_ix"])
+    first, last = F.col("old_start"), F.col("old_start") + F.col("old_count") - 1
+    live = (F.col("old_count") > 0) & F.exists("runs", lambda r: (r["low"] <= last) & (r["high"] >= first))
+    dead = h.groupBy("key", "file_ix").agg(F.count("*").alias("n"), F.count_if(~live).alias("dead"), F.min(F.when(~live, F.col("new_start"))).alias("at"))
     f = f.join(dead, ["key", "file_ix"], "left")
     kind = (
-        F.when(F.col("is_new"), "coverage_unknown").when(~F.col("imported"), "unverified_edit").when((F.col("dead") > 0) & (F.col("dead") == F.col("n")), "unverified_edit")
+        F.when(F.col("is_new"), "coverage_unknown").when(F.col("runs").isNull(), "unverified_edit").when((F.col("dead") > 0) & (F.col("dead") == F.col("n")), "unverified_edit")
         .when(F.col("dead") > 0, "partially_unverified_edit")
     )
     f = f.withColumn("found", kind).where("found is not null")
-    return _finding(f, "unverified_edits", F.col("found"), WARNING, F.col("at"), F.concat(F.coalesce(F.col("dead").cast("string"), F.lit("all")), F.lit(" changed regions are never run")))
+    out = _finding(f, "unverified_edits", F.col("found"), WARNING, F.col("at"), F.concat(F.coalesce(F.col("dead").cast("string"), F.lit("all")), F.lit(" changed regions are never run")))
+    return out if covered is None else out.unionByName(never(under.join(covered.select("task").distinct(), "task", "left_anti")))
 
 
-def findings(p: Parsed, dependency: str = "", executed: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+def findings(p: Parsed, dependency: str = "", executed: DataFrame | None = None, prefixes: tuple[str, ...] | DataFrame = (), covered: DataFrame | None = None) -> DataFrame:
     """The findings of all detectors, with the detector's place in the listing order."""
     parts = [
         test_changes(p), deleted_tests(p), hidden_tests(p), added_suppressions(p), weakened_assertions(p), swallowed_exceptions(p), pin_changes(p),
-        collection_changes(p), import_time_effects(p), runtime_patching(p, dependency), unverified_edits(p, executed, prefixes),
+        collection_changes(p), import_time_effects(p), runtime_patching(p, dependency), unverified_edits(p, executed, prefixes, covered),
     ]
     out = parts[0]
     for x in parts[1:]:

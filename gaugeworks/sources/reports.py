@@ -81,8 +81,8 @@ def manifests(docs: DataFrame) -> DataFrame:
 def sheet_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     """Rows of a filled table in markdown: token, verdict, rationale (which may hold bars itself)."""
     cells = F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|")
-    d = lines.where(F.trim(line).startswith("|")).select(F.transform(cells, lambda c: F.trim(c)).alias("c")).where("size(c) >= 3")
-    d = d.select(F.regexp_replace(F.col("c")[0], "`", "").alias("token"), F.col("c")[1].alias("verdict"), F.array_join(F.slice("c", 3, F.size("c")), "|").alias("rationale"))
+    d = lines.where(F.trim(line).startswith("|")).select(cells.alias("c")).where("size(c) >= 3")
+    d = d.select(F.regexp_replace(F.trim(F.col("c")[0]), "`", "").alias("token"), F.trim(F.col("c")[1]).alias("verdict"), F.trim(F.array_join(F.slice("c", 3, F.size("c")), "|")).alias("rationale"))
     return d.where(F.col("token").rlike("^[0-9a-f]{6}$"))
 
 

@@ -30,6 +30,8 @@ SEQUENCE, END_ID, ROUNDS = 1024, 0, 6
 PER_SHARD = 16 * 1024
 #: Ids in a stored stretch of the stream; level of compression of what is stored and moved on the way.
 STRETCH, LEVEL = 8 * 1024, 3
+#: Words that a task remembers: all it does is encode, so there is room for more of them than elsewhere.
+WORDS = 450_000
 #: Parts of the input whose places are sent to every task; beyond it both sides are shuffled.
 PARTS_UP_TO = 200_000
 
@@ -81,7 +83,7 @@ def stretches(docs: DataFrame, path: str, end_id: int, id_width: int, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, at, held, marks = encoder(path, added), None, 0, bytearray(), []
+        enc, part, at, held, marks = encoder(path, added, WORDS), None, 0, bytearray(), []
         arrow, task, turn = None, TaskContext.get().partitionId(), 0
 
         def cut(least: int) -> Iterator[tuple]:

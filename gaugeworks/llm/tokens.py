@@ -126,14 +126,15 @@ class Encoder:
             return b"".join([self.chunk(c) for c in _CUT.split(text) if c])
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str, added: bool = False, remembered: int = REMEMBERED) -> Encoder:
     """The worker's own encoder for a file, kept between batches and tasks."""
-    if (path, added) not in _encoders:
-        _encoders[path, added] = Encoder(path, added=added)
-    return _encoders[path, added]
+    own = (path, added, remembered)
+    if own not in _encoders:
+        _encoders[own] = Encoder(path, remembered, added)
+    return _encoders[own]
 
 
 def vocabulary() -> str:

@@ -22,6 +22,8 @@ class Ledger:
     #: Sums, kept along.
     spent: float = 0.0
     held: float = 0.0
+    #: Per key a number below which all names of retired amounts are taken.
+    retired: dict[str, int] = field(default_factory=dict)
 
     def _put(self, key: str, amount: float) -> None:
         self.spent += amount - self.settled.get(key, 0.0)
@@ -50,10 +52,14 @@ class Ledger:
         elif op == "release":
             self._free(key)
         elif (old := self.settled.pop(key, 0.0)):  # retire: the amount stays under a name of its own
-            n = 1
+            base, mark, number = key.rpartition("#retired-")
+            if mark and number.isdigit():  # a name that was given before is free again
+                self.retired[base] = min(self.retired.get(base, 1), int(number))
+            n = self.retired.get(key, 1)
             while f"{key}#retired-{n}" in self.settled:
                 n += 1
             self.settled[f"{key}#retired-{n}"] = old
+            self.retired[key] = n
         return True, ""
 
 

@@ -1,15 +1,16 @@
 """Operations along an order: running totals, runs, first steps, carried values, order statistics.
 
-Each works within keys. Nothing here orders a whole table in one task."""
+Each works within keys. Nothing here orders a whole table, or all rows of a key, in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def upper_median(x: Column) -> Column:
     """The upper of the two middle values, as an aggregate."""
@@ -17,51 +18,54 @@ def upper_median(x: Column) -> Column:
 
 
 def upper_median_by(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """upper_median without gathering a group's values: ranks by distinct values and their counts."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by)
-    seen = counts.withColumns({"upto": F.sum("c").over(w.orderBy(x)), "n": F.sum("c").over(w)})
-    return seen.where((F.col("upto") > F.floor(F.col("n") / 2))).groupBy(*by).agg(F.min(x).alias("upper_median"), F.max("n").alias("n"))
+    """upper_median without gathering a group's values: the least value that more than half of the group's values come up to."""
+    seen = scans.ranked_values(df, by, x)
+    return seen.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min(x).alias("upper_median"), F.max("n").alias("n"))
+
+
+#: Values of a group up to which they are listed beside its summary.
+LISTED = 9
 
 
 def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """n, median (interpolated), least, greatest and mean of each group."""
-    v = F.col(x)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.avg(v).alias("mean"))
+    """n, median (interpolated), least, greatest and mean of each group, and its values in order if they are LISTED at most (else null)."""
+    seen = scans.ranked_values(df, by, x)
+    last = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    low, high = (F.min(F.when(F.col("upto") > rank, F.col(x))) for rank in last)
+    few = F.flatten(F.array_sort(F.collect_list(F.when(F.col("n") <= LISTED, F.array_repeat(x, F.col("c").cast("int"))))))
+    return seen.groupBy(*by).agg(
+        F.max("n").alias("n"), ((low + high) / 2).alias("median"), F.min(x).alias("least"), F.max(x).alias("greatest"), (F.sum(F.col(x) * F.col("c")) / F.max("n")).alias("mean"), few.alias("_few")
+    ).withColumn("listed", F.when(F.col("n") <= LISTED, F.col("_few"))).drop("_few")
 
 
 def until_spent(df: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, budget: float) -> DataFrame:
     """Rows of each key up to and with the one that reaches ``budget``; adds spent (through the row)."""
-    w = W.partitionBy(*by).orderBy(*order)
-    run = df.withColumn("spent", F.sum(amount).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = scans.running_sum(df, by, order, F.col(amount), "spent")
     return run.where(F.col("spent") - F.col(amount) < budget)
 
 
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
     """Each unbroken run of rows with ``flag``: by, run_start and run_end (of the first order column), length."""
-    w = W.partitionBy(*by).orderBy(*order)
     marked = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
-    island = marked.withColumn("_off", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    island = scans.running_sum(marked, by, order, F.when(F.col("_on"), 0).otherwise(1), "_off")
     first = F.col(order[0])
     return island.where("_on").groupBy(*by, "_off").agg(F.min(first).alias("run_start"), F.max(first).alias("run_end"), F.count("*").alias("length")).drop("_off")
 
 
 def first_step(df: DataFrame, by: Sequence[str], order: Sequence[str], kinds: dict[str, Column]) -> DataFrame:
     """For each key the rank (from 1) of the first row of each kind, null if there is none."""
-    w = W.partitionBy(*by).orderBy(*order)
-    ranked = df.withColumn("_step", F.row_number().over(w).cast("long"))
-    return ranked.groupBy(*by).agg(*(F.min(F.when(c, F.col("_step"))).alias(f"first_{k}") for k, c in kinds.items()))
+    ranked = scans.running_sum(df.withColumns({f"_is_{k}": c for k, c in kinds.items()}), by, order, F.lit(1), "_step")
+    return ranked.groupBy(*by).agg(*(F.min(F.when(F.col(f"_is_{k}"), F.col("_step"))).alias(f"first_{k}") for k in kinds))
 
 
 def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` up to the row."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return scans.last_value(df, by, order, value, name)
 
 
 def occurrence(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "nth") -> DataFrame:
     """Adds the rank of a row among those of its key, from 1."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    return scans.running_sum(df, by, order, F.lit(1), name)
 
 
 def latest(df: DataFrame, by: Sequence[str], of: str, at: str) -> DataFrame:

@@ -19,7 +19,9 @@ from ..operators import judging as jd
 from ..operators import ledger as lg
 from ..operators import resampling as rs
 from ..operators import sampling as sm
+from ..operators import scans as sc
 from ..operators import sequences as sq
+from ..shared import written
 from ..sources import records as rc
 from ..sources import reports as rp
 from . import rates as rt
@@ -219,7 +221,21 @@ def order_dependence(spark, sf):
 
 @query("SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 4) AS median, min(o_totalprice) AS least, max(o_totalprice) AS greatest, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
 def describe_distribution(spark, sf):
-    return sq.describe(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice").withColumns({c: F.round(c, 4) for c in ("median", "mean")})
+    return sq.describe(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice").withColumns({c: F.round(c, 4) for c in ("median", "mean")}).drop("listed")
+
+
+@query("""SELECT o_custkey, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 4) AS median, CASE WHEN count(*) < 10 THEN list_sort(list(round(o_totalprice * 100)::BIGINT)) END AS listed FROM orders GROUP BY 1""")
+def describe_few(spark, sf):
+    """Customers' orders: the median, and all prices of those with fewer than ten, in cents."""
+    found = sq.describe(table(spark, sf, "orders"), ["o_custkey"], "o_totalprice")
+    return found.select("o_custkey", "n", F.round("median", 4).alias("median"), F.transform("listed", lambda v: F.round(v * 100).cast("long")).alias("listed"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1""")
+def price_quantiles(spark, sf):
+    """Exact quantiles of a few very large groups, none of which is held in one place."""
+    found = sc.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return found.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p99")})
 
 
 @query("SELECT o_orderpriority, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM orders GROUP BY 1")
@@ -454,21 +470,23 @@ def benchmark_token_overlap(spark, sf):
     return rounded(word_overlaps(own(table(spark, sf, "documents"), "doc_id"), own(table(spark, sf, "benchmark"), "item_id")), "overlap")
 
 
-def word_overlaps(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
+def word_overlaps(docs: DataFrame, items: DataFrame, least: float = 0.6, few: int = 200_000) -> DataFrame:
     """(doc_id, item_id, shared, overlap): pairs in which a document holds a share ``least`` of an item's distinct words.
 
     docs and items: an id and ws, their distinct words. Such a document has one of the item's n - least * n + 1 words that fewest
-    documents have, so only these are joined; what meets is then counted whole."""
-    words = items.select("item_id", F.explode("ws").alias("w"))
-    in_docs = docs.select("doc_id", F.explode("ws").alias("w")).join(words.select("w").distinct(), "w", "left_semi")
+    documents have, so only these are joined; what meets is then counted whole. Of the documents only words that some item has are
+    written, once. few: words of items that are sent to every task; beyond it both sides are shuffled."""
+    words = written(items.select("item_id", F.explode("ws").alias("w")), "item-words")
+    own = written(words.select("w").distinct(), "item-vocabulary")
+    in_docs = written(docs.select("doc_id", F.explode("ws").alias("w")).join(F.broadcast(own) if own.count() <= few else own, "w", "left_semi"), "document-words")
     counts = in_docs.groupBy("w").agg(F.count("*").alias("c"))
     ranked = words.join(counts, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("r"))
     n = F.size("r")
     prefix = ranked.select("item_id", F.explode(F.slice("r", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("x")).select("item_id", F.col("x.w").alias("w"))
     met = in_docs.join(prefix, "w").select("doc_id", "item_id").distinct()
-    both = met.join(docs, "doc_id").join(items.withColumnRenamed("ws", "own"), "item_id")
-    shared = F.size(F.array_intersect("own", "ws"))
-    return both.select("doc_id", "item_id", shared.cast("long").alias("shared"), (shared / F.size("own")).alias("overlap")).where(F.col("overlap") >= least)
+    shared = met.join(in_docs, "doc_id").join(words, ["item_id", "w"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    sizes = words.groupBy("item_id").agg(F.count("*").alias("n"))
+    return shared.join(sizes, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("n")).alias("overlap")).where(F.col("overlap") >= least)
 
 
 # Judges, costs and audits

@@ -90,7 +90,7 @@ def test_other_sources(spark, tmp_path):
     with pytest.raises(Exception, match="labels version 1"):
         rp.label_pairs(labels(1)).collect()
     sheet = spark.createDataFrame([("| `0a1b2c` | equivalent | a | b |",), ("| token | verdict | why |",), ("text",)], "value string")
-    assert [tuple(r) for r in rp.sheet_rows(sheet).collect()] == [("0a1b2c", "equivalent", "a|b")]
+    assert [tuple(r) for r in rp.sheet_rows(sheet).collect()] == [("0a1b2c", "equivalent", "a | b")]
     for k in range(3):
         (tmp_path / f"m{k}.json").write_text(json.dumps({"started": f"2026-01-0{k + 1}T08:00:00+00:00", "finished": "2026-01-09T00:00:00+00:00", "matrix": {"cells": 8}, "jobs": 1, "ledger": {"settled": 0.5}, "outcome": {"completed": ["a"]}} | ({"git_dirty": True} if k else {})))
     (tmp_path / "broken.json").write_text("{")

@@ -161,3 +161,61 @@ def test_mean_draws_do_not_depend_on_partitions_and_cover_the_normal_interval(sp
         half = 1.96 * (sum((v - mean) ** 2 for v in values) / len(values) ** 2) ** 0.5
         assert r.point == pytest.approx(mean) and (r.low, r.high) == pytest.approx((b[g].low, b[g].high))
         assert r.high - r.low == pytest.approx(2 * half, rel=0.12) and r.n == len(values)
+
+
+def test_scans_equal_windows_and_spread_a_hot_key(spark):
+    """A key holds most rows and lies in several parts; nulls are a key too."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    from gaugeworks.operators import scans
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), k, rng.choice([None, 1, 2, 5]), rng.random() < 0.5) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, f boolean")
+    w = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        placed = scans.in_order(df, ["k"], ["i"])
+        assert placed.where("k = 'hot'").select("_part").distinct().count() > 2
+        got = scans.running_sum(df, ["k"], ["i"], F.col("v"), "s").join(scans.last_value(df, ["k"], ["i"], F.col("v"), "l").select("i", "l"), "i")
+        want = df.withColumns({"s": F.sum("v").over(w), "l": F.last("v", ignorenulls=True).over(w)})
+        assert sorted(map(tuple, got.select("i", "s", "l").collect())) == sorted(map(tuple, want.select("i", "s", "l").collect()))
+        assert {(r.k, r.n, r.m) for r in scans.quantiles(df, ["k"], "v", {"m": 0.37}).collect()} == {(r.k, r.n, r.m) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", 0.37).alias("m")).collect()}
+        found = sq.describe(df, ["k"], "v")
+        assert "percentile" not in found._jdf.queryExecution().executedPlan().toString().lower() and {r.listed for r in found.collect()} == {None}
+        few = sq.describe(spark.createDataFrame([("a", v) for v in (3.0, 1.0, 3.0)] + [("b", None)], "k string, v double"), ["k"], "v").collect()
+        assert [(r.n, r.median, r.mean, r.listed) for r in few] == [(3, 3.0, 7 / 3, [1.0, 3.0, 3.0])]
+        assert [tuple(r) for r in sq.runs(df, ["k"], ["i"], F.lit(True)).where("k = 'hot'").select("length").collect()] == [(sum(r[0] == "hot" for r in rows),)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gaugeworks.shared import shared_dir
+
+    session = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert shared_dir(session("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[2]"))
+
+
+def test_a_key_that_retires_very_often_takes_one_step_each():
+    import time
+
+    from gaugeworks.operators.ledger import Ledger
+
+    book, began = Ledger(1e9), time.process_time()
+    for _ in range(30_000):
+        book.apply("settle", "k", 1.0)
+        book.apply("retire", "k", None)
+    assert time.process_time() - began < 5 and "k#retired-30000" in book.settled and len(book.settled) == 30_000
+    book.apply("retire", "k#retired-7", None)
+    book.apply("settle", "k", 1.0)
+    book.apply("retire", "k", None)
+    assert "k#retired-7" in book.settled and "k#retired-30001" not in book.settled

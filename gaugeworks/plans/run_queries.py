@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fingerprints as fp
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import detectors as dt
@@ -13,6 +14,7 @@ from ..operators import sampling as sm
 from ..operators import scoring as sc
 from ..sources import records as rc
 from ..sources import reports as src
+from . import rates
 from . import report as rv
 from .catalogue import _DHI, _DLO, _HI, _LO, _D, _agreement_sql, query, rounded, table
 
@@ -437,3 +439,28 @@ def routes_and_charges(spark, sf):
     route = lb.route(F.when(F.col("c_nationkey") % 3 == 1, "").when(F.col("c_nationkey") % 3 == 2, "x"))
     cost = lb.chargeable(F.col("c_custkey") % 4 > 0, F.col("c_acctbal"), F.lit(9999.0))
     return c.groupBy(F.col("c_mktsegment").alias("seg"), route.alias("route")).agg(F.round(F.sum(cost), 2).alias("cost"), F.count("*").alias("n"))
+
+
+# Matched configurations
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS task, c_mktsegment AS model, o_custkey % 2 AS a, o_orderkey % 2 AS cap, o_orderkey % 3 AS route, o_orderstatus = 'F' AS hit FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0),
+g AS (SELECT task, model, a, cap, route, count(*) AS n, count(*) FILTER (hit) AS k FROM r GROUP BY ALL)
+SELECT x.task AS task_id, x.model AS first, y.model AS second, x.k AS k1, x.n AS n1, y.k AS k2, y.n AS n2 FROM g x JOIN g y ON x.task = y.task AND x.a = y.a AND x.cap = y.cap AND x.route = y.route AND x.model < y.model""")
+def matched_configurations(spark, sf):
+    """Orders as runs of their customers' segments: pairs of models that ran a task under settings that are equal but for the model. The texts
+    differ in the order of keys and tools, in how numbers are written, and in defaults that are left out; every seventh lacks its image."""
+    k = F.col("o_orderkey")
+    both = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    odd, image = k % 4 > 1, F.when(k % 7 != 0, F.concat(F.lit("sha:"), (F.col("o_custkey") % 2).cast("string")))
+    tools = F.array(F.array(F.lit("read"), F.lit("reads é")), F.array(F.lit("edit"), F.lit("edits")))
+    parts = {
+        "model_id": F.col("c_mktsegment"), "system_prompt": F.lit("do \"it\""), "test_command": F.lit("run"), "image_id": image, "tool_signature": F.when(odd, F.reverse(tools)).otherwise(tools),
+        "max_iterations": F.lit(50), "max_tokens": F.lit(4000), "max_file_lines": F.lit(200), "max_search_hits": F.lit(30), "max_cost_usd": (k % 2 + 1).cast("double"), "max_wall_seconds": F.lit(600.0),
+        "provider_route": F.when(k % 3 > 0, F.concat(F.lit("r"), (k % 3).cast("string"))).when(odd, ""), "announce_budget": F.when(odd, False),
+    }
+    text = lambda names: F.to_json(F.struct(*(parts[c].alias(c) for c in names)))
+    whole = F.regexp_replace(text(sorted(parts, reverse=True)), r"(max_wall_seconds\":600)\.0", "$1")
+    config = F.when(odd, whole).otherwise(text(parts))
+    runs = both.select(F.col("o_orderpriority").alias("task_id"), F.col("c_mktsegment").alias("model_id"), fp.fingerprint_less_model(config).alias("setup"), (F.col("o_orderstatus") == "F").alias("hit"))
+    return rates.matched(runs, ["task_id", "setup"], "model_id", F.col("hit"), 1).select("task_id", "first", "second", "k1", "n1", "k2", "n2")

@@ -74,3 +74,20 @@ def test_pending_cells(spark):
     matrix = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     usable = spark.createDataFrame([("a", True), ("b", False)], "name string, usable boolean")
     assert {r.name: r.state for r in rp.pending_cells(matrix, usable).collect()} == {"a": "complete", "b": "unusable", "c": "pending"}
+
+
+def test_fingerprints_are_of_what_changes_a_run(spark):
+    import json
+
+    from gaugeworks.functions import fingerprints as fp
+
+    base = {"model_id": "m", "tool_signature": [["b", "x"], ["a", "y"]], "system_prompt": "p é", "max_iterations": 5, "max_cost_usd": 1, "max_wall_seconds": 9.5, "test_command": "t", "image_id": "i", "max_tokens": 1, "max_file_lines": 2, "max_search_hits": 3}
+    same = [base, dict(reversed(base.items())), base | {"tool_signature": [["a", "y"], ["b", "x"]]}, base | {"max_cost_usd": 1.0000000001, "provider_route": "", "announce_budget": False, "label": "by hand"}]
+    other = [base | {k: v} for k, v in (("system_prompt", "q"), ("max_iterations", 6), ("max_cost_usd", 1.1), ("provider_route", "r"), ("announce_budget", True), ("tool_signature", [["a", "y"]]))]
+    lacking = [{k: v for k, v in base.items() if k != gone} for gone in base]
+    texts = [json.dumps(c) for c in [*same, *other, base | {"model_id": "n"}, *lacking]] + ["[]", "{", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", fp.fingerprint(F.col("c")).alias("a"), fp.fingerprint_less_model(F.col("c")).alias("b")).orderBy("i")
+    rows = df.collect()
+    assert len({r.a for r in rows[:4]}) == 1 == len({r.b for r in rows[:4]}) and len({r.a for r in rows[:11]}) == 8
+    assert rows[10].b == rows[0].b and len({r.b for r in rows[:11]}) == 7
+    assert all(r.a is None and r.b is None for r in rows[11:])

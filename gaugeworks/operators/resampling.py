@@ -2,7 +2,8 @@
 
 Means: every distinct value, with its count, draws Poisson weights for all replicates where it lies, from a stream keyed by the value;
 sums of weights meet in an aggregation. So no group is gathered, and partitions don't change a draw. Other statistics are of few
-distinct values (pairs of labels): a resample of n rows is a multinomial draw over them, and groups with more values are an error."""
+distinct values (pairs of labels): a resample of n rows is a multinomial draw over them, and groups with more values are an error.
+Where values are many, ``little_bootstrap`` takes any statistic of any number of rows."""
 
 from __future__ import annotations
 
@@ -10,10 +11,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .agreement import paired
+from .scans import SEND_UP_TO, beside
 
 #: Replicates that one task of a group draws; distinct values that a group of a general statistic may have.
 SLICE, MOST_VALUES = 500, 10_000
@@ -65,6 +68,51 @@ def bootstrap(df: DataFrame, by: Sequence[str], values: Sequence[str], statistic
     return _resample(cells, by, values, statistic, n_boot, alpha, seed)
 
 
+def little_bootstrap(
+    df: DataFrame, by: Sequence[str], values: Sequence[str], row_id: str, statistic: Callable, subset: int = 1000, subsets: int = 20, n_boot: int = 100, alpha: float = 0.05, seed: int = 0, point: Column | None = None
+) -> DataFrame:
+    """by, point, low, high, n, subsets, draws of any statistic(counts, *arrays) of each group, however large: a bag of little bootstraps.
+
+    Rows go by the hash of ``row_id`` to up to ``subsets`` disjoint random subsets of about ``subset`` rows, each a task's. In each, ``n_boot``
+    resamples of all n rows of the group are drawn as multinomial weights over the subset's; the subsets' percentile bounds are averaged.
+    A group of up to ``subset`` rows is one subset: the plain bootstrap. ``point`` is an aggregate that gives the exact statistic where there is
+    one, else the mean of the subsets'. Rows with a null in ``values`` are left out. Draws without a value are left out; if they
+    are more than half of a group's, that is an error, as is a group whose statistic has no value on a subset itself. Rows that share a ``row_id`` go together."""
+    by = list(by)
+    if not 0 < alpha < 1 or min(subset, subsets, n_boot) < 1:
+        raise ValueError("alpha lies between 0 and 1, and subset, subsets and n_boot are at least 1")
+    own = df.where(" and ".join(f"{v} is not null" for v in values))
+    sizes = own.groupBy(*by).agg(F.count("*").alias("n"), *([] if point is None else [point.cast("double").alias("_exact")]))
+    sizes = written(sizes if by else sizes.where("n > 0"), "resample-sizes")
+    few = sizes.count() <= SEND_UP_TO
+    share = F.least(F.lit(1.0), F.lit(float(subset)) / F.col("n"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_id), 11).cast("double") * 2.0**-53
+    rows = beside(own.select(*by, *values, F.col(row_id).alias("_id"), place.alias("_place")), sizes.select(*by, "n"), by, few=few, how="inner")
+    rows = rows.withColumn("subset", F.floor(F.col("_place") / share).cast("int")).where(F.col("subset") < F.least(F.lit(subsets), F.floor(1 / share + 1e-9)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = "".join(f"{b} {kinds[b]}, " for b in by)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_id", *values], kind="stable")
+        n, data = int(pdf["n"].iloc[0]), [pdf[v].to_numpy() for v in values]
+        rng = np.random.default_rng([seed, int(key[-1])])
+        draws = np.array([statistic(rng.multinomial(n, np.full(len(pdf), 1 / len(pdf))), *data) for _ in range(n_boot)], float)
+        good = np.sort(draws[np.isfinite(draws)])
+        m = len(good)
+        low, high = (good[int(alpha / 2 * m)], good[min(m - 1, int((1 - alpha / 2) * m))]) if m else (np.nan, np.nan)
+        # The subset stands for n rows: each is there n / size times.
+        at = statistic(np.full(len(pdf), n / len(pdf)), *data)
+        return pd.DataFrame([(*key[:-1], at, low, high, m)], columns=[*by, "at", "low", "high", "good"])
+
+    each = rows.groupBy(*by, "subset").applyInPandas(run, f"{fields}at double, low double, high double, good int")
+    given = lambda c: F.when(~F.isnan(c), F.col(c))
+    out = each.groupBy(*by).agg(F.avg("at").alias("_at"), F.avg(given("low")).alias("low"), F.avg(given("high")).alias("high"), F.count("*").alias("subsets"), F.sum("good").alias("draws"))
+    enough = F.when(F.col("draws") * 2 >= F.col("subsets") * n_boot, F.lit(True)).otherwise(F.raise_error(F.lit("the statistic has no value for more than half of the draws")).cast("boolean"))
+    defined = F.when(~F.isnan("_at"), F.lit(True)).otherwise(F.raise_error(F.lit("the statistic has no value on a subset itself")).cast("boolean"))
+    out = beside(out.where(enough).where(defined), sizes, by, few=few, how="inner")
+    return out.select(*by, F.col("_at" if point is None else "_exact").alias("point"), "low", "high", "n", "subsets", "draws")
+
+
 def _weighted_means(cells: DataFrame, by: Sequence[str], n_boot: int, alpha: float, seed: int) -> DataFrame:
     """cells: by, total and size of a draw of the cell, c (draws that are alike)."""
     by = list(by)

@@ -24,7 +24,7 @@ def in_order(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
     return written(placed, "in-order").withColumn("_part", F.shiftright("_at", 33))
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str], few: bool, how: str = "left") -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], few: bool, how: str = "left") -> DataFrame:
     """A join on ``keys`` in which nulls are equal."""
     right = right.withColumnsRenamed({k: f"_{k}_" for k in keys})
     on = F.lit(True)
@@ -38,7 +38,7 @@ def _scanned(placed: DataFrame, by: Sequence[str], summary: Column, within: Colu
     parts = placed.groupBy(*by, "_part").agg(summary.alias("_own"))
     first = F.min("_part").over(W.partitionBy(*by))
     carries = parts.withColumns({"_carry": over, "_first": first}).where("_part > _first").select(*by, "_part", "_carry")
-    return _beside(placed.withColumn("_in", within), carries, [*by, "_part"], few=True).withColumn(name, join).drop("_in", "_carry")
+    return beside(placed.withColumn("_in", within), carries, [*by, "_part"], few=True).withColumn(name, join).drop("_in", "_carry")
 
 
 def _before(by: Sequence[str]):
@@ -69,7 +69,7 @@ def ranked_values(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
     seen = running_sum(counts, by, [x], F.col("c"), "upto")
     sizes = written(counts.groupBy(*by).agg(F.sum("c").alias("n")), "group-sizes")
-    return _beside(seen, sizes, by, few=sizes.count() <= SEND_UP_TO, how="inner")
+    return beside(seen, sizes, by, few=sizes.count() <= SEND_UP_TO, how="inner")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], x: str, shares: dict[str, float]) -> DataFrame:

@@ -21,9 +21,10 @@ from ..operators import resampling as rs
 from ..operators import sampling as sm
 from ..operators import scans as sc
 from ..operators import sequences as sq
-from ..shared import written
+from ..shared import new_path, written
 from ..sources import records as rc
 from ..sources import reports as rp
+from ..streaming import ledger as st
 from . import rates as rt
 from . import report as rv
 
@@ -613,11 +614,46 @@ def diff_findings(spark, sf):
 # Folds and resamples: no SQL
 
 
+def _operations(events: DataFrame, amount: str) -> DataFrame:
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "reserve").when(kind == "purchase", "settle").when(kind == "error", "release").when(kind == "click", "retire").otherwise("adopt")
+    return events.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 7).cast("string").alias("key"), F.expr(amount).alias("amount"))
+
+
 @query()
 def ledger_fold(spark, sf):
-    op = F.when(F.col("event_type") == "signup", "reserve").when(F.col("event_type") == "purchase", "settle").when(F.col("event_type") == "error", "release").when(F.col("event_type") == "click", "retire").otherwise("adopt")
-    ops = table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 7).cast("string").alias("key"), (F.col("value") / 10).alias("amount"))
-    return rounded(lg.fold(ops, "user_id", 500.0), "settled", "reserved", "remaining")
+    return rounded(lg.fold(_operations(table(spark, sf, "events"), "value / 10"), "user_id", 500.0), "settled", "reserved", "remaining")
+
+
+#: A budget that nothing exceeds, so that keys don't depend on one another and SQL can say what is left; amounts are whole cents.
+_AMPLE = 1e15
+_CENTS = "round(value * 100)"
+_LEDGER_END = """WITH o AS (SELECT user_id AS ledger, event_id AS seq, event_id % 7 AS k, round(value * 100) AS amount, event_type = 'click' AS retires, event_type = 'signup' AND value >= 0 AS claims,
+event_type NOT IN ('signup', 'error', 'click') AND value >= 0 AS pays, event_type = 'error' AS drops FROM events),
+s AS (SELECT *, count(*) FILTER (retires) OVER (PARTITION BY ledger, k ORDER BY seq) AS seg, count(*) FILTER (retires) OVER (PARTITION BY ledger, k) AS last_seg FROM o),
+g AS (SELECT *, coalesce(bool_or(pays) OVER (PARTITION BY ledger, k, seg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS done FROM s),
+paid AS (SELECT ledger, k, seg, last_seg, arg_max(amount, seq) AS amount FROM g WHERE pays GROUP BY ALL), settled AS (SELECT ledger, amount AS settled, NULL::DOUBLE AS reserved FROM paid WHERE seg = last_seg OR amount <> 0),
+held AS (SELECT ledger, k, arg_max(amount, seq) AS reserved, arg_max(claims, seq) AS open FROM g WHERE (claims AND NOT done) OR pays OR drops GROUP BY ALL),
+e AS (FROM settled UNION ALL SELECT ledger, NULL, reserved FROM held WHERE open)
+SELECT *, 1e15::DOUBLE AS budget, settled + reserved AS committed, 1e15 - (settled + reserved) AS remaining FROM (SELECT ledger, coalesce(sum(settled), 0) AS settled, coalesce(sum(reserved), 0) AS reserved,
+count(reserved) AS open, count(settled) AS n_settled FROM e GROUP BY 1)"""
+
+
+@query(_LEDGER_END)
+def ledger_snapshot(spark, sf):
+    return lg.snapshot(lg.entries(_operations(table(spark, sf, "events"), _CENTS), "user_id", _AMPLE), _AMPLE)
+
+
+@query(_LEDGER_END)
+def ledger_stream(spark, sf):
+    """The events as a stream: folded with state by key until there are no more, then read from the state store."""
+    at = new_path(spark, "ledger-stream")
+    # A stream reads folders or patterns, and a table may be a single file.
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    with st.keyed_state(spark):
+        folded = st.fold_stream(_operations(events, _CENTS), "user_id", _AMPLE)
+        folded.writeStream.format("noop").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return lg.snapshot(st.kept_entries(spark, at), _AMPLE)
 
 
 @query("""WITH l AS (SELECT user_id, event_id % 7 AS key, arg_max(value, event_id) AS amount FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2)
@@ -642,3 +678,17 @@ def cluster_bootstrap(spark, sf):
 def kappa_ci(spark, sf):
     both = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return rounded(rs.kappa_interval(_rated(both), ["lang"], "a", "b"), "point", "low", "high")
+
+
+def _slope(counts, x, y):
+    n = counts.sum()
+    dx, dy = x - (counts @ x) / n, y - (counts @ y) / n
+    spread = counts @ (dx * dx)
+    return float(counts @ (dx * dy) / spread) if spread > 0 else float("nan")
+
+
+@query()
+def slope_interval(spark, sf):
+    """The price's slope by quantity, by line status, with intervals by little bootstraps."""
+    lines = table(spark, sf, "lineitem").select("l_linestatus", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return rounded(rs.little_bootstrap(lines, ["l_linestatus"], ["x", "y"], "id", _slope, point=F.regr_slope("y", "x")), "point", "low", "high")

@@ -9,7 +9,7 @@ from gaugeworks.operators import ledger as lg
 from gaugeworks.operators import scoring as sc
 from gaugeworks.sources import records as rc
 from gaugeworks.sources import reports as rp
-from gaugeworks.streaming.ledger import fold_stream
+from gaugeworks.streaming.ledger import fold_stream, keyed_state, kept_entries
 
 GOOD = {
     "schema_version": 3, "config_version": "abc123def456", "task_id": "002-databases", "model": "m", "outcome": "solved", "verdict_status": "ok", "diff": "", "failed_ids": [],
@@ -135,19 +135,50 @@ def test_ledger_rules():
     assert book.settled == {"a#retired-1": 12.0, "a#retired-2": 1.0}
 
 
-def test_stream_folds_like_a_batch(spark, tmp_path):
+def test_a_ledger_over_many_batches_and_odd_rows(spark):
+    rows = [*operations(5, 400), (None, 1, "settle", "k", 2.0), (None, 2, "reserve", None, 1.0), ("z", None, "settle", "a", 1.0), ("z", 0, "reserve", "a", 1.0), ("z", 0, None, "b", 1.0)]
+    want = {}
+    for r in sorted(rows, key=lambda r: (str(r[0]), *((x is not None, x) for x in r[1:]))):
+        book = want.setdefault(r[0], ([], lg.Ledger(20.0)))
+        book[0].append((r[1], *book[1].apply(r[2], r[3], r[4])))
+    df = spark.createDataFrame(rows, OPS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = lg.fold(df, "ledger", 20.0).collect()
+        kept = lg.entries(df, "ledger", 20.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for ledger, (own, book) in want.items():
+        assert [(r.seq, r.granted, r.reason) for r in got if r.ledger == ledger] == own
+        assert {r.key: r.settled for r in kept if r.ledger == ledger and r.settled is not None} == book.settled
+        assert {r.key: r.reserved for r in kept if r.ledger == ledger and r.reserved is not None} == book.reserved
+        assert [r.open for r in got if r.ledger == ledger][-1] == len(book.reserved)
+    assert lg.fold(df.limit(0), "ledger", 20.0).collect() == [] and lg.entries(df.limit(0), "ledger", 20.0).collect() == []
+    with pytest.raises(ValueError):
+        lg.fold(df, "ledger", -1.0)
+
+
+def test_stream_batch_and_snapshot_agree(spark, tmp_path):
     rows = operations(3, 120)
-    want = sorted(map(tuple, lg.fold(spark.createDataFrame(rows, OPS), "ledger", 20.0).collect()))
-    src = tmp_path / "in"
+    df = spark.createDataFrame(rows, OPS)
+    want = sorted(map(tuple, lg.fold(df, "ledger", 20.0).collect()))
+    src, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
     for a in range(0, 120, 40):
         spark.createDataFrame(rows[a : a + 40], OPS).coalesce(1).write.mode("append").json(str(src))
     stream = spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).json(str(src))
-    q = fold_stream(stream, "ledger", 20.0).writeStream.format("memory").queryName("folded").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(map(tuple, spark.sql("select * from folded").collect()))
-    assert [(x[0], x[1], x[2], x[3]) for x in got] == [(x[0], x[1], x[2], x[3]) for x in want]
+    with keyed_state(spark):
+        q = fold_stream(stream, "ledger", 20.0).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert [x[:4] for x in got] == [x[:4] for x in want] and [x[7] for x in got] == [x[7] for x in want]
     assert [x[4] for x in got] == pytest.approx([x[4] for x in want])
+    held = lambda e: sorted((r.ledger, r.key, r.settled, r.reserved) for r in e.collect())
+    entries = lg.entries(df, "ledger", 20.0)
+    assert held(kept_entries(spark, checkpoint)) == held(entries)
+    assert held(kept_entries(spark, checkpoint, 0)) == held(lg.entries(df.where("seq < 40"), "ledger", 20.0))
+    last = {x[0]: x for x in want}
+    for r in lg.snapshot(entries, 20.0).collect():
+        assert (r.settled, r.reserved, r.remaining) == pytest.approx(last[r.ledger][4:7]) and r.open == last[r.ledger][7] and r.committed == pytest.approx(20.0 - r.remaining)
 
 
 def state(ok, failed, errors=None, suppressed=0, reason=None, exit_code=None):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,33 @@ def test_a_key_that_retires_very_often_takes_one_step_each():
     book.apply("settle", "k", 1.0)
     book.apply("retire", "k", None)
     assert "k#retired-7" in book.settled and "k#retired-30001" not in book.settled
+
+
+def _weighted_median(counts, x):
+    order = np.argsort(x)
+    upto = np.cumsum(counts[order])
+    return float(x[order][np.searchsorted(upto, upto[-1] / 2)])
+
+
+def test_little_bootstraps(spark):
+    """Intervals of medians of 60 groups of 4,000 rows hold the true median about as often as stated; small groups are the plain bootstrap."""
+    rng = np.random.default_rng(1)
+    rows = [(g, i, float(x)) for g in range(60) for i, x in enumerate(rng.exponential(1.0, 4000))]
+    df = spark.createDataFrame([*rows, (99, 1, 1.0), (99, 2, 1.0), (99, 3, None), (98, 1, None)], "g int, id int, x double")
+    got = {r.g: r for r in rs.little_bootstrap(df.repartition(7), ["g"], ["x"], "id", _weighted_median, subset=400, subsets=5).collect()}
+    assert set(got) == {*range(60), 99} and all(got[g].n == 4000 and got[g].subsets == 5 for g in range(60))
+    held = sum(got[g].low <= math.log(2) <= got[g].high for g in range(60))
+    assert held >= 50  # 95 % of 60 are 57; below 50 has a chance of less than one in a thousand
+    assert tuple(got[99])[1:5] == (1.0, 1.0, 1.0, 2)
+    again = {r.g: r for r in rs.little_bootstrap(df, ["g"], ["x"], "id", _weighted_median, subset=400, subsets=5).collect()}
+    assert again == got  # whatever the partitions
+    few = df.where("g < 3 and id < 50")
+    mean = lambda c, x: float(c @ x / c.sum())
+    plain = {r.g: r for r in rs.bootstrap_mean(few, ["g"], "x").collect()}
+    for r in rs.little_bootstrap(few, ["g"], ["x"], "id", mean, n_boot=2000, point=F.avg("x")).collect():
+        assert r.subsets == 1 and r.point == pytest.approx(plain[r.g].point) and abs(r.low - plain[r.g].low) < 0.08 and abs(r.high - plain[r.g].high) < 0.08
+    whole = rs.little_bootstrap(df.where("g < 2"), [], ["x"], "id", mean, subset=1000).collect()
+    assert len(whole) == 1 and whole[0].n == 8000 and whole[0].subsets == 8
+    assert rs.little_bootstrap(df.limit(0), [], ["x"], "id", mean).collect() == [] == rs.little_bootstrap(df.limit(0), ["g"], ["x"], "id", mean).collect()
+    with pytest.raises(Exception, match="more than half"):
+        rs.little_bootstrap(few, ["g"], ["x"], "id", lambda c, x: float("nan") if c.max() > 1 and c.dtype.kind == "i" else 1.0).collect()

@@ -16,6 +16,7 @@ from ..sources import records as rc
 from ..sources import reports as src
 from . import rates
 from . import report as rv
+from . import screening as sn
 from .catalogue import _DHI, _DLO, _HI, _LO, _D, _agreement_sql, query, rounded, table
 
 # Orders as runs
@@ -464,3 +465,37 @@ def matched_configurations(spark, sf):
     config = F.when(odd, whole).otherwise(text(parts))
     runs = both.select(F.col("o_orderpriority").alias("task_id"), F.col("c_mktsegment").alias("model_id"), fp.fingerprint_less_model(config).alias("setup"), (F.col("o_orderstatus") == "F").alias("hit"))
     return rates.matched(runs, ["task_id", "setup"], "model_id", F.col("hit"), 1).select("task_id", "first", "second", "k1", "n1", "k2", "n2")
+
+
+# Orders as pull requests: their lines as files, the customer's declaration as the base
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS merged, CASE o_orderpriority WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN TRUE WHEN '3-MEDIUM' THEN FALSE ELSE o_orderpriority = '5-LOW' END AS ci,
+o_custkey % 2 = 0 AS old, o_custkey % 3 = 0 AS two, o_custkey % 5 = 0 AS listed, o_custkey % 7 = 0 AS service FROM orders),
+f AS (SELECT l_orderkey AS k, l_linenumber AS ix, l_partkey % 7 IN (0, 3) AS source, l_partkey % 7 = 1 AS test, l_partkey % 7 IN (3, 4) AS pin, l_quantity::BIGINT + l_linenumber AS lines,
+'lib' || ((l_orderkey + l_linenumber) % 3) AS gone, 'lib' || (l_suppkey % 3) AS come FROM lineitem),
+s AS (SELECT k, count(*) FILTER (source) AS source_files, coalesce(sum(lines) FILTER (source), 0) AS source_lines, count(*) FILTER (test) AS test_files, coalesce(sum(lines) FILTER (test), 0) AS test_lines,
+arg_min(gone, ix) FILTER (pin) AS named, coalesce(list(DISTINCT gone) FILTER (pin), []) AS g, coalesce(list(DISTINCT come) FILTER (pin), []) AS c FROM f GROUP BY 1),
+j AS (SELECT o.*, coalesce(source_files, 0) AS source_files, coalesce(source_lines, 0) AS source_lines, coalesce(test_files, 0) AS test_files, coalesce(test_lines, 0) AS test_lines, coalesce(named, 'support') AS package,
+coalesce(list_contains(list_filter(g, lambda x: NOT list_contains(c, x)), named) AND len(list_filter(c, lambda x: NOT list_contains(g, x))) > 0, FALSE) AS swapped FROM o LEFT JOIN s USING (k)),
+b AS (SELECT *, ci AND ((package = 'lib1' AND two) OR (package = 'lib2' AND listed)) AS tested FROM j)
+SELECT k::VARCHAR AS number, package, source_files, source_lines::BIGINT AS source_lines, test_files, test_lines::BIGINT AS test_lines,
+concat_ws(',', CASE WHEN NOT merged THEN 'not_merged' END, CASE WHEN source_files = 0 THEN 'no_source_changed' END, CASE WHEN tested THEN 'both_versions_tested' END, CASE WHEN swapped THEN 'package_replaced' END) AS blockers,
+concat_ws(',', CASE WHEN source_files > 0 AND source_lines < 10 THEN 'few_source_lines' END, CASE WHEN ci AND old THEN 'old_python' END, CASE WHEN ci AND service THEN 'needs_service' END) AS notes,
+merged AND source_files > 0 AND NOT tested AND NOT swapped AS viable FROM b""")
+def pull_screen(spark, sf):
+    url = lambda k: F.concat(F.lit("https://github.com/owner/repo/pull/"), k.cast("string"))
+    o = table(spark, sf, "orders").select(url(F.col("o_orderkey")).alias("url"), "o_orderstatus", "o_orderpriority", "o_custkey")
+    pulls = o.select("url", F.lit("Support the new library").alias("title"), F.when(F.col("o_orderstatus") != "P", "1996-01-02T03:04:05Z").alias("merged_at"))
+    kind = F.col("l_partkey") % 7
+    name = F.when(kind == 0, "src/core.py").when(kind == 1, "tests/test_core.py").when(kind == 2, "docs/guide.rst").when(kind == 3, "setup.py").when(kind == 4, "requirements.txt").otherwise("CHANGES")
+    lib = lambda c: F.concat(F.lit("lib"), (c % 3).cast("string"))
+    patch = F.when(kind.isin(3, 4), F.concat(F.lit('--- a/other==1\n+++ b/other==2\n "context>=1"\n-'), lib(F.col("l_orderkey") + F.col("l_linenumber")), F.lit(">=1\n+'"), lib(F.col("l_suppkey")), F.lit("==2',\n")))
+    files = table(spark, sf, "lineitem").select(url(F.col("l_orderkey")).alias("url"), F.col("l_linenumber").alias("ix"), name.alias("filename"), F.col("l_quantity").cast("int").alias("additions"), F.col("l_linenumber").alias("deletions"), patch.alias("patch"))
+    p = F.col("o_orderpriority")
+    path = F.when(p == "1-URGENT", ".github/workflows/ci.yml").when(p == "2-HIGH", "tox.ini").when(p == "5-LOW", ".travis.yml").otherwise("tox.ini.bak")
+    every = lambda n, text: F.when(F.col("o_custkey") % n == 0, text).otherwise("")
+    python = F.concat(F.lit("python-version:\n  - '3.5'\n"), F.when(F.col("o_custkey") % 2 == 1, "  - '3.9'\n").otherwise(""))
+    body = F.concat(F.lit("matrix:\n"), python, F.lit("lib1-version:\n  - 1.0\n"), every(3, "  - 2.0\n"), every(5, "envlist = py-lib20\n"), every(7, "services:\n"))
+    out = sn.screen(pulls, files, o.select("url", path.alias("path"), body.alias("body")))
+    return out.select("number", "package", "source_files", "source_lines", "test_files", "test_lines", F.array_join("blockers", ",").alias("blockers"), F.array_join("notes", ",").alias("notes"), "viable")

@@ -73,9 +73,11 @@ def route(value: Column) -> Column:
     return F.when(value.isNull(), "not recorded").when(value == "", "direct").otherwise(value)
 
 
-def chargeable(known: Column, cost: Column, cap: Column) -> Column:
-    """The cost if known, else the most it can have been."""
-    return F.when(known, cost).otherwise(cap)
+def chargeable(known: Column, cost: Column, cap: Column, sunk: Column | None = None) -> Column:
+    """The cost if known, else the most it can have been. With ``sunk``, what earlier attempts of the cell cost, it
+    comes on top, and an attempt that left no record costs nothing more."""
+    own = F.when(known, cost).otherwise(cap)
+    return own if sunk is None else F.coalesce(sunk, F.lit(0.0)) + F.coalesce(own, F.lit(0.0))
 
 
 def priced(input_: Column, output: Column, cache_read: Column, cache_write: Column, in_price: Column, out_price: Column) -> Column:

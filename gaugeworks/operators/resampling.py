@@ -34,9 +34,9 @@ def _bounds(draws: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
     return out.select(*by, "point", F.expr("s[lo]").alias("low"), F.expr("s[hi]").alias("high"), "n", (F.element_at("s", 1) == F.element_at("s", -1)).alias("degenerate"), (F.col("m")).alias("draws"))
 
 
-def _resample(cells: DataFrame, by: Sequence[str], values: Sequence[str], statistic: Callable, n_boot: int, alpha: float, seed: int) -> DataFrame:
+def _resample(cells: DataFrame, by: Sequence[str], values: Sequence[str], statistic: Callable, n_boot: int, alpha: float, seed: int, strict: bool = True) -> DataFrame:
     """cells: by, values, c (rows of the cell). The cells of a group, few by contract, meet in a task for each
-    slice of replicates. Draws without a value are left out; if they are more than half, that is an error."""
+    slice of replicates. Draws without a value are left out; if they are more than half, that is an error, or without ``strict`` no row."""
     by = list(by)
     sizes = cells.groupBy(*by).agg(F.count("*").alias("_cells"))
     cells = cells.join(sizes, by) if by else cells.crossJoin(F.broadcast(sizes))  # without groups one row
@@ -58,6 +58,8 @@ def _resample(cells: DataFrame, by: Sequence[str], values: Sequence[str], statis
         return out[np.isfinite(out["draw"])]
 
     draws = sliced.groupBy(*by, "slice").applyInPandas(run, f"{fields + ', ' if by else ''}draw double, point double, n bigint")
+    if not strict:
+        return _bounds(draws, by, alpha).where(F.col("draws") * 2 >= n_boot)
     enough = F.when(F.col("draws") * 2 >= n_boot, F.lit(True)).otherwise(F.raise_error(F.lit("the statistic has no value for more than half of the draws")).cast("boolean"))
     return _bounds(draws, by, alpha).where(enough)
 
@@ -159,10 +161,10 @@ def _kappa(counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return float("nan") if chance >= 1 else float((same - chance) / (1 - chance))
 
 
-def kappa_interval(df: DataFrame, by: Sequence[str], a: str, b: str, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def kappa_interval(df: DataFrame, by: Sequence[str], a: str, b: str, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, strict: bool = True) -> DataFrame:
     """As bootstrap_mean, of Cohen's kappa over pairs of verdicts; draws without a kappa are left out."""
     cells = paired(df, a, b).groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
-    return _resample(cells, by, ["a", "b"], _kappa, n_boot, alpha, seed)
+    return _resample(cells, by, ["a", "b"], _kappa, n_boot, alpha, seed, strict)
 
 
 def seeded_mean(df: DataFrame, by: Sequence[str], x: str, order: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0, most: int = 10_000) -> DataFrame:

@@ -25,12 +25,13 @@ def clusters(states: DataFrame, key: str = "key") -> DataFrame:
     return each.select("key", "id", message.alias("message")).groupBy("key", "message").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def score(runs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def score(runs: DataFrame, findings: DataFrame | None = None, lists: bool = False) -> DataFrame:
     """One row per run. runs: key, before and after (struct ok, failed_ids, errors, suppressed, reason, exit_code),
     interrupted (string, empty if not), changed_files.
 
     Gates: a before-state without verdict, one without failures, an interruption, an after-state without verdict; then
-    progress. Findings are attached whatever gate a run stops at; a run without findings has empty lists."""
+    progress. Findings are attached whatever gate a run stops at; a run without findings has empty lists. ``lists`` adds
+    cheats and warnings: the findings themselves (kind, path, line, detail), in listing order, where ``findings`` are those of the detectors."""
     b, a = F.col("before"), F.col("after")
     was, now = b["failed_ids"], a["failed_ids"]
     gate = (
@@ -59,6 +60,15 @@ def score(runs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     else:
         by = findings.groupBy("key").agg(F.count_if(F.col("severity") == CHEAT).alias("n_cheats"), F.count_if(F.col("severity") != CHEAT).alias("n_warnings"), F.array_sort(F.collect_set("kind")).alias("kinds"))
         out = out.join(by, "key", "left").na.fill(0, ["n_cheats", "n_warnings"]).withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    if lists and findings is not None:
+        place, shown = ["detector_ix", "file_ix", "line", "kind"], ["kind", "path", "line", "detail"]
+        of = lambda bad: F.array_sort(F.collect_list(F.when(bad, F.struct(F.struct(*place).alias("at"), F.struct(*shown).alias("f")))))
+        cheat = F.col("severity") == CHEAT
+        each = findings.groupBy("key").agg(of(cheat).alias("cheats"), of(~cheat).alias("warnings"))
+        # A run's findings are of one diff, which is one text.
+        each = each.withColumns({c: F.transform(c, lambda x: x["f"]) for c in ("cheats", "warnings")})
+        none = F.array().cast(each.schema["cheats"].dataType)
+        out = out.join(each, "key", "left").withColumns({c: F.coalesce(c, none) for c in ("cheats", "warnings")})
     out = out.withColumn("is_clean", F.col("n_cheats") == 0)
     return out.withColumn("credible_progress", F.when(F.col("valid") & F.col("is_clean"), F.col("progress")).otherwise(0.0))
 

@@ -68,8 +68,8 @@ def occurrence(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     return scans.running_sum(df, by, order, F.lit(1), name)
 
 
-def latest(df: DataFrame, by: Sequence[str], of: str, at: str) -> DataFrame:
-    """Adds superseded: whether the row's ``of`` is not the one that its key had last (of equal times, the least)."""
+def latest(df: DataFrame, by: Sequence[str], of: str, at: str, listed: str | None = None) -> DataFrame:
+    """Adds superseded: whether the row's ``of`` is not the one that its key had last: of equal times, the least, or with ``listed`` the first by that."""
     times = df.groupBy(*by).agg(F.max(at).alias("_at"))
-    best = df.join(times, list(by)).where(F.col(at) == F.col("_at")).groupBy(*by).agg(F.min(of).alias("_last"))
+    best = df.join(times, list(by)).where(F.col(at) == F.col("_at")).groupBy(*by).agg((F.min(of) if listed is None else F.min_by(of, F.struct(listed, of))).alias("_last"))
     return df.join(best, list(by)).withColumn("superseded", F.col(of) != F.col("_last")).drop("_last")

@@ -15,6 +15,7 @@ from ..functions import labels as lb
 from ..functions.intervals import wilson
 from ..functions.text import is_blank
 from ..operators import agreement as ag
+from ..operators import resampling as rs
 from ..operators.sequences import upper_median_by
 from . import rates
 
@@ -26,6 +27,8 @@ OUTCOME_CLASSES = {
 }
 READ_TOOLS = ("list_files", "read_file", "search_code")
 WRITE_TOOLS = ("edit_file", "write_file", "create_file")
+#: Fixed value: the verdict of a pair that its reader passes over.
+SKIPPED = "skip"
 #: Days between a label and its second reading; least rows of an arm that is compared.
 RETEST_DAYS, LEAST_ARM = 7, 8
 
@@ -62,10 +65,16 @@ def flag_rates(r: DataFrame) -> DataFrame:
     return rates.rate_by(r.where("detectable and not is_smoke_test"), ["model_id"], F.col("flagged"))
 
 
-def model_differences(r: DataFrame) -> DataFrame:
-    """Differences of flag rates of models with enough runs."""
+def family(model: Column, families: dict[str, str]) -> Column:
+    """A model's family by the registry of them; a model that isn't there is its own."""
+    return F.coalesce(lb.mapped(model, families), model) if families else model
+
+
+def model_differences(r: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """Differences of flag rates of models with enough runs; with ``families`` (model to family) also within_family: whether both are of one."""
     enough = r.where("not is_smoke_test").groupBy("model_id").agg(F.count("*").alias("runs")).where(F.col("runs") >= LEAST_ARM)
-    return rates.differences(flag_rates(r).join(enough.select("model_id"), "model_id", "left_semi"), "model_id")
+    out = rates.differences(flag_rates(r).join(enough.select("model_id"), "model_id", "left_semi"), "model_id")
+    return out if families is None else out.withColumn("within_family", family(F.col("first"), families) == family(F.col("second"), families))
 
 
 def denominators(r: DataFrame) -> DataFrame:
@@ -78,9 +87,10 @@ def denominators(r: DataFrame) -> DataFrame:
     return out.withColumns({"narrow": wilson(F.col("k_narrow"), F.col("n_narrow")), "broad": wilson(F.col("k_broad"), F.col("n_broad"))})
 
 
-def measured(r: DataFrame) -> DataFrame:
-    """One row: distinct cells, tasks, models, and the sum of the costs that are known (null if none is)."""
-    return r.agg(F.count("*").alias("runs"), F.count_distinct("task_id", "config_version").alias("cells"), F.count_distinct("task_id").alias("tasks"), F.count_distinct("model_id").alias("models"), F.sum(F.when(F.col("cost_known"), F.col("cost_usd"))).alias("cost"))
+def measured(r: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """One row: distinct cells, tasks, models, with ``families`` also these, and the sum of the costs that are known (null if none is)."""
+    of = [] if families is None else [F.count_distinct(family(F.col("model_id"), families)).alias("families")]
+    return r.agg(F.count("*").alias("runs"), F.count_distinct("task_id", "config_version").alias("cells"), F.count_distinct("task_id").alias("tasks"), F.count_distinct("model_id").alias("models"), *of, F.sum(F.when(F.col("cost_known"), F.col("cost_usd"))).alias("cost"))
 
 
 def outcome_classes(r: DataFrame) -> DataFrame:
@@ -145,6 +155,44 @@ def calibration(long: DataFrame, truth: str = "human") -> DataFrame:
     return seven.unionByName(ag.agreement(two, "a", "b", ["rater"]).withColumn("classes", F.lit(2))).withColumns({"band": lb.kappa_band(F.col("kappa")), "standing": F.when(F.col("classes") == 2, lb.standing(F.col("kappa")))})
 
 
+def calibration_intervals(long: DataFrame, truth: str = "human", n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``calibration`` with kappa's interval in its row: kappa_low and kappa_high, null where more than half of the draws have no kappa."""
+    a = long.where(F.col("rater") == truth).select("id", F.col("verdict").alias("a"))
+    both = long.where(F.col("rater") != truth).select("id", "rater", F.col("verdict").alias("b")).join(a, "id")
+    kinds = F.explode(F.array(F.struct(F.lit(7).alias("classes"), F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.lit(2).alias("classes"), *(F.coalesce(lb.collapse(F.col(x)), F.col(x)).alias(x) for x in "ab"))))
+    cut = rs.kappa_interval(both.select("rater", kinds.alias("k")).select("rater", "k.*"), ["rater", "classes"], "a", "b", n_boot, alpha, seed, strict=False)
+    return calibration(long, truth).join(cut.select("rater", "classes", F.col("low").alias("kappa_low"), F.col("high").alias("kappa_high")), ["rater", "classes"], "left")
+
+
+def calibration_progress(pairs: DataFrame, judges: Sequence[str], sampled: DataFrame) -> DataFrame:
+    """One row: pairs, labelled, skipped, usable, judged (by judge, of the usable), sampled and retested (ids read again), and whether it is all complete.
+
+    pairs: id, human (agent_relative, neutral), relabel, judge (by alias). sampled: id of the pairs to be read again."""
+    own = pairs.join(sampled.select("id").distinct().withColumn("_sampled", F.lit(True)), "id", "left")
+    labelled = F.col("human").isNotNull()
+    usable = labelled & ~F.coalesce(F.col("human.neutral") == SKIPPED, F.lit(False))
+    out = own.agg(
+        F.count("*").alias("pairs"), F.count_if(labelled).alias("labelled"), F.count_if(labelled & ~usable).alias("skipped"), F.count_if(usable).alias("usable"),
+        F.create_map(*(x for j in judges for x in (F.lit(j), F.count_if(usable & F.coalesce(F.map_contains_key("judge", j), F.lit(False)))))).alias("judged"),
+        F.count("_sampled").alias("sampled"), F.count_if(F.col("_sampled").isNotNull() & F.col("relabel").isNotNull()).alias("retested"),
+    )
+    done = (F.col("labelled") == F.col("pairs")) & F.forall(F.map_values("judged"), lambda n: n == F.col("usable")) & (F.col("sampled") > 0) & (F.col("retested") == F.col("sampled"))
+    return out.withColumn("complete", (F.col("labelled") > 0) & done)
+
+
+def headline(calibrated: DataFrame, progress: DataFrame) -> DataFrame:
+    """The judges' rows of two classes once ``progress`` is complete, and none before: band is inconclusive without a kappa."""
+    own = calibrated.where("classes = 2").select("rater", "n", "kappa", "kappa_low", "kappa_high", F.coalesce("standing", F.lit("inconclusive")).alias("band"))
+    return own.crossJoin(F.broadcast(progress.select("complete"))).where("complete").drop("complete")  # one row
+
+
+def allowances(calls: DataFrame, assumed: int) -> DataFrame:
+    """By judge: limits (the distinct output limits of its calls, ``assumed`` where none is on record) and recorded (whether all are).
+    calls: judge, max_tokens."""
+    limits = F.array_sort(F.collect_set(F.coalesce("max_tokens", F.lit(assumed))))
+    return calls.groupBy("judge").agg(limits.alias("limits"), F.bool_and(F.col("max_tokens").isNotNull()).alias("recorded"))
+
+
 def too_early(pairs: DataFrame) -> DataFrame:
     """Pairs read a second time within less than seven days, with the whole days between."""
     at = lambda c: F.to_timestamp(F.col(c))
@@ -158,14 +206,19 @@ def retest_opens(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pending.groupBy(*by).agg((F.max(F.to_timestamp("human.at")) + F.expr(f"interval {RETEST_DAYS} days")).alias("opens"), F.count("*").alias("pending"))
 
 
-def position_bias(pairs: DataFrame) -> DataFrame:
-    """One row: the deficient rate of verdicts by the agent's position, and their difference."""
+def position_bias(pairs: DataFrame, strict: bool = False) -> DataFrame:
+    """One row: the deficient rate of verdicts by the agent's position, and their difference: null if no verdict has the
+    one position. ``strict`` makes that an error, as is a verdict at another position."""
     from ..functions.intervals import newcombe
 
     bad = lb.collapse(F.col("human.agent_relative")) == "deficient"
     at = lambda p: F.col("agent_position") == p
-    out = pairs.where(bad.isNotNull()).agg(F.count_if(at("a") & bad).alias("k1"), F.count_if(at("a")).alias("n1"), F.count_if(at("b") & bad).alias("k2"), F.count_if(at("b")).alias("n2"))
-    return out.withColumn("difference", newcombe(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2")))
+    judged = pairs.where(bad.isNotNull())
+    if strict:
+        known = F.coalesce(F.col("agent_position").isin("a", "b"), F.lit(False))
+        judged = judged.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("a position is a or b, not "), F.coalesce("agent_position", F.lit("null")))).cast("boolean")))
+    out = judged.agg(F.count_if(at("a") & bad).alias("k1"), F.count_if(at("a")).alias("n1"), F.count_if(at("b") & bad).alias("k2"), F.count_if(at("b")).alias("n2"))
+    return out.withColumn("difference", newcombe(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"), strict=strict))
 
 
 def pending_cells(matrix: DataFrame, docs_usable: DataFrame, name: Column | str = "name") -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import detectors as dt
 from ..operators import judging as jd
 from ..operators import sampling as sm
 from ..operators import scoring as sc
+from ..operators import sequences as sq
 from ..sources import records as rc
 from ..sources import reports as src
 from . import rates
@@ -499,3 +500,101 @@ def pull_screen(spark, sf):
     body = F.concat(F.lit("matrix:\n"), python, F.lit("lib1-version:\n  - 1.0\n"), every(3, "  - 2.0\n"), every(5, "envlist = py-lib20\n"), every(7, "services:\n"))
     out = sn.screen(pulls, files, o.select("url", path.alias("path"), body.alias("body")))
     return out.select("number", "package", "source_files", "source_lines", "test_files", "test_lines", F.array_join("blockers", ",").alias("blockers"), F.array_join("notes", ",").alias("notes"), "viable")
+
+
+# Families, calibration's state, allowances, charges, replaced configurations, findings of a score
+
+_FAMILIES = {"AUTOMOBILE": "machines", "MACHINERY": "machines", "HOUSEHOLD": "rooms", "FURNITURE": "rooms"}
+_FAMILY = "CASE WHEN {0} IN ('AUTOMOBILE', 'MACHINERY') THEN 'machines' WHEN {0} IN ('HOUSEHOLD', 'FURNITURE') THEN 'rooms' ELSE {0} END"
+
+
+@query(f"""WITH {_RUNS}, t AS ({_FLAGS}), p AS (SELECT a.model_id AS first, b.model_id AS second, a.k AS k1, a.n AS n1, b.k AS k2, b.n AS n2 FROM t a JOIN t b ON a.model_id < b.model_id)
+SELECT first, second, k1, n1, k2, n2, round({_D},6) AS difference, round({_DLO},6) AS low, round({_DHI},6) AS high, ({_DLO}) > 0 OR ({_DHI}) < 0 AS established, {_FAMILY.format("first")} = {_FAMILY.format("second")} AS within_family FROM p""")
+def run_family_differences(spark, sf):
+    return rounded(rv.model_differences(_runs(spark, sf), _FAMILIES), "difference", "low", "high")
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS runs, count(DISTINCT (task_id, config_version)) AS cells, count(DISTINCT task_id) AS tasks, count(DISTINCT model_id) AS models, count(DISTINCT {_FAMILY.format('model_id')}) AS families, round(sum(cost) FILTER (cost_known), 3) AS cost FROM R")
+def run_measured_families(spark, sf):
+    return rv.measured(_runs(spark, sf), _FAMILIES).withColumn("cost", F.round("cost", 3))
+
+
+def _read_pairs(spark, sf) -> DataFrame:
+    """Each language's labels as a file of pairs would hold them: not all are read, some are passed over, the second judge misses one language."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    k, good = F.col("doc_id"), F.col("quality") == 1
+    human = F.struct(F.when(good, "equivalent").otherwise("agent_narrower").alias("agent_relative"), F.when(k % 9 == 0, "skip").otherwise("x").alias("neutral"), F.lit("").alias("at"))
+    verdict = F.struct(F.when(F.col("toxic") == 0, "agent_wider").otherwise("agent_wrong").alias("verdict"))
+    relabel = F.struct(F.when(k % 4 == 0, "equivalent").otherwise("agent_wrong").alias("agent_relative"), F.lit("").alias("at"))
+    return docs.select(
+        "lang", k.alias("id"), F.when((F.col("lang") != "de") | (k % 2 == 0), human).alias("human"), F.when((k % 8 == 0) | ((F.col("lang") == "en") & (k % 4 == 0)), relabel).alias("relabel"),
+        F.when((F.col("lang") != "fr"), F.create_map(F.lit("j1"), verdict, F.lit("j2"), verdict)).otherwise(F.create_map(F.lit("j1"), verdict)).alias("judge"),
+    )
+
+
+_READ = """p AS (SELECT doc_id AS k, lang, quality, toxic, lang IS DISTINCT FROM 'de' AND lang IS NOT NULL OR doc_id % 2 = 0 AS labelled, doc_id % 9 = 0 AS skips, doc_id % 8 = 0 OR (coalesce(lang = 'en', FALSE) AND doc_id % 4 = 0) AS again,
+coalesce(lang <> 'fr', FALSE) AS two FROM labels JOIN documents USING (doc_id))"""
+
+
+@query(f"""WITH {_READ}, c AS (SELECT l.lang, count(*) AS pairs, count(*) FILTER (labelled) AS labelled, count(*) FILTER (labelled AND skips) AS skipped, count(*) FILTER (labelled AND NOT skips) AS usable,
+count(*) FILTER (labelled AND NOT skips) AS judged_1, count(*) FILTER (labelled AND NOT skips AND two) AS judged_2, count(*) FILTER (k % 4 = 0) AS sampled, count(*) FILTER (k % 4 = 0 AND again) AS retested
+FROM (VALUES ('en'), ('de'), ('fr')) l(lang) LEFT JOIN p ON p.lang = l.lang GROUP BY 1)
+SELECT * , coalesce(pairs > 0 AND labelled > 0 AND labelled = pairs AND judged_1 = usable AND judged_2 = usable AND sampled > 0 AND retested = sampled, FALSE) AS complete FROM c""")
+def calibration_progress(spark, sf):
+    """What is done of three languages' calibrations, a row each; complete where all pairs are read, judged, and a quarter is read again."""
+    every, out = _read_pairs(spark, sf), None
+    for lang in ("en", "de", "fr"):  # three files of labels
+        pairs = every.where(F.col("lang") == lang)
+        one = rv.calibration_progress(pairs, ["j1", "j2"], pairs.where("id % 4 = 0")).withColumn("lang", F.lit(lang))
+        out = one if out is None else out.unionByName(one)
+    return out.select("lang", "pairs", "labelled", "skipped", "usable", F.col("judged")["j1"].alias("judged_1"), F.col("judged")["j2"].alias("judged_2"), "sampled", "retested", "complete")
+
+
+@query()
+def calibration_headline(spark, sf):
+    """Kappas of two classes with their intervals, of the language whose calibration is complete."""
+    pairs = _read_pairs(spark, sf).where("lang = 'en'")
+    usable = pairs.where("human.neutral <> 'skip'")
+    cut = rv.calibration_intervals(rv.labels_long(usable).where("rater <> 'relabel'"))
+    return rounded(rv.headline(cut, rv.calibration_progress(pairs, ["j1", "j2"], pairs.where("id % 4 = 0"))), "kappa", "kappa_low", "kappa_high")
+
+
+@query("""SELECT source AS judge, array_to_string(list_sort(list(DISTINCT coalesce(CASE WHEN doc_id % 50 > 0 THEN (doc_id % 3 + 1) * 1000 END, 4096))), ',') AS limits, bool_and(doc_id % 50 > 0) AS recorded FROM documents GROUP BY 1""")
+def judge_allowances(spark, sf):
+    k = F.col("doc_id")
+    calls = table(spark, sf, "documents").select(F.col("source").alias("judge"), F.when(k % 50 > 0, (k % 3 + 1) * 1000).alias("max_tokens"))
+    return rv.allowances(calls, 4096).withColumn("limits", F.array_join("limits", ","))
+
+
+@query("""SELECT o_custkey AS cell, round(sum(coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 10 END, 0) + CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderkey % 3 = 0 THEN 1000 ELSE o_totalprice END), 2) AS charged FROM orders GROUP BY 1""")
+def charged_costs(spark, sf):
+    """What cells are charged: earlier attempts' costs on top, the cap where a cost is unknown, nothing where there is no record."""
+    k, there = F.col("o_orderkey"), F.col("o_orderstatus") != "P"
+    sunk = F.when(k % 4 == 0, F.col("o_totalprice") / 10)
+    charged = lb.chargeable(F.when(there, k % 3 != 0), F.when(there, F.col("o_totalprice")), F.when(there, 1000.0), sunk)
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cell")).agg(F.round(F.sum(charged), 2).alias("charged"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, ts::DATE AS day FROM events), l AS (SELECT user_id, arg_min(event_type, event_id) AS last FROM (SELECT *, max(day) OVER (PARTITION BY user_id) AS top FROM e) WHERE day = top GROUP BY 1)
+SELECT event_type AS config, count(*) FILTER (event_type <> last) AS stale, count(*) AS n FROM e JOIN l USING (user_id) GROUP BY 1""")
+def replaced_configurations(spark, sf):
+    """Records of configurations that a later day replaced; of one day, the first listed counts as the last written."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.to_date("ts").alias("day"))
+    marked = sq.latest(e, ["user_id"], "event_type", "day", listed="event_id")
+    return marked.groupBy(F.col("event_type").alias("config")).agg(F.count_if("superseded").alias("stale"), F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT user_id AS key, event_id AS nr, event_type, event_type || ':' || (event_id % 9) AS shown FROM events WHERE event_type IN ('error', 'click'))
+SELECT user_id AS key, coalesce(cheats, '') AS cheats, coalesce(warnings, '') AS warnings FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT key, string_agg(shown, ',' ORDER BY nr) FILTER (event_type = 'error') AS cheats,
+string_agg(shown, ',' ORDER BY nr) FILTER (event_type = 'click') AS warnings FROM f GROUP BY 1) ON key = user_id""")
+def score_findings(spark, sf):
+    """A score's findings themselves, in listing order."""
+    e, kind = table(spark, sf, "events"), F.col("event_type")
+    state = F.struct(F.lit(True).alias("ok"), F.array(F.lit("t")).alias("failed_ids"), F.create_map(F.lit("t"), F.lit("E")).alias("errors"), F.lit(0).alias("suppressed"), F.lit("").alias("reason"), F.lit(0).alias("exit_code"))
+    runs = e.select(F.col("user_id").alias("key")).distinct().withColumns({"before": state, "after": state, "interrupted": F.lit(""), "changed_files": F.array().cast("array<string>")})
+    found = e.where(kind.isin("error", "click")).select(
+        F.col("user_id").alias("key"), F.lit(1).alias("detector_ix"), F.lit(1).alias("file_ix"), F.lit("f").alias("path"), F.col("event_id").alias("line"), kind.alias("kind"),
+        F.when(kind == "error", dt.CHEAT).otherwise(dt.WARNING).alias("severity"), (F.col("event_id") % 9).cast("string").alias("detail"),
+    )
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["kind"], F.lit(":"), x["detail"])), ",")
+    return sc.score(runs, found, lists=True).select("key", shown("cheats").alias("cheats"), shown("warnings").alias("warnings"))

@@ -46,9 +46,8 @@ def pins(files: DataFrame) -> DataFrame:
     return named.groupBy("url").agg(of("-").alias("removed"), of("+").alias("added"), F.min_by("bound", F.when(F.col("bound").isNotNull(), F.struct("ix", "at"))).alias("package"))
 
 
-def both_versions(body: Column, package: Column) -> Column:
-    """Lines of a declaration that run against more than one version of the package: a matrix entry with two values or more, or a list of factors."""
-    lines = tx.lines(body)
+def both_versions(body: Column, lines: Column, package: Column) -> Column:
+    """Those of a declaration's lines that run against more than one version of the package: a matrix entry with two values or more, or a list of factors."""
     token = F.concat(F.lit(r"(?i)\Q"), package, F.lit(r"\E"))
 
     def shown(line: Column, i: Column) -> Column:
@@ -77,11 +76,11 @@ def screen(pulls: DataFrame, files: DataFrame, base: DataFrame) -> DataFrame:
     named = own.join(sizes, "url", "left").na.fill(0, ["source_files", "source_lines", "test_files", "test_lines"]).join(pins(files), "url", "left")
     named = named.withColumn("package", F.coalesce("package", F.lower(_part(F.col("title"), TITLE_NAME)), F.lit("")))
     is_ci = F.exists(F.array(*map(F.lit, CI_PATHS)), lambda c: (F.col("path") == c) | F.startswith(F.col("path"), F.concat(c, F.lit("/"))))
-    ci = base.where(is_ci & (F.coalesce("body", F.lit("")) != "")).select("url", "path", "body").join(named.select("url", "package"), "url")
+    ci = base.where(is_ci & (F.coalesce("body", F.lit("")) != "")).select("url", "path", "body", tx.lines(F.col("body")).alias("lines")).join(named.select("url", "package"), "url")
     ci = ci.select(
         "url", F.regexp_extract_all(F.regexp_extract("body", PYTHON_SECTION, 1), F.lit(PYTHON_VERSION), F.lit(1)).alias("versions"),
         F.filter(F.array(*map(F.lit, SERVICES)), lambda s: F.contains(F.lower("body"), s)).alias("services"),
-        F.transform(both_versions(F.col("body"), F.col("package")), lambda x: F.concat("path", F.lit(": "), x)).alias("evidence"),
+        F.transform(both_versions(F.col("body"), F.col("lines"), F.col("package")), lambda x: F.concat("path", F.lit(": "), x)).alias("evidence"),
     )
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     ci = ci.groupBy("url").agg(every("versions").alias("python_versions"), every("services").alias("services"), every("evidence").alias("evidence"))

@@ -91,3 +91,47 @@ def test_fingerprints_are_of_what_changes_a_run(spark):
     assert len({r.a for r in rows[:4]}) == 1 == len({r.b for r in rows[:4]}) and len({r.a for r in rows[:11]}) == 8
     assert rows[10].b == rows[0].b and len({r.b for r in rows[:11]}) == 7
     assert all(r.a is None and r.b is None for r in rows[11:])
+
+
+def _pairs(spark, human, relabelled=0, judges=("j",)):
+    pairs = [(i, (h, n) if h else None, (h, n) if i < relabelled else None, {j: {"verdict": "equivalent"} for j in judges}) for i, (h, n) in enumerate(human)]
+    s = "struct<agent_relative:string, neutral:string>"
+    return spark.createDataFrame(pairs, f"id int, human {s}, relabel {s}, judge map<string, struct<verdict:string>>")
+
+
+def test_calibration_is_published_when_complete(spark):
+    read = [("equivalent", "x"), ("agent_wrong", "x"), ("equivalent", "skip"), ("agent_wrong", None)]
+    p = _pairs(spark, read, 1)
+    two, none = p.where("id < 1"), p.where("id < 0")
+    got = rp.calibration_progress(p, ["j"], two).first()
+    assert (got.pairs, got.labelled, got.skipped, got.usable, got.judged, got.sampled, got.retested, got.complete) == (4, 4, 1, 3, {"j": 3}, 1, 1, True)
+    for pairs, judges, sampled in ((p, ["j", "k"], two), (p, ["j"], none), (p, ["j"], p.where("id < 2")), (_pairs(spark, [*read, (None, None)], 1), ["j"], two), (none, ["j"], none)):
+        assert not rp.calibration_progress(pairs, judges, sampled).first().complete
+    cut = rp.calibration(rp.labels_long(p)).withColumns({"kappa_low": F.lit(0.0), "kappa_high": F.lit(1.0)})
+    assert rp.headline(cut, rp.calibration_progress(p, ["j"], two)).count() == cut.where("classes = 2").count() > 0
+    assert rp.headline(cut, rp.calibration_progress(p, ["j"], none)).count() == 0
+
+
+def test_intervals_stand_beside_kappas(spark):
+    rows = [(i, r, v) for i in range(40) for r, v in (("human", "equivalent" if i % 2 else "agent_wrong"), ("good", "agent_wider" if i % 2 else "agent_wrong"), ("one", "equivalent"), ("mute", "unclear"))]
+    rows += [(i, "same", "equivalent") for i in range(1, 40, 2)]  # meets one class only: no kappa in any draw
+    got = {(r.rater, r.classes): r for r in rp.calibration_intervals(spark.createDataFrame(rows, "id int, rater string, verdict string"), n_boot=200).collect()}
+    assert (got["good", 2].kappa, got["good", 2].kappa_low, got["good", 2].kappa_high) == (1.0, 1.0, 1.0)
+    assert got["good", 7].kappa_low < got["good", 7].kappa < got["good", 7].kappa_high
+    assert got["one", 2].kappa == 0.0 and got["same", 2].kappa_low is None and got["mute", 2].n == 0 and got["mute", 2].kappa_low is None
+
+
+def test_an_empty_arm_is_an_error_if_asked(spark):
+    p = spark.createDataFrame([("a", ("equivalent",)), ("a", ("agent_wrong",)), ("b", ("unclear",))], "agent_position string, human struct<agent_relative:string>")
+    assert rp.position_bias(p).first().difference is None
+    with pytest.raises(Exception, match="0 successes of 0"):
+        rp.position_bias(p, strict=True).collect()
+    with pytest.raises(Exception, match="a position is a or b, not c"):
+        rp.position_bias(p.withColumn("agent_position", F.lit("c")), strict=True).collect()
+
+
+def test_families_and_allowances(spark, runs):
+    assert [r.within_family for r in rp.model_differences(runs, {"m1": "m2"}).collect()] == [True]
+    assert [r.within_family for r in rp.model_differences(runs, {}).collect()] == [False] and rp.measured(runs, {"m1": "f"}).first().families == 2
+    calls = spark.createDataFrame([("a", 100), ("a", None), ("b", 7), ("b", 7), ("b", 5)], "judge string, max_tokens int")
+    assert {r.judge: (r.limits, r.recorded) for r in rp.allowances(calls, 50).collect()} == {"a": ([50, 100], False), "b": ([5, 7], True)}

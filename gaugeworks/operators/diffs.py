@@ -60,10 +60,14 @@ def unquoted(paths: pd.Series) -> pd.Series:
     return paths.map(one)
 
 
-def _path(raw: Column) -> Column:
+def _named(raw: Column) -> Column:
+    """The part of a header that names a path, in its quotes if it has any."""
+    return F.trim(F.when(raw.startswith('"'), F.regexp_extract(raw, r'^(".*")', 1)).otherwise(F.element_at(F.split(raw, "\t"), 1)))
+
+
+def _path(raw: Column, quotes: bool = True) -> Column:
     """A header's path without its side's prefix."""
-    bare = F.when(raw.startswith('"'), F.regexp_extract(raw, r'^(".*")', 1)).otherwise(F.element_at(F.split(raw, "\t"), 1))
-    plain = F.when(F.trim(bare).startswith('"'), unquoted(F.trim(bare))).otherwise(F.trim(bare))
+    plain = unquoted(_named(raw)) if quotes else _named(raw)
     return F.when(plain == "/dev/null", plain).otherwise(F.regexp_replace(plain, "^[ab]/", ""))
 
 
@@ -71,13 +75,15 @@ def _git_paths(rest: Column) -> tuple[Column, Column]:
     """Old and new path of a `diff --git` line: of the cuts at ` b/` the one that makes both equal, else the first and the last."""
     same = F.regexp_extract(rest, r"^a/(.+) b/\1$", 1)
     quoted = r'^("(?:[^"\\]|\\.)*"|a/.*?) ("(?:[^"\\]|\\.)*"|b/.*)$'
-    old = F.when(same != "", same).when(rest.contains('"'), _path(F.regexp_extract(rest, quoted, 1))).otherwise(_path(F.regexp_extract(rest, r"^(.*?) b/", 1)))
+    old = F.when(same != "", same).when(rest.contains('"'), _path(F.regexp_extract(rest, quoted, 1))).otherwise(_path(F.regexp_extract(rest, r"^(.*?) b/", 1), quotes=False))
     new = F.when(same != "", same).when(rest.contains('"'), _path(F.regexp_extract(rest, quoted, 2))).otherwise(F.regexp_extract(rest, r"^.* b/(.*)$", 1))
     return old, new
 
 
 #: What ends a line, as in functions.text.lines.
 _ENDS = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")
+#: Lines of diffs that are sent on at once.
+SEND_LINES = 10_000
 _FIELDS = [("ix", T.IntegerType()), ("raw", T.StringType()), ("role", T.StringType()), ("file_ix", T.IntegerType()), ("hunk_ix", T.IntegerType()), ("kind", T.StringType()), ("old_no", T.LongType()), ("new_no", T.LongType())]
 
 
@@ -92,11 +98,16 @@ def parse(df: DataFrame, key: str, diff: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                rows = list(_walk(text or ""))
-                cols = list(zip(*rows)) if rows else [[]] * len(types)
-                keys = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(list(c), t) for c, t in zip(cols, types))], schema.names)
+            rows, at = [], []
+            for k in range(batch.num_rows):
+                before = len(rows)
+                rows += _walk(batch.column(1)[k].as_py() or "")
+                at += [k] * (len(rows) - before)
+                # Small diffs go out together.
+                if rows and (len(rows) >= SEND_LINES or k == batch.num_rows - 1):
+                    keys = batch.column(0).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], schema.names)
+                    rows, at = [], []
 
     return src.mapInArrow(run, schema).withColumn("text", F.when(F.col("role") == "line", F.substring("raw", 2, 1 << 30)))
 
@@ -134,13 +145,16 @@ def files(parsed: DataFrame) -> DataFrame:
     is_git, meta = F.col("role") == "git", (F.col("role") == "meta") & (F.col("hunk_ix") == 0)
     at = lambda cond, value: F.max_by(F.when(cond, value), F.when(cond, F.col("ix")))
     starts = lambda s: meta & F.col("raw").startswith(s)
-    header = lambda s: starts(s) & (_path(F.substring("raw", 5, 1 << 30)) != "/dev/null")
+    header = lambda s: starts(s) & (F.col("named") != "/dev/null")
     any_ = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    none = lambda s: starts(s) & (_path(F.substring("raw", 5, 1 << 30)) == "/dev/null")
-    f = parsed.where(F.col("role") != "line").groupBy("key", "file_ix").agg(
+    none = lambda s: starts(s) & (F.col("named") == "/dev/null")
+    # Quotes are taken off once, whatever the header.
+    named = F.when(starts("--- ") | starts("+++ "), _named(F.substring("raw", 5, 1 << 30))).when(starts("rename from "), F.trim(F.substring("raw", 13, 1 << 30))).when(starts("rename to "), F.trim(F.substring("raw", 11, 1 << 30)))
+    side = F.regexp_replace("named", "^[ab]/", "")
+    f = parsed.where(F.col("role") != "line").withColumn("named", unquoted(named)).groupBy("key", "file_ix").agg(
         at(is_git, new).alias("git_new"), at(is_git, old).alias("git_old"),
-        at(header("--- "), _path(F.substring("raw", 5, 1 << 30))).alias("minus"), at(header("+++ "), _path(F.substring("raw", 5, 1 << 30))).alias("plus"),
-        at(starts("rename from "), unquoted(F.trim(F.substring("raw", 13, 1 << 30)))).alias("moved_from"), at(starts("rename to "), unquoted(F.trim(F.substring("raw", 11, 1 << 30)))).alias("moved_to"),
+        at(header("--- "), side).alias("minus"), at(header("+++ "), side).alias("plus"),
+        at(starts("rename from "), F.col("named")).alias("moved_from"), at(starts("rename to "), F.col("named")).alias("moved_to"),
         any_(starts("new file mode") | none("--- ")).alias("is_new"), any_(starts("deleted file mode") | none("+++ ")).alias("is_deleted"),
         any_(starts("Binary files ") | starts("GIT binary patch")).alias("is_binary"), any_(starts("rename from ") | starts("rename to ")).alias("is_rename"),
     )

@@ -179,9 +179,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
     table = rows.mapInArrow(run, schema).toArrow().sort_by("doc_id")  # bounded by per_class; 32 KB a row at most
     def unpack(x: bytes) -> np.ndarray:
-        return np.frombuffer(x[1:], "<u4").astype(np.int64) if x[:1] == b"s" else np.flatnonzero(np.unpackbits(np.frombuffer(x[1:], np.uint8), count=DIM))
+        return np.frombuffer(x, "<u4", offset=1) if x[:1] == b"s" else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, offset=1), count=DIM)).astype(np.uint32)
 
-    return fit([unpack(x) for x in table.column("flags").to_pylist()], table.column("quality").to_numpy())
+    return fit([unpack(x) for x in values(table.column("flags"))], table.column("quality").to_numpy())
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

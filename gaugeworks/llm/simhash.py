@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, mix, values, written
-from .components import connected_components
+from .components import Forest, connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bits of each byte value, most significant first.
@@ -130,27 +130,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, first: int, same: boo
             yield i, j, dist
 
 
-class Forest:
-    """Disjoint sets over hashable nodes; holds only nodes that were joined."""
-
-    def __init__(self) -> None:
-        self.up: dict = {}
-
-    def root(self, x):
-        up = self.up
-        while (p := up.get(x, x)) != x:
-            up[x] = up.get(p, p)
-            x = p
-        return x
-
-    def join(self, x, y) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def _tiles(classes: DataFrame, radius: int, ratio: float | None) -> tuple[DataFrame, list[int]]:
     """``classes`` with a column tile, and the differences of the tiles that may hold
     pairs within reach: by population counts, and by size where a ratio bounds it."""
@@ -332,7 +311,8 @@ def near_duplicates(
     compare = lambda of, **how: forest_links(of, reach(64 * lanes), reach(64), similarity, **how).select("u", "v").distinct()
     links = written(compare(nodes, each_pair=True), "links")
     checked = _checked(links, docs, words, similarity, small)
-    parts = connected_components(checked.where("good").select("u", "v"))
+    # Written, as several plans below read it.
+    parts = written(connected_components(checked.where("good").select("u", "v")), "parts")
     # Candidates that closed a circle were left out, and a link they were left out for may have failed: what a failed link
     # leaves apart is compared again, part against part, with every candidate checked.
     part = lambda of, end, name: of.join(parts.select(F.col("node").alias(end), F.col("component").alias("_c")), end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")

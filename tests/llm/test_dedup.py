@@ -113,6 +113,26 @@ def test_components_of_a_long_chain_a_star_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_edges_that_one_task_holds_are_settled_before_the_rounds(spark, monkeypatch):
+    """Jobs of the driver: a list that fits one task is written twice, however long its chains are."""
+    from gaugeworks.llm import components
+
+    rng, made = random.Random(3), []
+    edges = [(i, i + 1) for i in range(500)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
+    want = components.Forest()
+    for u, v in edges:
+        want.join(u, v)
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: made.append(name) or f(df, name))
+    for kind, of in (("bigint", int), ("string", "{:05d}".format)):
+        df = spark.createDataFrame([(of(u), of(v)) for u, v in edges], f"u {kind}, v {kind}")
+        for held in (components.HELD, 7):
+            made.clear()
+            got = {r.node: r.component for r in connected_components(df, held=held).collect()}
+            assert got == {of(x): of(want.root(x)) for x in nodes}
+            assert held == 7 or len(made) == 2
+
+
 @pytest.mark.parametrize("how", [{}, {"block": 3}, {"block": 3, "digest": lambda b: F.length(b)}, {"block": 1, "digest": lambda b: F.lit(1)}])
 def test_exact_duplicates_equal_brute_force(spark, how):
     rows = corpus(2, 120 if how else 300) + [(900, None), (901, ""), (902, " \n\t"), (903, "x" * 30_000), (904, "x " * 30_000), (905, "x" * 29_999 + "y")]

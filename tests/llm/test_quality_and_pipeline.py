@@ -188,3 +188,11 @@ def test_repeated_labelled_rows_are_fitted_once(spark, monkeypatch):
     for d in (docs, docs.repartition(5)):
         q.train_quality(d, labels, per_class=10)
     assert seen[0][0] <= 20 and seen[0] == seen[1]
+
+
+def test_the_driver_holds_four_bytes_an_indicator(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text number {k} " * (1 + k % 3)) for k in range(40)] + [(k, "".join(map(chr, range(33, 9000)))) for k in range(40, 46)], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(q, "fit", lambda found, y: held.extend(found))
+    q.train_quality(docs, spark.createDataFrame([(k, k % 2) for k in range(46)], "doc_id long, quality int"))
+    assert held and all(f.dtype.itemsize == 4 for f in held) and max(map(len, held)) > (q.DIM // 8) // 4

@@ -29,7 +29,8 @@ class _OddSpacing(Exception):
 
 
 class _Remembered(dict):
-    """What ``make`` gives for a text, kept for texts of 40 characters at most.
+    """What ``make`` gives for a text, kept for texts of 40 characters at most. What it puts together from
+    texts that were new here too is not kept until it is met again: those parts are.
 
     Two generations: when the young one is full it becomes the old one, and texts that are
     met again move on, so memory is bounded and frequent texts stay."""
@@ -40,7 +41,10 @@ class _Remembered(dict):
     def __missing__(self, text: str):
         found = self.old.get(text)
         if found is None:
+            held = len(self)
             found = self.make(text)
+            if len(self) != held:
+                return found
         if len(text) <= 40:
             if len(self) >= self.room:
                 self.old = dict(self)

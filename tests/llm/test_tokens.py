@@ -270,3 +270,10 @@ def test_a_record_that_is_not_covered_once_is_an_error():
                 shard.check()
         else:
             shard.check()
+
+
+def test_words_with_marks_are_remembered_when_met_again(plain):
+    enc, text = Encoder(vocabulary()), "x sharn, sharn"
+    for held in ({"sharn"}, {"sharn", "sharn,"}):
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == plain(text)
+        assert set(enc._words) == held

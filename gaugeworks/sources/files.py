@@ -1,12 +1,13 @@
 """Files as bytes, in ranges: a reader that cuts files where no pattern can lie over the cut, and a writer of small files.
 
 `ranges` reads each file in pieces that tasks share. A piece ends at a byte that no pattern holds, so every byte, and every match, is
-in one piece, however files are cut. Paths are of any store that pyarrow or Spark's shared folders name by URI."""
+in one piece, however files are cut. A task takes many small pieces, of one or several files. Paths are of any store that pyarrow or
+Spark's shared folders name by URI."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ from ..shared import written
 WITHIN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_- "
 #: Bytes of a piece, about, and of one read beyond its end.
 PIECE, STEP = 8 << 20, 64 << 10
+#: Bytes that a task reads at least, unless there are fewer; tasks that small inputs are dealt out to, about; bytes that a batch of rows has, about.
+LEAST, TASKS, BATCH = 1 << 20, 64, 1 << 20
 #: Rules whose matches may hold other bytes, line ends among them; they are for whole texts.
 WHOLE_TEXT_RULES = ("named_literal",)
 
@@ -50,20 +53,72 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: ranges of one or several files, each of one or more pieces."""
+
+    ranges: list[Range] = field(default_factory=list)
+
+
 class RangeReader(DataSourceReader):
+    """A range a task."""
+
     def __init__(self, options: dict):
         self.path, self.piece = options["path"], int(options.get("piece", PIECE))
 
     def partitions(self) -> list[Range]:
-        return [Range(name, at, min(size, at + self.piece), size) for name, size in listed(self.path) for at in range(0, size, self.piece)]
+        return _ranges(listed(self.path), self.piece)
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return self.batches([part])
+
+    def batches(self, ranges: list[Range]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._pieces(ranges):
+            rows.append(row)
+            held += len(row[2])
+            if held >= BATCH:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _pieces(self, ranges: list[Range]) -> Iterator[tuple[str, int, str]]:
         files, root = place(self.path.rstrip("/"))
-        with files.open_input_file(f"{root}/{part.name}") as f:
-            own, start = _piece(f, part)
-        if own:
-            text = own.decode("ascii", "replace")  # a character a byte
-            yield pa.RecordBatch.from_arrays([pa.array([part.name]), pa.array([start], pa.int64()), pa.array([text], pa.large_string()).cast(pa.string())], ["name", "start", "text"])
+        for r in ranges:
+            with files.open_input_file(f"{root}/{r.name}") as f:
+                for at in range(r.low, r.high, self.piece):
+                    own, start = _piece(f, replace(r, low=at, high=min(r.high, at + self.piece)))
+                    if own:
+                        yield r.name, start, own.decode("ascii", "replace")  # a character a byte
+
+
+class SharedReader(RangeReader):
+    """A share of the ranges a task. The pieces are those of ``RangeReader``, however ranges are dealt out."""
+
+    def partitions(self) -> list[Share]:
+        files = listed(self.path)
+        most = min(PIECE, max(LEAST, sum(size for _, size in files) // TASKS))
+        shares, room = [], 0
+        for r in _ranges(files, max(1, most // self.piece) * self.piece):
+            if room <= 0:
+                shares.append(Share())
+                room = most
+            shares[-1].ranges.append(r)
+            room -= r.high - r.low + STEP  # opening a file counts too
+        return shares
+
+    def read(self, part: Share) -> Iterator[pa.RecordBatch]:
+        return self.batches(part.ranges)
+
+
+def _ranges(files: list[tuple[str, int]], length: int) -> list[Range]:
+    return [Range(name, at, min(size, at + length), size) for name, size in files for at in range(0, size, length)]
+
+
+def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    name, start, text = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(start, pa.int64()), pa.array(text, pa.large_string()).cast(pa.string())], ["name", "start", "text"])
 
 
 def _piece(f, part: Range) -> tuple[bytes, int]:
@@ -77,12 +132,15 @@ def _piece(f, part: Range) -> tuple[bytes, int]:
         if skipped == len(own):
             return b"", start
         own, start = (head, part.low - 1 + skipped) if skipped else (own[1:], part.low)
-    while own and own[-1] in WITHIN and part.high < part.size:
-        more = f.read(STEP)
-        rest = more.lstrip(WITHIN)
-        own += more[: len(more) - len(rest)]
-        if rest or not more:
-            break
+    if own and own[-1] in WITHIN and part.high < part.size:
+        beyond, step = [own], STEP >> 6
+        while more := f.read(step):
+            rest = more.lstrip(WITHIN)
+            beyond.append(more[: len(more) - len(rest)])
+            if rest:
+                break
+            step = min(2 * step, STEP)
+        own = b"".join(beyond)
     return own, start
 
 
@@ -97,8 +155,8 @@ class RangeSource(DataSource):
     def schema(self) -> str:
         return "name string, start long, text string"
 
-    def reader(self, schema: StructType) -> RangeReader:
-        return RangeReader(self.options)
+    def reader(self, schema: StructType) -> SharedReader:
+        return SharedReader(self.options)
 
 
 def read_ranges(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
